@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from leafmill.llm.bpe import op9_bpe
 from leafmill.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 SQL: dict[str, str] = {}
