@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafmill.llm.bpe import op9_bpe
+from leafmill.llm.dac import op10_token_files
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.quality_rules import op7_quality_rules
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op9_bpe": op9_bpe,
+    "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {}
