@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from leafmill.llm.bpe import op9_bpe
 from leafmill.llm.dac import op10_token_files
+from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
