@@ -69,8 +69,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver found it."""
+    """Let the executors' Python import this package, wherever the driver found it.
+
+    Where the session has Spark's own default, Arrow batches are made smaller: texts have no size limit, and two
+    workers hold two batches each.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
