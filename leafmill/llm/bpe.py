@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,11 @@ from leafmill.session import read_table, ship_code
 UNSPLIT_CHARS = 4_096
 PIECE_CHARS = 65_536
 AGREE = 4
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Fixed value: how the byte-level pre-tokenizer splits.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows are handed back in batches of about so many bytes.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 
 def vocabulary_path() -> str:
@@ -72,39 +73,23 @@ def _opens(x: str) -> bool:
     return x[:1].isalnum() or "!" <= x[:1] <= "~"
 
 
-class Codec:
+class Vocabulary:
+    """What each id stands for; enough for decoding."""
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["post_processor"] or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError(f"not a plain byte-level BPE: {path}")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         letters = _bytes_by_letter()
-        added = {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
-        vocabulary = {v: k for k, v in self.library.get_vocab(with_added_tokens=True).items()}
-        self.bytes = [
-            added[i] if i in added else bytes(letters[c] for c in vocabulary.get(i, ""))
-            for i in range(max(vocabulary) + 1)
-        ]
+        self.added = {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        known = {i: bytes(letters[c] for c in x) for x, i in spec["model"]["vocab"].items() if i not in self.added}
+        known |= self.added
+        self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
-        self.known: dict[str, bytes] = {}
-        # Where ids are ranks, as in files of this family, the rank encoder gives the same ids some times faster.
-        ranks = {self.bytes[i]: i for i in vocabulary if i not in added}
-        merges = (x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])
-        merged = [self.library.token_to_id(a + b) for a, b in merges]
-        self.ranked = None
-        if merged == list(range(256, 256 + len(merged))) and len(ranks) == 256 + len(merged):
-            special = {x.decode(): i for i, x in added.items()}
-            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def plain(self, text: str) -> np.ndarray:
-        if self.ranked is not None:
-            return np.array(self.ranked.encode(text, allowed_special="all"), dtype="<u4")
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        self.merges = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
 
     def raw(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
@@ -116,6 +101,27 @@ class Codec:
         places = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
         return self.flat[places].tobytes()
 
+
+class Codec(Vocabulary):
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+        # Where ids are ranks, as in files of this family, the rank encoder gives the same ids some times faster.
+        ranks = {x: i for i, x in enumerate(self.bytes) if x and i not in self.added}
+        merged = [self.library.token_to_id(a + b) for a, b in self.merges]
+        self.ranked = None
+        if merged == list(range(256, 256 + len(merged))) and len(ranks) == 256 + len(merged):
+            special = {x.decode(): i for i, x in self.added.items()}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def plain(self, text: str) -> np.ndarray:
+        if self.ranked is not None:
+            return np.array(self.ranked.encode(text, allowed_special="all"), dtype="<u4")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def concatenate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The encoding of two neighbouring stretches from the encoding of each."""
         if not len(a) or not len(b):
@@ -191,21 +197,25 @@ class Codec:
         return out
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about BATCH_BYTES characters."""
-    start = size = 0
-    for k, x in enumerate(texts):
-        size += len(x)
-        if size >= BATCH_BYTES:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about BATCH_BYTES bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, side="right")))
+        yield start, end
+        start = end
 
 
 def encode(
@@ -220,9 +230,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for a, b in _runs(texts):
-                ids = c.encode(texts[a:b])
+                ids = c.encode(texts[a:b].to_pylist())
                 columns = {n: batch.column(n).slice(a, b - a) for n in batch.schema.names if n != "text"}
                 yield pa.RecordBatch.from_pydict(columns | {"ids": pa.array(ids, pa.binary())})
 
@@ -254,11 +264,12 @@ def decode(encoded: DataFrame, path: str, id_: str = "doc_id") -> DataFrame:
     kind = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = vocabulary(path)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
+            ids = batch.column("ids")
             for a, b in _runs(ids):
-                texts = [c.raw(np.frombuffer(x or b"", dtype="<u4")).decode("utf-8", "replace") for x in ids[a:b]]
+                raw = (c.raw(np.frombuffer(x or b"", dtype="<u4")) for x in ids[a:b].to_pylist())
+                texts = [x.decode("utf-8", "replace") for x in raw]
                 columns = {n: batch.column(n).slice(a, b - a) for n in ("id", "ids", "n_tokens")}
                 yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.string())})
 
