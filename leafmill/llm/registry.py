@@ -7,12 +7,14 @@ from leafmill.llm.dac import op10_token_files
 from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.quality_rules import op7_quality_rules
+from leafmill.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_topk_search": OP1_SQL}
