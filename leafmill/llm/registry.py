@@ -8,6 +8,7 @@ from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.mixing import op3_mixing
 from leafmill.llm.quality_rules import op7_quality_rules
+from leafmill.llm.secret_scan import op8_secret_scan
 from leafmill.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
