@@ -8,11 +8,13 @@ from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.mixing import op3_mixing
 from leafmill.llm.quality_rules import op7_quality_rules
+from leafmill.llm.rule_ensemble import op2_rule_ensemble
 from leafmill.llm.secret_scan import op8_secret_scan
 from leafmill.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
