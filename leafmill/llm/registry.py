@@ -7,6 +7,7 @@ from leafmill.llm.dac import op10_token_files
 from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
 from leafmill.llm.mixing import op3_mixing
+from leafmill.llm.pu_toxicity import op6_pu_toxicity
 from leafmill.llm.quality_rules import op7_quality_rules
 from leafmill.llm.rule_ensemble import op2_rule_ensemble
 from leafmill.llm.secret_scan import op8_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
+    "op6_pu_toxicity": op6_pu_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
