@@ -8,8 +8,8 @@ class prior) is toxic too.  A linear classifier over hashed terms is trained wit
 with the sigmoid loss; where the bracket turns negative, the step undoes it instead, so the classifier doesn't learn
 unlabelled texts by heart.  Terms are chosen from counts that Spark gathers over the training rows.
 
-A term is a maximal run of ASCII letters, ASCII digits and bytes beyond ASCII, A-Z lower-cased, present or not in a
-text.  Training takes at most ``positives`` and ``unlabelled`` rows, the smallest by hashed id; scoring covers every
+A word is a maximal run of ASCII letters, ASCII digits and bytes beyond ASCII, A-Z lower-cased.  The terms of a text
+are its words and their beginnings of ``STEMS`` bytes, so that inflected and unseen forms count too.  Training takes at most ``positives`` and ``unlabelled`` rows, the smallest by hashed id; scoring covers every
 whole text.  Null and empty texts have no terms and get the score of the bias.  Labels that are null or contradict one
 another count as unlabelled.  Without positives every score is 0.  Each input row gives one row; other columns are not
 read.
@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.rule_ensemble import labelled_sample
-from leafmill.llm.shingles import IN_TERM, parts, word_hashes
+from leafmill.llm.shingles import IN_TERM, mix, parts, runs, span_hashes
 from leafmill.session import materialize, read_table, ship_code
 
 POSITIVES, UNLABELLED, TERMS = 3_000, 9_000, 1_024
-LEAST_POSITIVES = 3
-EPOCHS, BATCH, RATE, DECAY = 60, 1_000, 0.05, 1e-3
+LEAST_POSITIVES = 5
+STEMS = (3, 4, 5)
+EPOCHS, BATCH, RATE, DECAY = 60, 1_000, 0.05, 1e-2
 
 
 class Model(NamedTuple):
@@ -43,9 +44,15 @@ class Model(NamedTuple):
 def terms_of(texts: pa.Array) -> Iterator[np.ndarray]:
     """Distinct term hashes of each text, ascending."""
     for _, data, offsets in parts(texts):
-        words, first = word_hashes(data, offsets, IN_TERM)
+        starts, ends = runs(IN_TERM[data], offsets)
+        first = np.searchsorted(starts, offsets)
+        found = [span_hashes(data, starts, ends, fold=True)]
+        for n in STEMS:
+            stem = span_hashes(data, starts, np.minimum(ends, starts + n), fold=True)
+            found.append(mix(stem + np.uint64(n)))
+        found = np.stack(found, axis=1)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield np.unique(words[a:b])
+            yield np.unique(found[a:b])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
