@@ -1,10 +1,10 @@
-"""Queries over the given tables, one for each operator, and the SQL that returns the same rows."""
+"""Queries over the given tables, one or more for each operator, and the SQL that returns the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from leafmill.plans import graph_queries, structure_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_ALL = text_queries.QUERIES | structure_queries.QUERIES | graph_queries.QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
