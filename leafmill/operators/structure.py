@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import ship_code
+
 
 
 def sections_from_toc(toc: DataFrame, key: str, last_page: Column) -> DataFrame:
@@ -84,6 +86,7 @@ def chunk_ends(n_pages: int, bounds: list[int], least: int, most: int) -> Iterat
 
 def smart_chunks(documents: DataFrame, sections: DataFrame, least: int = 10, most: int = 30) -> DataFrame:
     """(doc, chunk, page_start, page_end) of boundary-aware chunks; one document's sections make one group."""
+    ship_code(documents.sparkSession)
     bounds = sections.select("doc", F.explode(F.array(F.col("page_start"), F.col("page_end") + 1)).alias("bound")).distinct()
     both = documents.join(bounds.groupBy("doc").agg(F.array_sort(F.collect_list("bound")).alias("bounds")), "doc", "left")
 
