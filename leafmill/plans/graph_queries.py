@@ -293,25 +293,26 @@ FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationke
 
 
 def fuzzy_column_row_lookup(spark, sf):
-    """For every part name, the most alike name among parts of its brand and size class, by sorted words, at 80 or more.
+    """For every distinct part name of a brand and size class, the most alike other name there, at 80 or more.
 
-    Brand and size class block the pairs, so no pair of the whole table is made.
+    Names are made distinct first, so pairs follow the vocabulary of a class and not its rows.
     """
     ship_code(spark)
-    p = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", (F.col("p_size") % 10).alias("block"))
-    other = p.select(F.col("p_partkey").alias("row"), F.col("p_name").alias("cell"), "p_brand", "block")
-    pairs = p.join(other, ["p_brand", "block"]).where("p_partkey <> row")
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("p_name"), F.col("cell"))).where("score >= 80")
-    best = scored.groupBy("p_partkey").agg(F.max_by(F.struct("row", "cell", "score"), F.struct("score", -F.col("row"))).alias("x"))
-    return best.select("p_partkey", "x.*")
+    p = read_table(spark, sf, "part").groupBy("p_brand", (F.col("p_size") % 10).alias("block"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("row"))
+    other = p.select("p_brand", "block", F.col("name").alias("cell"), F.col("row").alias("other"))
+    pairs = p.join(other, ["p_brand", "block"]).where("name <> cell")
+    scored = pairs.withColumn("score", token_sort_ratio(F.col("name"), F.col("cell"))).where("score >= 80")
+    best = scored.groupBy("p_brand", "block", "name").agg(F.max_by(F.struct("cell", "score"), F.struct("score", -F.col("other"))).alias("x"))
+    return best.select("p_brand", "block", "name", "x.*")
 
 
 def toc_match_fuzzy(spark, sf):
-    """Nations' names with a slip, found in the table of nations."""
+    """Nations' names with a slip, found among the nations of their region."""
     n = read_table(spark, sf, "nation")
-    names = read_table(spark, sf, "customer").select("c_nationkey").distinct().join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    slipped = names.select(F.concat(F.lower("n_name"), F.when(F.col("n_nationkey") % 2 == 0, "x").otherwise("")).alias("name"))
-    return resolve.best_name(slipped, n.select(F.col("n_name").alias("toc_name"), F.col("n_nationkey").alias("ord")))
+    used = read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
+    slip = F.concat(F.lower("n_name"), F.when(F.col("n_nationkey") % 2 == 0, "x").otherwise(""))
+    names = n.join(used, "n_nationkey", "left_semi").select(F.col("n_regionkey").alias("doc"), slip.alias("name"))
+    return resolve.best_name(names, n.select(F.col("n_regionkey").alias("doc"), F.col("n_name").alias("toc_name"), F.col("n_nationkey").alias("ord")))
 
 
 def greedy_cluster(spark, sf):
@@ -323,7 +324,7 @@ def greedy_cluster(spark, sf):
 def incremental_merge(spark, sf):
     """Names of parts merged one by one inside each brand."""
     ship_code(spark)
-    p = read_table(spark, sf, "part").select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    p = read_table(spark, sf, "part").groupBy("p_brand", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
 
     def run(frame):
         out = next(resolve.merge_in_order(iter([frame])))
