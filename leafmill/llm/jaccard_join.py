@@ -3,11 +3,13 @@
 1. *Order.*  Shingles that are frequent in some window of texts (the partition step of frequent-item mining: a shingle
    in a given share of all texts reaches that share in at least one window) come last, by rising count; all others
    come first, by hash.  Any common order is exact; this one keeps shared passages out of the prefixes.
-2. *Groups.*  Texts with one shingle set become one node.  Two sets of similarity t share a shingle among the first
-   n - ceil(t * n) + 1 of each.  Nodes with the same prefix and size become one group.
-3. *Filter.*  Groups meet in the list of each prefix shingle.  A pair stays if sizes allow the similarity and if the
-   places of the shared shingle leave enough to share.  Lists of up to ``LIST`` groups give all such pairs.  A longer
-   list gives pairs with its first group only; later, pairs between parts that verified links haven't joined.
+2. *Groups.*  Texts with one shingle set become one node.  Two sets of similarity t share SHARED shingles (or as many
+   as they must share at all) among the first n - ceil(t * n) + SHARED of each.  Nodes with the same prefix and size
+   become one group.
+3. *Filter.*  Groups meet in the list of each prefix shingle.  A meeting counts if sizes allow the similarity and if
+   the places of the shared shingle leave enough to share; a pair stays if enough meetings count.  Lists of up to
+   ``LIST`` groups give all meetings.  A longer list gives those with its first group only; later, those between
+   parts that verified links haven't joined.
 4. *Verify.*  Sets of candidate nodes are made anew from the texts and compared exactly; groups are expanded to
    members where these aren't joined yet.
 5. Verified links give components.
@@ -34,8 +36,12 @@ from leafmill.session import materialize, read_table, ship_code
 WINDOW_TEXTS, WINDOW_SHINGLES, WINDOW_COUNT = 8_192, 4_000_000, 4
 #: The most frequent shingles whose order is told to every task (12 bytes each); it changes the work only.
 FREQUENT = 500_000
+#: Prefix shingles that a pair must share: more make prefixes longer and chance meetings rarer.
+SHARED = 4
 #: Groups that meet in one list without a detour.
 LIST = 48
+#: Size of the bitmap that spares texts without candidates (8 MB); it changes the work only.
+BITS = 2**26
 #: Pairs with one node that a task verifies in a row.
 SALT_PAIRS = 2_000
 
@@ -84,7 +90,7 @@ def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
             sizes, nodes, checks, prefixes = [], [], [], []
             for found in shingles(batch.column("text"), width):
                 n = len(found)
-                length = n - least_overlap(n, percent) + 1 if n else 0
+                length = min(n, n - least_overlap(n, percent) + SHARED)
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     often = common[at] == found
@@ -114,33 +120,42 @@ def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can reach the similarity if their first common shingle has these places."""
-    overlap = np.minimum(na - ia, nb - ib)
+    """Whether sets of these sizes can reach the similarity if one of their first SHARED common shingles is here."""
+    overlap = np.minimum(na - ia, nb - ib) + SHARED - 1
     return (100 + percent) * overlap >= percent * (na + nb)
 
 
+def _tally(pairs: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns a, b, na, nb, star, with how often each row occurs."""
+    rows = np.concatenate(pairs, axis=1)
+    swap = rows[0] > rows[1]
+    rows[:2, swap], rows[2:4, swap] = rows[1::-1, swap], rows[3:1:-1, swap]
+    rows = rows[:, np.lexsort((rows[4], rows[1], rows[0]))]
+    change = np.any(rows[[0, 1, 4], 1:] != rows[[0, 1, 4], :-1], axis=0)
+    first = np.flatnonzero(np.concatenate([[True], change])) if rows.shape[1] else np.zeros(0, dtype=np.int64)
+    return [*rows[:, first], np.diff(np.append(first, rows.shape[1]))]
+
+
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of groups (large = false), and the rows of lists longer than LIST (large = true)."""
+    """Meetings of groups: (a, b, na, nb, star, met).
 
-    def emit(large, a, b, token, n, place) -> pa.RecordBatch:
-        size = len(a)
-        fill = lambda x: pa.array(np.zeros(size, dtype=np.int64) if x is None else x)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, large)), fill(a), fill(b), fill(token), fill(n), fill(place)],
-            names=["large", "a", "b", "token", "n", "place"],
-        )
+    star is 0 for meetings in lists of up to LIST groups and 1 for those with the first group of a longer list; 2 marks
+    the rows of longer lists: a is the group, b the shingle, na the size, nb the place.
+    """
+
+    def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "na", "nb", "star", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the last token, not yet dealt with
-        pivot = None  # (token, group, n, place) of a long list under way
+        held = None  # rows of the last shingle, not yet dealt with
+        pivot = None  # (shingle, group, n, place) of a long list under way
         low, high = np.triu_indices(LIST, 1)
         order = np.argsort(high, kind="stable")
         low, high = low[order], high[order]
-        for batch in (*batches, None):
+        for batch in _and_none(batches):
             if batch is not None:
                 rows = np.stack([batch.column(k).to_numpy() for k in ("token", "group", "n", "place")])
-                if held is not None:
-                    rows = np.concatenate([held, rows], axis=1)
+                rows = rows if held is None else np.concatenate([held, rows], axis=1)
             elif held is None:
                 return
             else:
@@ -149,74 +164,94 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
             if not len(token):
                 continue
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            ends = np.concatenate([first[1:], [len(token)]])
-            pairs = []
-            for s, e in zip(first.tolist(), ends.tolist(), strict=True):
-                last = e == len(token) and batch is not None
+            ends = np.append(first[1:], len(token))
+            lone = ends - first == 1
+            pairs, held = [], None
+            for s, e, single in zip(first.tolist(), ends.tolist(), lone.tolist(), strict=True):
                 if pivot is not None and pivot[0] != token[s]:
                     pivot = None
-                if pivot is None and last and e - s <= LIST:
-                    break  # it may go on in the next batch
-                if e - s == 1 and pivot is None:
-                    continue
+                if pivot is None:
+                    if batch is not None and e == len(token) and e - s <= LIST:
+                        held = rows[:, s:]  # it may go on in the next batch
+                        break
+                    if single:
+                        continue
                 part = rows[:, s:e]
                 if pivot is None and e - s <= LIST:
-                    k = e - s
-                    i, j = low[: k * (k - 1) // 2], high[: k * (k - 1) // 2]
-                    ok = _may_link(part[2][i], part[2][j], part[3][i], part[3][j], percent)
-                    pairs.append(np.stack([part[1][i[ok]], part[1][j[ok]]]))
+                    k = (e - s) * (e - s - 1) // 2
+                    x, y = part[:, low[:k]], part[:, high[:k]]
+                    ok = _may_link(x[2], y[2], x[3], y[3], percent)
+                    pairs.append(np.stack([x[1, ok], y[1, ok], x[2, ok], y[2, ok], np.zeros_like(x[1, ok])]))
                     continue
                 if pivot is None:
                     pivot = part[:, 0].tolist()
                 ok = _may_link(part[2], pivot[2], part[3], pivot[3], percent) & (part[1] != pivot[1])
-                pairs.append(np.stack([np.full(int(ok.sum()), pivot[1]), part[1][ok]]))
-                yield emit(True, part[1], None, part[0], part[2], part[3])
-            else:
-                e = len(token)
-                s = e
-            held = rows[:, s:e] if e - s else None
+                own = np.full(int(ok.sum()), pivot[1])
+                pairs.append(np.stack([own, part[1, ok], np.full_like(own, pivot[2]), part[2, ok], np.ones_like(own)]))
+                two = np.full(e - s, 2)
+                yield emit([part[1], part[0], part[2], part[3], two, np.ones_like(two)])
             if pairs:
-                p = np.concatenate(pairs, axis=1)
-                p = np.unique(np.sort(p, axis=0), axis=1)
-                if p.shape[1]:
-                    yield emit(False, p[0], p[1], None, None, None)
+                yield emit(_tally(pairs))
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "place", "group")
-    return dealt.mapInArrow(run, "large boolean, a long, b long, token long, n long, place long")
+    return dealt.mapInArrow(run, "a long, b long, na long, nb long, star long, met long")
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: BITS / 64 words at most, however many ids there are."""
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) & 63 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
 
 
 def _sets(slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, found) of nodes, made anew from the texts of one row each; nodes has node and id."""
-    ids = nodes.select(F.col("id").alias("wanted")).distinct()
-    some = slim.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    """(node, found) of nodes, made anew from the texts of one row each; nodes has node and id.
+
+    A bitmap of ids lets the scan pass over most other texts; the join with the nodes is exact.
+    """
+    wanted = slim.sparkSession.sparkContext.broadcast(_bits(nodes.select("id")))
+    some = slim.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("place"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            for found in shingles(batch.column("text"), width):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([fingerprint(found)[0]]), pa.array([found.tobytes()], pa.binary())],
-                        names=["node", "found"],
-                    )
+            place = batch.column("place").to_numpy()
+            mask = (bits[place >> 6] >> (place & 63)) & 1 == 1
+            made = [(fingerprint(x)[0], x.tobytes()) for x in shingles(batch.column("text").filter(pa.array(mask)), width) if len(x)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())],
+                names=["node", "found"],
+            )
 
-    made = some.mapInArrow(run, "node long, found binary").join(nodes.select("node"), "node", "left_semi")
+    made = some.mapInArrow(run, "node long, found binary").join(nodes.select("node").hint("merge"), "node", "left_semi")
     return materialize(made.dropDuplicates(["node"]), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity."""
+    """The pairs (a, b) of nodes whose sets reach the similarity.
+
+    Each node's set is sent once for every pair with it as b, and once for every task that compares it as a.
+    """
     pairs = pairs.select("a", "b")
     hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_PAIRS))
-    salted = pairs.join(hubs.where("salts > 1").select("a", "salts"), "a", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
+    salted = pairs.join(hubs.where("salts > 1").select("a", "salts"), "a", "left").select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), "b"
     )
-    others = salted.join(sets.select(F.col("node").alias("b"), "found"), "b").select("a", "salt", "b", "found")
-    own = hubs.join(sets.select(F.col("node").alias("a"), "found"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-        F.lit(None).cast("long").alias("b"), "found",
+    own = hubs.select(
+        F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        F.lit(None).cast("long").alias("b"),
     )
-    dealt = own.unionByName(others).repartition("a", "salt")
-    dealt = dealt.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    # Both sides grow with the corpus, so neither is to be broadcast.
+    asked = salted.unionByName(own).join(sets.hint("merge"), "node").select("a", "salt", "b", "found")
+    dealt = asked.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
@@ -254,12 +289,25 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
         F.first("n").alias("n"), F.min("node").alias("head"), F.count(F.lit(1)).alias("members"),
         F.first("prefix").alias("prefix"),
     )
+    groups = materialize(groups, "groups")
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "token")).select(
         "token", "group", "n", F.col("place").cast("long").alias("place")
     )
     met = materialize(_meet(postings, percent), "met")
-    group_pairs = met.where("not large").select("a", "b").distinct()
-    large = met.where("large").select("token", F.col("a").alias("group"), "n", "place")
+    large = met.where("star = 2").select(
+        F.col("b").alias("token"), F.col("a").alias("group"), F.col("na").alias("n"), F.col("nb").alias("place")
+    )
+    enough = f"least({SHARED}, ceil({percent} * (na + nb) / {100 + percent}))"
+    counted = met.where("star < 2").groupBy("a", "b").agg(
+        F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"),
+        F.sum(F.expr("if(star = 0, met, 0)")).alias("near"),
+    )
+    counted = materialize(counted, "counted")
+    group_pairs = counted.where(f"met >= {enough}").select("a", "b")
+    in_large = large.select("group").distinct()
+    weak = counted.where(f"met < {enough} and near > 0").select("a", "b", "na", "nb")
+    weak = weak.join(in_large.select(F.col("group").alias("a")), "a", "left_semi")
+    weak = weak.join(in_large.select(F.col("group").alias("b")), "b", "left_semi").select("a", "b", "na", "nb")
     many = groups.where("members > 1").select("group", "head", "members")
 
     # Nodes whose sets may be looked at: heads of paired groups, groups of a long list, groups of several members.
@@ -286,14 +334,24 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     part = materialize(part, "part")
     span = part.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     lists = large.join(span, "group")
+    most = lists.where("low = high").groupBy("token").agg(F.mode("low", True).alias("major"))
     open_ = lists.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
-    lists = materialize(lists.join(open_.select("token"), "token", "left_semi"), "lists")
-    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "n", "place", "low", "high"))) for k in "xy")
-    apart = "not (low_x = high_x and low_y = high_y and low_x = low_y)"
+    open_ = open_.select("token").join(most, "token", "left")
+    lists = lists.join(open_, "token").withColumn("in_major", F.expr("low = high and low <=> major"))
+    prefix = groups.select("group", "prefix")
+    lists = materialize(lists.drop("major").join(prefix, "group"), "lists")
+    names = ("group", "n", "place", "low", "high", "in_major", "prefix")
+    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in "xy")
+    # A pair of different parts has an end outside the list's largest part; it is told at its first common shingle.
+    apart = "not (low_x = high_x and low_y = high_y and low_x = low_y) and (in_major_y or group_x < group_y)"
     room = f"{100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
-    more = x.join(y, "token").where(f"group_x < group_y and {apart} and {room}").select(
-        F.col("group_x").alias("a"), F.col("group_y").alias("b")
-    )
+    first_here = "size(array_intersect(slice(prefix_x, 1, int(place_x)), slice(prefix_y, 1, int(place_y)))) = 0"
+    shares = f"size(array_intersect(prefix_x, prefix_y)) >= least({SHARED}, ceil({percent} * (n_x + n_y) / {100 + percent}))"
+    more = x.where("not in_major_x").join(y, "token").where(f"{apart} and {room} and {first_here} and {shares}")
+    more = more.selectExpr("least(group_x, group_y) a", "greatest(group_x, group_y) b")
+    weak = weak.join(prefix.select(F.col("group").alias("a"), F.col("prefix").alias("pa")), "a")
+    weak = weak.join(prefix.select(F.col("group").alias("b"), F.col("prefix").alias("pb")), "b")
+    more = more.unionByName(weak.where(f"size(array_intersect(pa, pb)) >= {enough}").select("a", "b"))
     wide = paired.where("ma + mb > 2").select("a", "b")
     split = span.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b"))
     more = more.unionByName(wide).unionByName(split).distinct()
@@ -315,5 +373,18 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their component: one document of each group of near-duplicates.
+
+    Rows that share an id count as one document, of which the first in the order of text and columns stays.
+    """
+    classes = materialize(similar(docs, width, percent, text, id_), "classes")
+    named = classes.where(F.col(id_).eqNullSafe(F.col("component_id"))).select(F.col(id_).alias("kept")).distinct()
+    columns = [text, *(c for c in docs.columns if c != text)]
+    packed = docs.select(F.col(id_).alias("id"), F.struct(*columns).alias("row"))
+    packed = packed.join(named, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+    return packed.groupBy("id").agg(F.min("row").alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar(read_table(spark, sf_dir, "documents"), width=3, percent=90)
