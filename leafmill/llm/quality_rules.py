@@ -152,7 +152,7 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules=RULES, text: str = "text", id_: str = "doc_id", sample_rows: int = 2000) -> dict:
+def measure(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> dict:
     """{rule: (seconds a text, share rejected)} on a random sample of about ``sample_rows`` rows."""
     ship_code(docs.sparkSession)
     share = min(1.0, sample_rows / max(1, docs.count()))
@@ -189,7 +189,7 @@ def cascade(
     Statistics named in ``report`` are returned for every text, so their cost is not spared.
     """
     ship_code(docs.sparkSession)
-    ranked = order(rules, measure(docs, rules, text, id_, sample_rows))
+    ranked = order(rules, measure(docs, rules, text, sample_rows))
     slim = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +220,27 @@ def cascade(
     return slim.mapInArrow(run, f"id {kind}, kept boolean, rejected_by string{stats}").withColumnRenamed("id", id_)
 
 
+def keep(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """The rows of ``docs``, whole, whose text no rule rejects."""
+    ship_code(docs.sparkSession)
+    ranked = order(rules, measure(docs, rules, text, sample_rows))
+    column = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.ones(batch.num_rows, dtype=bool)
+            for row, data, offsets in parts(batch.column(column)):
+                chunk, rows = Chunk(data, offsets), np.arange(row, row + len(offsets) - 1)
+                for rule in ranked:
+                    rejected = rule.rejects(chunk.get)
+                    if rejected.any():
+                        kept[rows[rejected]] = False
+                        rows, chunk = rows[~rejected], chunk.only(~rejected)
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     from leafmill.session import read_table
 
