@@ -7,7 +7,7 @@ Safeguarded Newton steps solve the dual.  A rate depends on source and size alon
 of (source, size, documents), which Spark counts once and which is far smaller than the corpus.
 
 Rates become copies inside buckets of a source (some 256 documents each, by hashed id): from the largest document
-down, each takes the whole number next to its rate that brings the bucket's words nearest to what they should be so
+down, each takes the whole number (0 to ``limit``) that brings the bucket's words nearest to what its rates ask for so
 far.  What remains is at most about half the smallest document of each bucket.
 
 Size is the number of ``[^\\x20\\x09-\\x0D]+`` in the text.  Null and empty texts have size 0, rate 1 and take no words.
@@ -131,8 +131,7 @@ def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str =
     def copies(owed: Column, x: Column) -> Column:
         """Copies of all rows of x, given the words owed so far."""
         nearest = F.when(x["size"] > 0, F.round((owed + x["rate"] * x["rows"] * x["size"]) / x["size"])).otherwise(x["rows"])
-        most, least = F.ceil(x["rate"]) * x["rows"], F.floor(x["rate"]) * x["rows"]
-        return F.greatest(least, F.least(most, nearest.cast("long")))
+        return F.greatest(F.lit(0).cast("long"), F.least(limit * x["rows"], nearest.cast("long")))
 
     start = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<bigint>)").alias("taken"))
 
