@@ -56,6 +56,9 @@ OTHER_NAMES = frozenset(
     "share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola teaser "
     "toolbar topbar widget widgets".split()
 )
+OTHER_BEGINNINGS = ("advert", "breadcrumb", "commentbox", "cookie", "newsletter", "noticebar", "sidebar", "sponsor")
+#: Words with which a name speaks of the layout around such a part: ``has-sidebar`` isn't a sidebar.
+LAYOUT = frozenset("has layout no with".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -85,8 +88,10 @@ def _names_other(rest: str) -> bool:
             return True
         if key == "role" and value.strip().lower() in OTHER_ROLES:
             return True
-        if key in ("class", "id") and any(x.lower() in OTHER_NAMES for x in _NAME.findall(value)):
-            return True
+        for name in value.split() if key in ("class", "id") else ():
+            words = {x.lower() for x in _NAME.findall(name)}
+            if not words & LAYOUT and (words & OTHER_NAMES or any(x.startswith(OTHER_BEGINNINGS) for x in words)):
+                return True
     return False
 
 

@@ -257,6 +257,8 @@ PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head>
 
 def test_html(spark):
     assert html_text.content(PAGE) == "Title\nFirst, with & and more. It goes on.\nSecond bold part; fine."
+    laid_out = '<div class="layout has-sidebar"><p>Text, and more of it here.</p></div><div class="sidebarLeft">Links, ads.</div>'
+    assert html_text.content(laid_out) == "Text, and more of it here."
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p", "x"), (5, "u", "plain text", "x"), (1, "u", PAGE, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
