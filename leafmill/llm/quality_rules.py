@@ -6,7 +6,7 @@ one rule rejects is not looked at by the later, dearer ones.  The order changes
 
 Statistics (whole texts; a word is ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars (code points in words), n_symbols
 (characters of ``#*$%&|<>``), n_upper and n_letters (ASCII), n_lines (lines with a word), n_dup_lines (such lines
-equal to an earlier one), n_repeat_words (words inside an 8-word window that occurs twice or more in the text).
+equal to an earlier one), n_doubled (words equal to the one before), n_repeat_words (words inside an 8-word window that occurs twice or more in the text).
 
 Null and empty texts have 0 in every statistic and are rejected for having too few words.  Every input row gives
 one row; repeated rows give repeated rows; other columns of the input are not read.
@@ -112,6 +112,14 @@ def _count_lines(c: Chunk) -> Stats:
     return {"n_lines": np.diff(first), "n_dup_lines": np.bincount(text[later], minlength=len(first) - 1)}
 
 
+def _count_doubled(c: Chunk) -> Stats:
+    starts, ends, first = c.words()
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    words = span_hashes(c.data, starts, ends, fold=False)
+    same = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
+    return {"n_doubled": np.bincount(text[1:][same], minlength=len(first) - 1)}
+
+
 def _count_repeats(c: Chunk) -> Stats:
     starts, ends, first = c.words()
     counts = np.diff(first)
@@ -130,6 +138,7 @@ STATISTICS: dict[str, Callable[[Chunk], Stats]] = {
     "n_words": _count_words,
     **dict.fromkeys(("word_chars", "n_symbols", "n_upper", "n_letters"), _count_characters),
     **dict.fromkeys(("n_lines", "n_dup_lines"), _count_lines),
+    "n_doubled": _count_doubled,
     "n_repeat_words": _count_repeats,
 }
 
@@ -148,7 +157,8 @@ RULES = (
     Rule("symbols", lambda s: 10 * s("n_symbols") > 3 * s("n_words")),
     Rule("word_length", lambda s: (s("word_chars") < 2 * s("n_words")) | (s("word_chars") > 16 * s("n_words"))),
     Rule("upper_case", lambda s: 2 * s("n_upper") > s("n_letters")),
-    Rule("repeated_lines", lambda s: 10 * s("n_dup_lines") > 3 * s("n_lines")),
+    Rule("repeated_lines", lambda s: (s("n_dup_lines") >= 3) & (2 * s("n_dup_lines") > s("n_lines"))),
+    Rule("doubled_words", lambda s: 10 * s("n_doubled") > 3 * s("n_words")),
 )
 
 

@@ -30,11 +30,13 @@ def test_rules_reject(stages):
         text = r["text"]
         lines = [x for x in text.split("\n") if WORD.search(x)]
         later = len(lines) - len(set(lines))
+        found = WORD.findall(text)
+        doubled = sum(a == b for a, b in zip(found, found[1:]))
         letters = sum(c.isascii() and c.isalpha() for c in text)
         upper = sum(c.isascii() and c.isupper() for c in text)
         bad = (
             words < 20 or 100 * repeats > 30 * words or 10 * symbols > 3 * words or chars < 2 * words or chars > 16 * words
-            or 2 * upper > letters or 10 * later > 3 * len(lines)
+            or 2 * upper > letters or (later >= 3 and 2 * later > len(lines)) or 10 * doubled > 3 * words
         )
         assert (r["doc_id"] in kept) != bad
     assert stages[1].columns == stages[0].columns
