@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as t
 from leafmill.functions.similarity import common_subsequence, indel_ratio, matcher_ratio, token_sort_ratio
 from leafmill.functions.values import extracted, is_actionable, is_not_found, raw_value
-from leafmill.operators import assembly, graph, resolve, structure
+from leafmill.operators import assembly, graph, passes, resolve, structure
 
 
 def column(spark, values, make, kind="string"):
@@ -125,3 +125,11 @@ def test_graph_paths(spark):
 def test_fragment_is_escaped(spark):
     got = column(spark, ["<a&'\">"], lambda c: assembly.fragment(c, F.lit(0.5), c))[0]
     assert got == '<span class="medium" title="&lt;a&amp;&#x27;&quot;&gt;">&lt;a&amp;&#x27;&quot;&gt;</span>'
+
+
+def test_section_chunks_cover_every_page_once():
+    got = list(passes.section_chunks([(1, 20), (21, 45), (46, 120), (130, 140)], 150))
+    assert got == [
+        (1, 45, False), (46, 75, True), (76, 105, True), (106, 120, True), (121, 129, False), (130, 140, False), (141, 150, False),
+    ]
+    assert list(passes.section_chunks([], 65)) == [(1, 30, False), (31, 60, False), (61, 65, False)]
