@@ -11,7 +11,8 @@ from leafmill.llm.pu_toxicity import op6_pu_toxicity
 from leafmill.llm.quality_rules import op7_quality_rules
 from leafmill.llm.rule_ensemble import op2_rule_ensemble
 from leafmill.llm.secret_scan import op8_secret_scan
-from leafmill.llm.topk_search import OP1_SQL, op1_topk_search
+from leafmill.llm.sql import SQL  # noqa: F401
+from leafmill.llm.topk_search import op1_topk_search
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
@@ -25,4 +26,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {"op1_topk_search": OP1_SQL}
