@@ -14,7 +14,7 @@ def keyed(name: Column, kind: str = "fund") -> Column:
 def upsert(entities: DataFrame) -> DataFrame:
     """One row a key: pages united, the best confidence, the last name, the first phase."""
     return entities.groupBy("key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"),
         F.max("confidence").alias("confidence"), F.max_by("name", "ord").alias("name"),
         F.min_by("phase", "ord").alias("phase"), F.count(F.lit(1)).alias("n_writes"),
     )
@@ -39,7 +39,7 @@ def rename(entities: DataFrame, names: DataFrame) -> DataFrame:
     mapped = entities.join(names.select("key", "canonical"), "key", "left")
     mapped = mapped.withColumn("key", F.coalesce("canonical", "key")).drop("canonical")
     return mapped.groupBy("key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"),
         F.max("confidence").alias("confidence"), F.min_by("name", "ord").alias("name"),
         F.min_by("phase", "ord").alias("phase"), F.count(F.lit(1)).alias("n_writes"),
     )

@@ -48,7 +48,7 @@ def table_info(findings: DataFrame, words: list[str]) -> DataFrame:
     filled = F.when(F.size("columns") > 0, F.col("ord"))
     hit = lambda c: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w))
     out = findings.groupBy("field").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min_by("columns", filled).alias("columns"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"), F.min_by("columns", filled).alias("columns"),
         F.bool_or(F.exists("columns", hit)).alias("has_name"),
     )
     return out.withColumn("name_column", F.get(F.filter("columns", hit), F.lit(0)))
