@@ -26,6 +26,8 @@ from leafmill.session import materialize, read_table
 WORD = r"[^\x20\x09-\x0D]+"
 LIMIT = 3
 BUCKET_DOCS = 256
+#: A table with one row a source is broadcast up to so many sources (some 100 bytes each), else joined by shuffle.
+BROADCAST_SOURCES = 50_000
 ROUNDS, PRECISION = 40, 1e-9
 
 
@@ -56,6 +58,10 @@ def targets(sources: DataFrame, limit: int = LIMIT) -> DataFrame:
     return levels.select("key", "source_size", target.alias("target"))
 
 
+def _small(df: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
+
+
 def _tilt(multiplier: str, size: str, mean: str, limit: float) -> Column:
     return F.when(F.col(size) == 0, F.lit(1.0)).otherwise(
         F.least(F.lit(float(limit)), F.exp(F.col(multiplier) * F.col(size) / F.col(mean)))
@@ -70,13 +76,15 @@ def balance(counted: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataFr
         F.lit(0.0).alias("multiplier"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
     )
     state = materialize(state, "dual")
+    n_sources = state.count()
     for _ in range(ROUNDS):
         rate = _tilt("multiplier", "size", "mean", limit)
         x = F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size") * rate
         slope = F.when(rate < limit, words * x).otherwise(0.0)
         sums = (
-            counted.where("size > 0").join(state.where("not full").select("key", "multiplier", "mean"), "key")
+            counted.where("size > 0")
+            .join(_small(state.where("not full").select("key", "multiplier", "mean"), n_sources), "key")
             .groupBy("key").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
         )
         gap = F.log(F.col("target") / F.col("words"))  # Newton on the logarithm of the words
@@ -119,7 +127,7 @@ def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str =
     solved = wanted.join(dual.select("key", "multiplier", "mean", "full"), "key", "left").join(
         sources.select("key", "source_rows"), "key"
     )
-    rated = slim.drop("source").join(solved, "key")
+    rated = slim.drop("source").join(_small(solved, wanted.count()), "key")
     rate = F.when(F.col("full"), F.lit(float(limit))).otherwise(_tilt("multiplier", "size", "mean", limit))
     bucket = F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("source_rows") / BUCKET_DOCS))
     one = F.struct("size", "id", "rows", F.coalesce(rate, F.lit(1.0)).alias("rate"))
