@@ -43,15 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(name: str) -> None:
-    """Remove the scratch tables of one name once nothing reads them any more."""
-    keep = []
-    for spark, path in _written:
-        if f"/leafmill-{name}-" in path:
-            _delete(spark, path)
-        else:
-            keep.append((spark, path))
-    _written[:] = keep
+def scratch_count() -> int:
+    """How many scratch tables there are so far; a place for :func:`release`."""
+    return len(_written)
+
+
+def release(since: int, result: DataFrame, name: str) -> DataFrame:
+    """Write the result of a job and remove the scratch tables that it made after ``since``."""
+    done = materialize(result, name)
+    for spark, path in _written[since:-1]:
+        _delete(spark, path)
+    del _written[since:-1]
+    return done
 
 
 def clear_scratch() -> None:
