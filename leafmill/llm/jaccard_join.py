@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
 from leafmill.llm.shingles import fingerprint, least_overlap, shingles
-from leafmill.session import materialize, read_table, ship_code
+from leafmill.session import materialize, read_table, release, scratch_count, ship_code
 
 #: Texts and shingles that a window of the counting step holds, and how often a shingle must occur in one.
 WINDOW_TEXTS, WINDOW_SHINGLES, WINDOW_COUNT = 8_192, 4_000_000, 4
@@ -279,17 +279,13 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     reach, its own included.
     """
     ship_code(docs.sparkSession)
+    since = scratch_count()
     slim = _texts(docs, text, id_)
     texts = materialize(_prefixes(slim, width, percent), "prefixes")
-    nodes = (
-        texts.where("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    )
-    nodes = materialize(nodes.withColumn("group", F.xxhash64("n", "prefix")), "nodes")
-    groups = nodes.groupBy("group").agg(
-        F.first("n").alias("n"), F.min("node").alias("head"), F.count(F.lit(1)).alias("members"),
-        F.first("prefix").alias("prefix"),
-    )
-    groups = materialize(groups, "groups")
+    filled = texts.where("n > 0").withColumn("group", F.xxhash64("n", "prefix"))
+    nodes = filled.groupBy("node", "check", "n").agg(F.min("id").alias("id"), F.first("group").alias("group"))
+    nodes = materialize(nodes, "nodes")
+    groups = materialize(filled.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "token")).select(
         "token", "group", "n", F.col("place").cast("long").alias("place")
     )
@@ -308,7 +304,7 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     weak = counted.where(f"met < {enough} and near > 0").select("a", "b", "na", "nb")
     weak = weak.join(in_large.select(F.col("group").alias("a")), "a", "left_semi")
     weak = weak.join(in_large.select(F.col("group").alias("b")), "b", "left_semi").select("a", "b", "na", "nb")
-    many = groups.where("members > 1").select("group", "head", "members")
+    many = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
 
     # Nodes whose sets may be looked at: heads of paired groups, groups of a long list, groups of several members.
     meant = group_pairs.select(F.col("a").alias("group")).unionByName(group_pairs.select(F.col("b").alias("group")))
@@ -370,7 +366,8 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     named = labelled.select("node", "component").join(named, "component").select("node", "component_id")
     out = texts.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), whole.alias("component_id"))
+    out = out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), whole.alias("component_id"))
+    return release(since, out, "classes")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -378,7 +375,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
 
     Rows that share an id count as one document, of which the first in the order of text and columns stays.
     """
-    classes = materialize(similar(docs, width, percent, text, id_), "classes")
+    classes = similar(docs, width, percent, text, id_)
     named = classes.where(F.col(id_).eqNullSafe(F.col("component_id"))).select(F.col(id_).alias("kept")).distinct()
     columns = [text, *(c for c in docs.columns if c != text)]
     packed = docs.select(F.col(id_).alias("id"), F.struct(*columns).alias("row"))
