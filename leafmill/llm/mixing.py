@@ -169,8 +169,9 @@ def remix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     taken = mix(docs, text, id_, source).select(F.col("id").alias("_i"), F.col("key").alias("_k"), F.col("size").alias("_s"), "rows", "copies")
     whole = docs.select(F.struct(*(F.col(c) for c in columns)).alias("row"), F.col(id_).alias("id"), _key(F.col(source)).alias("key"), words.alias("size"))
+    # One row a document: it grows with the corpus, so it is never to be broadcast.
     joined = whole.join(
-        taken, F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_s"))
+        taken.hint("merge"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_s"))
     )
     equal = Window.partitionBy("id", "key", "size").orderBy(F.lit(0))
     place = F.when(F.col("rows") > 1, F.row_number().over(equal)).otherwise(1)
