@@ -81,8 +81,9 @@ def _frequent(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, n, node, check (128 bits of the set) and the prefix of every text."""
+    """The columns besides the text, n, node, check (128 bits of the set) and the prefix of every text."""
     frequent = slim.sparkSession.sparkContext.broadcast(_frequent(slim, width))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema if f.name != "text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place = frequent.value
@@ -109,14 +110,14 @@ def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                    *(batch.column(c) for c in kinds), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                     pa.array(checks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["id", "n", "node", "check", "prefix"],
+                names=[*kinds, "n", "node", "check", "prefix"],
             )
 
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, n long, node long, check long, prefix array<long>")
+    held = "".join(f"{c} {kind}, " for c, kind in kinds.items())
+    return slim.mapInArrow(run, f"{held}n long, node long, check long, prefix array<long>")
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray, percent: int) -> np.ndarray:
@@ -272,15 +273,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """id, ``n_shingles`` and ``component_id`` of every row.
-
-    Rows link when 100 * shared >= percent * united distinct shingles; ``component_id`` is the smallest id that links
-    reach, its own included.
-    """
-    ship_code(docs.sparkSession)
-    since = scratch_count()
-    slim = _texts(docs, text, id_)
+def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of all texts, and (node, id, component) of the nodes: ``component`` is a node that links reach."""
     texts = materialize(_prefixes(slim, width, percent), "prefixes")
     filled = texts.where("n > 0").withColumn("group", F.xxhash64("n", "prefix"))
     nodes = filled.groupBy("node", "check", "n").agg(F.min("id").alias("id"), F.first("group").alias("group"))
@@ -362,6 +356,18 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
         joined = components(links.unionByName(fresh))
 
     labelled = nodes.select("node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return texts, labelled
+
+
+def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """id, ``n_shingles`` and ``component_id`` of every row.
+
+    Rows link when 100 * shared >= percent * united distinct shingles; ``component_id`` is the smallest id that links
+    reach, its own included.
+    """
+    ship_code(docs.sparkSession)
+    since = scratch_count()
+    texts, labelled = _classes(_texts(docs, text, id_), width, percent)
     named = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labelled.select("node", "component").join(named, "component").select("node", "component_id")
     out = texts.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
@@ -371,16 +377,34 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group of near-duplicates.
+    """One row of each class of near-duplicates, with all its columns.
 
-    Rows that share an id count as one document, of which the first in the order of text and columns stays.
+    It is a row of the class's smallest id (a null id only where the class has no other).  Ids need not be unique: rows of
+    one id whose texts are in different classes all stay.  Of a class's rows with that id one text stays, and of rows with
+    the same id and text the first in the order of columns.  A text without words is a class with rows of the same id and
+    text only, and one without an id is a class of its own.
     """
-    classes = similar(docs, width, percent, text, id_)
-    named = classes.where(F.col(id_).eqNullSafe(F.col("component_id"))).select(F.col(id_).alias("kept")).distinct()
+    ship_code(docs.sparkSession)
+    since = scratch_count()
+    # 128 bits of the text tell apart the rows of an id (or of none).
+    key = {"one": F.xxhash64(text), "two": F.xxhash64(F.lit(1), text)}
+    slim = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), *(k.alias(c) for c, k in key.items()))
+    texts, labelled = _classes(slim, width, percent)
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "one", "two"))
+    of_node = texts.where("n > 0").groupBy("node").agg(least.alias("best")).select("node", "best.id", "best.one", "best.two")
+    of_class = of_node.join(labelled.select("node", "component"), "node").groupBy("component").agg(least.alias("best"))
+    wordless = texts.where("n = 0").select("id", "one", "two").distinct()
+    kept = of_class.select("best.id", "best.one", "best.two").unionByName(wordless)
+    kept = release(since, kept.select(F.col("id").alias("kept"), F.col("one").alias("kept_one"), F.col("two").alias("kept_two")), "kept")
+    alone = F.col(id_).isNull() & ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [text, *(c for c in docs.columns if c != text)]
-    packed = docs.select(F.col(id_).alias("id"), F.struct(*columns).alias("row"))
-    packed = packed.join(named, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
-    return packed.groupBy("id").agg(F.min("row").alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
+    packed = docs.select(
+        F.col(id_).alias("id"), *(k.alias(c) for c, k in key.items()), F.when(alone, F.monotonically_increasing_id()).alias("alone"),
+        F.struct(*columns).alias("row"),
+    )
+    same = F.col("id").eqNullSafe(F.col("kept")) & (F.col("one") == F.col("kept_one")) & (F.col("two") == F.col("kept_two"))
+    packed = packed.join(kept, same, "left_semi").groupBy("id", "one", "two", "alone").agg(F.min("row").alias("row"))
+    return packed.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

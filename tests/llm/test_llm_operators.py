@@ -240,6 +240,21 @@ def test_similar_on_empty_table(spark, empty, odd):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7, 9]
 
 
+def test_one_of_each_class_stays_whatever_its_ids(spark):
+    x, y, z, u = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyzu")
+    rows = [
+        (None, x), (None, y), (None, f"{y} more"), (None, z), (3, z), (5, f"{z} more"), (5, u), (7, f"{x} more and more"),
+        (8, "v " * 9), (8, "w " * 9), (8, "w " * 9), (None, None), (None, ""), (None, ""), (9, ""), (9, ""), (9, None),
+    ]
+    kept = jaccard_join.one_of_each(table(spark, [(i, t, "s") for i, t in rows]), 3, 80)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    of_y = [(i, t) for i, t in got if (t or "").startswith("y")]
+    assert len(of_y) == 1 and of_y[0][0] is None and got.pop(of_y[0]) == 1
+    assert got == Counter(
+        [(3, z), (5, u), (7, f"{x} more and more"), (8, "v " * 9), (8, "w " * 9), (None, None), (None, ""), (None, ""), (9, ""), (9, None)]
+    )
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45), (7, 7), (None, 3), (60, 60)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
