@@ -30,10 +30,12 @@ from leafmill.session import read_table, ship_code
 # HTML's own element classes.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "annotation math menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select canvas".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -59,12 +61,15 @@ OTHER_NAMES = frozenset(
 OTHER_BEGINNINGS = ("advert", "breadcrumb", "commentbox", "cookie", "newsletter", "noticebar", "sidebar", "sponsor")
 #: Words with which a name speaks of the layout around such a part: ``has-sidebar`` isn't a sidebar.
 LAYOUT = frozenset("has layout no with".split())
+#: Names that speak of a part's form rather than its matter: inside a marked article they don't make it another part.
+FORMS = frozenset("banner header masthead widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: its name whole, and its value with the quotes that end it.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[^\w\s]")
@@ -81,17 +86,29 @@ class _Open:
         self.tag, self.path, self.other, self.main = tag, path, other, main
 
 
-def _names_other(rest: str) -> bool:
+def _attributes(rest: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
     for key, *values in _ATTRIBUTE.findall(rest):
-        key, value = key.lower(), "".join(values)
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.strip().lower() in OTHER_ROLES:
+        if key:
+            out.setdefault(key.lower(), "".join(values))
+    return out
+
+
+def _names_other(rest: str, main: bool = False) -> bool:
+    """Whether a tag says that it isn't the article; ``main`` says that it stands in a marked one."""
+    if not rest or rest.isspace():
+        return False
+    had = _attributes(rest)
+    if "hidden" in had or had.get("aria-hidden", "").lower() == "true":
+        return True
+    if had.get("role", "").strip().lower() in OTHER_ROLES:
+        return True
+    for name in f"{had.get('class', '')} {had.get('id', '')}".split():
+        words = {x.lower() for x in _NAME.findall(name)}
+        named = words & OTHER_NAMES - FORMS if main else words & OTHER_NAMES
+        if not words & LAYOUT and (named or any(x.startswith(OTHER_BEGINNINGS) for x in words)):
             return True
-        for name in value.split() if key in ("class", "id") else ():
-            words = {x.lower() for x in _NAME.findall(name)}
-            if not words & LAYOUT and (words & OTHER_NAMES or any(x.startswith(OTHER_BEGINNINGS) for x in words)):
-                return True
     return False
 
 
@@ -139,13 +156,16 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             held.append(" ")
             continue
         rest = found["rest"]
+        if tag == "svg" and rest.rstrip().endswith("/"):  # closed by itself
+            close_block()
+            continue
         if tag in RAW:
             close = _ENDS[tag].search(page, at)
             if tag != "title" or close:
                 close_block()
             at = close.end() if close else end
             continue
-        if tag in INLINE and not (tag in ("span", "a") and _names_other(rest)):
+        if tag in INLINE and not (tag in ("span", "a") and _names_other(rest, stack[-1].main)):
             continue
         if tag in INLINE:  # an inline advert or notice: what stands in it is left out
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -159,8 +179,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        other = top.other or tag in OTHER_TAGS or tag == "header" and not top.main or tag not in ("html", "body") and _names_other(rest)
-        main = not other and (top.main or tag in MAIN_TAGS or bool(re.search(r"""role\s*=\s*["']?main\b""", rest, re.I)))
+        other = top.other or tag in OTHER_TAGS or tag == "header" and not top.main or tag not in ("html", "body") and _names_other(rest, top.main)
+        main = not other and (top.main or tag in MAIN_TAGS or "main" in _attributes(rest).get("role", "").lower().split())
         stack.append(_Open(tag, f"{top.path}/{tag}", other, main))
     close_block()
     return out

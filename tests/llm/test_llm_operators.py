@@ -282,6 +282,26 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div style="overflow:hidden">Here, it is.</div>', '<div title="the hidden cost">Here, it is.</div>',
+        '<div data-class="comment" data-role="search" x-id=related>Here, it is.</div>', "<div class=header-text>Here, it is.</div>",
+        '<div>Here<svg class="dot"/>, it is.</div>', "<section class='widget'>Here, it is.</section>",
+        '<div><a href="/hidden-lake">Here</a>, <a href="/view?id=related">it is</a>.</div>',
+        '<div>Here, <span title="class=comment">it</span> <math><mi>is</mi></math>.</div>', "<div>Here, <math/>it is.</div>",
+    ],
+)
+def test_html_attributes_say_what_they_are(part):
+    got = html_text.content(f"<article><p>One, two and three.</p>{part}<p>Last, not least.</p></article>")
+    assert got.replace("Here\n,", "Here,") == "One, two and three.\nHere, it is.\nLast, not least."
+
+
+@pytest.mark.parametrize("rest", ["hidden", 'HIDDEN=""', "a='b' aria-hidden=true", 'title="x" class="x comment"', "role = search", "id='related'"])
+def test_html_other_parts_go(rest):
+    assert html_text.content(f"<article><p>One, two.</p><div {rest}>Gone.</div><p>Last.</p></article>") == "One, two.\nLast."
+
+
 def test_html_keeps_the_whole_article(spark, sf):
     import html
 
