@@ -6,7 +6,9 @@ text per block and punctuation per block are smoothed along the order in which p
 multiplication, and the paths that reach a share of the spread of all fused ratios are content.  Paths under an element
 that names itself something else (menu, header, footer, sidebar, notice, advert, form, comments, ...) weigh nothing.
 Where the page marks an article or main part, its paths share one ratio, so that short headings stand with their text,
-and it weighs MAIN_WEIGHT times as much as what stands beside it.
+and it weighs MAIN_WEIGHT times as much as what stands beside it.  Elsewhere the innermost element that holds HOLDS of
+the content is the article, and its lists, tables, headings and quotes stay too.  Several marked parts that together are
+shorter than the content found beside them are teasers, and the page counts as unmarked.
 
 Inline tags don't end a block; ``<br>`` is white space.  Character references are decoded, white space (including
 no-break spaces) inside a block becomes one space, blocks are trimmed, empty ones fall away, and the others are joined
@@ -77,13 +79,16 @@ _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 #: Width of the smoothing along paths, and the share of the spread that a content path reaches.
 SIGMA, SHARE = 1.0, 0.5
 MAIN_WEIGHT = 1_000.0
+#: The share of the content's text that the article's element holds, and elements that are a part of a text only.
+HOLDS = 0.9
+LEAVES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 
 
 class _Open:
-    __slots__ = ("main", "other", "path", "tag")
+    __slots__ = ("inside", "main", "other", "path", "tag")
 
-    def __init__(self, tag: str, path: str, other: bool, main: bool) -> None:
-        self.tag, self.path, self.other, self.main = tag, path, other, main
+    def __init__(self, tag: str, path: str, other: bool, main: int, inside: tuple[int, ...]) -> None:
+        self.tag, self.path, self.other, self.main, self.inside = tag, path, other, main, inside
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -112,11 +117,16 @@ def _names_other(rest: str, main: bool = False) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(path, other, main, text) of every block with text, in page order."""
-    out: list[tuple[str, bool, bool, str]] = []
-    stack = [_Open("", "", False, False)]
+def blocks(page: str) -> list[tuple[str, bool, int, str, tuple[int, ...]]]:
+    """(path, other, main, text, inside) of every block with text, in page order.
+
+    Elements are numbered in page order: ``main`` is the outermost marked one around the block or 0, ``inside`` are all
+    around it that aren't themselves a paragraph, cell or the like.
+    """
+    out: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
+    stack = [_Open("", "", False, 0, (0,))]
     held: list[str] = []
+    number = 0
     at, end = 0, len(page)
 
     def close_block() -> None:
@@ -125,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             held.clear()
             if text:
                 top = stack[-1]
-                out.append((top.path, top.other, top.main, text))
+                out.append((top.path, top.other, top.main, text, top.inside))
 
     def drop(tags, stop) -> None:
         """End open elements down to the last of ``tags`` that no element of ``stop`` hides."""
@@ -180,8 +190,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             continue
         top = stack[-1]
         other = top.other or tag in OTHER_TAGS or tag == "header" and not top.main or tag not in ("html", "body") and _names_other(rest, top.main)
-        main = not other and (top.main or tag in MAIN_TAGS or "main" in _attributes(rest).get("role", "").lower().split())
-        stack.append(_Open(tag, f"{top.path}/{tag}", other, main))
+        number += 1
+        marked = tag in MAIN_TAGS or "main" in _attributes(rest).get("role", "").lower().split()
+        main = 0 if other else top.main or (number if marked else 0)
+        inside = top.inside if tag in LEAVES else (*top.inside, number)
+        stack.append(_Open(tag, f"{top.path}/{tag}", other, main, inside))
     close_block()
     return out
 
@@ -189,20 +202,40 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
 def content(page: str) -> str:
     """The main text of one page."""
     found = [x for x in blocks(page) if not x[1]]
+    if not found:
+        return ""
+    marked = {x[2] for x in found} - {0}
+    keep = _content_blocks(found, ["main" if x[2] else x[0] for x in found]) if marked else None
+    if len(marked) != 1:
+        plain = _content_blocks(found, [x[0] for x in found])
+        outside = sum(len(x[3]) for x, k in zip(found, plain, strict=True) if k and not x[2])
+        if keep is None or outside > sum(len(x[3]) for x in found if x[2]):
+            keep = _with_article(found, plain)
+    return "\n".join(x[3] for x, k in zip(found, keep, strict=True) if k)
+
+
+def _content_blocks(found: list, keys: list[str]) -> list[bool]:
+    """Which blocks are on content paths."""
     paths: dict[str, list[float]] = {}
-    keys = []
-    for path, _, main, text in found:
-        key = "main" if main else path
-        keys.append(key)
+    for x, key in zip(found, keys, strict=True):
         total = paths.setdefault(key, [0.0, 0.0, 0.0])
-        total[0] += len(text)
-        total[1] += len(_PUNCTUATION.findall(text))
+        total[0] += len(x[3])
+        total[1] += len(_PUNCTUATION.findall(x[3]))
         total[2] += 1
-    if not paths:
-        return ""
     kept = _chosen(np.array(list(paths.values())), np.array([MAIN_WEIGHT if k == "main" else 1.0 for k in paths]))
     chosen = {k for k, keep in zip(paths, kept, strict=True) if keep}
-    return "\n".join(text for (_, _, _, text), key in zip(found, keys, strict=True) if key in chosen)
+    return [key in chosen for key in keys]
+
+
+def _with_article(found: list, keep: list[bool]) -> list[bool]:
+    """The content blocks and all others in the innermost element that holds most of the content."""
+    held: dict[int, int] = {}
+    for x, k in zip(found, keep, strict=True):
+        for element in x[4] if k else ():
+            held[element] = held.get(element, 0) + len(x[3])
+    # More than half of the text: such elements lie one in another, and later ones further in.
+    article = max((e for e, n in held.items() if n >= HOLDS * held[0]), default=0)
+    return [k or article in x[4] for x, k in zip(found, keep, strict=True)]
 
 
 def _chosen(totals: np.ndarray, worth: np.ndarray) -> np.ndarray:

@@ -302,6 +302,29 @@ def test_html_other_parts_go(rest):
     assert html_text.content(f"<article><p>One, two.</p><div {rest}>Gone.</div><p>Last.</p></article>") == "One, two.\nLast."
 
 
+def _unmarked(k):
+    told = lambda n, x: (f"{x} word" * n)[:n].strip()
+    parts = [("h1", told(40, "Head")), *(("p", told(290, f"P{i}, and. so, on. x, y.")) for i in range(20))]
+    parts += [("h2", told(30, f"H{i}")) for i in range(5)] + [("li", told(40, f"L{i}")) for i in range(10)]
+    parts += [("td", told(10, f"T{i}")) for i in range(30)] + [("pre", "x = 1"), ("blockquote", "So it is")]
+    around = {"li": "<ul>%s</ul>", "td": "<table><tr>%s</tr></table>"}
+    text = "".join(around.get(tag, "%s") % f"<{tag}>{x}</{tag}>" for tag, x in parts)
+    menu = "<div><ul><li><a href=/a>Elsewhere</a><li>Else</ul></div>" * k
+    return f"<body>{menu}<div><div>{text}</div></div><footer>Us</footer></body>", "\n".join(x for _, x in parts)
+
+
+@pytest.mark.parametrize("menus", [0, 2])
+def test_html_keeps_lists_and_tables_of_unmarked_pages(menus):
+    page, text = _unmarked(menus)
+    assert html_text.content(page) == text
+
+
+def test_html_teasers_are_no_article():
+    page, text = _unmarked(0)
+    teasers = "<section><article><h3>More</h3><p>Read on, now.</p></article><article><p>Or this.</p></article></section>"
+    assert html_text.content(page.replace("<footer>", teasers + "<footer>")) == text
+
+
 def test_html_keeps_the_whole_article(spark, sf):
     import html
 
