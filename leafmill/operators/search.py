@@ -15,20 +15,24 @@ def search_term(pages: DataFrame, term: str, most: int) -> DataFrame:
     return found.select("page", t.snippet(F.col("text"), F.lit(term)).alias("context"))
 
 
-def search_patterns(pages: DataFrame, terms: list[str], most: int) -> DataFrame:
+def search_patterns(pages: DataFrame, terms: list[str], most: int | None) -> DataFrame:
     """(page, term_ord, term): each term gives its first pages, a page keeps its first term, ``most`` rows stay.
 
-    Terms are tested in one scan; a page row fans out only to the terms that it holds.
+    Terms are tested in one scan; a page row fans out only to the terms that it holds.  Without ``most`` every page with a
+    term stays.
     """
-    each = max(1, most // len(terms))
     low = F.lower("text")
     hits = F.array(*(F.when(F.contains(low, F.lit(x.lower())), F.lit(i)) for i, x in enumerate(terms)))
+    names = F.array(*map(F.lit, terms))
     found = pages.select("page", F.explode(F.array_compact(hits)).alias("term_ord"))
+    if most is None:
+        found = found.groupBy("page").agg(F.min("term_ord").alias("term_ord"))
+        return found.select("page", "term_ord", F.get(names, F.col("term_ord")).alias("term"))
+    each = max(1, most // len(terms))
     of_term = Window.partitionBy("term_ord").orderBy("page")
     of_page = Window.partitionBy("page").orderBy("term_ord")
     found = found.withColumn("n", F.row_number().over(of_term)).where(F.col("n") <= each)
     found = found.withColumn("n", F.row_number().over(of_page)).where("n = 1")
-    names = F.array(*map(F.lit, terms))
     found = found.orderBy("term_ord", "page").limit(most)
     return found.select("page", "term_ord", F.get(names, F.col("term_ord")).alias("term"))
 

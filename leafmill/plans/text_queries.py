@@ -244,10 +244,19 @@ FROM r GROUP BY 1, 2 HAVING count(document) > 0.3 * count_if(coalesce(trim(cell)
 
 
 def provenance_slice(spark, sf):
-    """Pages to patterns to codes to extracted values to counts, end to end."""
+    """Pages to patterns to codes to extracted values to counts, end to end, over the pages of a search report."""
+    return _provenance(spark, sf, 400)
+
+
+def provenance_whole(spark, sf):
+    """Pages to patterns to codes to extracted values to counts, end to end, over all pages with a term."""
+    return _provenance(spark, sf, None)
+
+
+def _provenance(spark, sf, most):
     docs = read_table(spark, sf, "documents")
     pages = docs.select(F.col("doc_id").alias("page"), "text")
-    hits = search.search_patterns(pages, TERMS, 400)
+    hits = search.search_patterns(pages, TERMS, most)
     found = search.codes(pages.join(hits.select("page"), "page", "left_semi"), ISIN)
     best = found.groupBy("page").agg(F.min_by("code", "pos").alias("code"))
     value = extracted(F.col("code"), F.col("page"), None, F.when(F.col("code").isNotNull(), 0.9).otherwise(1.0), F.when(F.col("term") == "que", "not_applicable"))
@@ -268,6 +277,17 @@ SELECT term, count(*) AS n_total, count(code) AS n_high, CAST(0 AS BIGINT) AS n_
 FROM v GROUP BY term
 """
 
+WHOLE_SQL = """
+WITH p(term_ord, term) AS (VALUES (0, 'the'), (1, 'license'), (2, 'ing of'), (3, 'que')),
+b AS (SELECT doc_id AS page, text, arg_min(term, term_ord) AS term FROM documents JOIN p ON contains(lower(text), term) GROUP BY 1, 2),
+v AS (SELECT term, nullif(regexp_extract(text, '\\b([A-Z]{2}[A-Z0-9]{10})\\b', 1), '') AS code FROM b)
+SELECT term, count(*) AS n_total, count(code) AS n_high, CAST(0 AS BIGINT) AS n_low, count_if(code IS NULL) AS n_not_found,
+  CAST(0 AS BIGINT) AS n_not_in_document, count_if(code IS NULL AND term = 'que') AS n_not_applicable,
+  CAST(0 AS BIGINT) AS n_in_external_doc, CAST(0 AS BIGINT) AS n_inherited,
+  count_if(code IS NULL AND term <> 'que') AS n_extraction_failed, count_if(code IS NULL AND term <> 'que') AS n_actionable
+FROM v GROUP BY term
+"""
+
 
 def html_report_fragments(spark, sf):
     docs = read_table(spark, sf, "documents")
@@ -296,5 +316,6 @@ QUERIES = {
     "name_normalize": (name_normalize, NAMES_SQL),
     "cell_reference_ratio": (cell_reference_ratio, CELLS_SQL),
     "provenance_slice": (provenance_slice, SLICE_SQL),
+    "provenance_whole": (provenance_whole, WHOLE_SQL),
     "html_report_fragments": (html_report_fragments, HTML_SQL),
 }

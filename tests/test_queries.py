@@ -46,6 +46,14 @@ def test_runs(spark, sf, name):
     df.collect()
 
 
+def test_entry_counts_every_page_with_a_term(spark, sf):
+    import __spark_entry__ as e
+
+    terms = ("the", "license", "ing of", "que")
+    texts = [r["text"].lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sum(r["n_total"] for r in e.entry(spark).collect()) == sum(any(x in t for x in terms) for t in texts)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
