@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import passes
+from leafmill.operators import passes, search
 from leafmill.session import read_table
 
 
@@ -19,6 +19,19 @@ SELECT value[1:3] AS term, min(ord) AS ord FROM v WHERE value <> '' GROUP BY 1
 """
 
 
+def learned_terms_whole(spark, sf):
+    """What all codes of each text teach; learned_terms takes the first of each."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "text")
+    found = search.codes(d, r"([A-Z]{2}[A-Z0-9]{10})")
+    return passes.learned_terms(found.select(F.col("code").alias("value"), F.col("page").alias("ord")))
+
+
+LEARNED_WHOLE_SQL = """
+WITH v AS (SELECT unnest(regexp_extract_all(text, '([A-Z]{2}[A-Z0-9]{10})', 1)) AS value, doc_id AS ord FROM documents)
+SELECT value[1:3] AS term, min(ord) AS ord FROM v GROUP BY 1
+"""
+
+
 def _orders(spark, sf):
     o = read_table(spark, sf, "orders")
     start = (F.col("o_orderkey") % 60 + 1).alias("page_start")
@@ -144,6 +157,7 @@ def structure_chunks(spark, sf):
 
 QUERIES = {
     "learned_terms": (learned_terms, LEARNED_SQL),
+    "learned_terms_whole": (learned_terms_whole, LEARNED_WHOLE_SQL),
     "gleaned_tables": (gleaned_tables, GLEANED_SQL),
     "gleaned_names": (gleaned_names, NAMES_SQL),
     "broadcast_rows": (broadcast_rows, BROADCAST_SQL),

@@ -54,6 +54,13 @@ def test_entry_counts_every_page_with_a_term(spark, sf):
     assert sum(r["n_total"] for r in e.entry(spark).collect()) == sum(any(x in t for x in terms) for t in texts)
 
 
+def test_every_code_teaches(spark, tmp_path):
+    text = "ABC123456789 then DEF123456789 and ABC000000000"
+    spark.createDataFrame([(1, text), (2, "DEF999999999"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["term"], r["ord"]) for r in QUERIES["learned_terms_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("ABC", 1), ("DEF", 1)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
