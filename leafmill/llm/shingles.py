@@ -81,13 +81,18 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & (~before | cut[:-1])), np.flatnonzero(inside & (~after | cut[1:])) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
+def prefix_hashes(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of weighted bytes, and factors that take their place in the text out of a difference of two."""
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_FOLDED if fold else _BYTE)[data] * _power("up", _BASE, n)[:n], out=total[1:])
-    found = (total[ends] - total[starts]) * _power("down", _INVERSE, n + 1)[starts]
-    return mix(found ^ (ends - starts).astype(np.uint64))
+    return total, _power("down", _INVERSE, n + 1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
+    total, down = prefix_hashes(data, fold)
+    return mix(((total[ends] - total[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
 
 
 def word_hashes(
