@@ -1,26 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a stream of tags.  Each stretch of text belongs to a block, and each block to a root-to-leaf path of
-block tags.  For every path of the page the text length and the punctuation of all its blocks are added up; the ratios
-text per block and punctuation per block are smoothed along the order in which paths first occur, fused by
-multiplication, and the paths that reach a share of the spread of all fused ratios are content.  Paths under an element
-that names itself something else (menu, header, footer, sidebar, notice, advert, form, comments, ...) weigh nothing.
-Where the page marks an article or main part, its paths share one ratio, so that short headings stand with their text,
-and it weighs MAIN_WEIGHT times as much as what stands beside it.  Elsewhere the innermost element that holds HOLDS of
-the content is the article, and its lists, tables, headings and quotes stay too.  Several marked parts that together are
-shorter than the content found beside them are teasers, and the page counts as unmarked.
-
-Inline tags don't end a block; ``<br>`` is white space.  Character references are decoded, white space (including
-no-break spaces) inside a block becomes one space, blocks are trimmed, empty ones fall away, and the others are joined
-by ``\\n`` in page order.  A null or empty page, or one without text, gives the empty string.  Each input row gives one
-row; equal rows give equal rows; other columns of the input are not read.
+block tags with their classes and ids.  For every path of the page the text length and the punctuation of all its blocks
+are added up; the ratios text per block and punctuation per block are smoothed along the order in which paths first
+occur and fused by multiplication.  What an element says of itself changes its paths' ratios and decides nothing alone:
+a marked article or main part weighs MARKED times as much, a part that names itself something else (menu, footer,
+sidebar, notice, advert, form, comments, ...) OTHER times, one that may well be a part of the article (related, share,
+social, ...) MAYBE times.
+
+Paths that reach a share of the spread of all fused ratios are content.  The innermost element that holds HOLDS of the
+content's text is the article.  What stands in it belongs to it, short headings, lists, tables and quotes too, except
+for parts with a name of their own, which stay only where at least half of their text is content by its ratio.
+
+Inline tags don't end a block; ``<br>`` is white space; an inline element that names itself an advert or is hidden counts
+as a path of its own.  Character references are decoded, white space (including no-break spaces) inside a block becomes
+one space, blocks are trimmed, empty ones fall away, and the others are joined by ``\n`` in page order.  A null or
+empty page, or one without text, gives the empty string.  Work and memory grow in proportion to the page, however deep
+it nests.  Each input row gives one row; equal rows give equal rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,48 +52,68 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-# Elements and names that say that a part is not the article.
+# Elements and names that say that a part is not the article, and names that may stand in one.
 OTHER_TAGS = frozenset("nav footer aside form button dialog menu".split())
 OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
-OTHER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle banner bottombar breadcrumb breadcrumbs comment "
-    "commentlist comments consent cookie cookiebar cookies copyright disclaimer disqus footer gdpr header hidden login "
-    "masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager "
-    "pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond "
-    "share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola teaser "
-    "toolbar topbar widget widgets".split()
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored taboola outbrain hidden".split())
+OTHER_NAMES = ADVERTS | frozenset(
+    "banner bottombar breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebar cookies copyright "
+    "disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "notification overlay pager pagination paywall popup promo promoted promotion replies reply respond sidebar signup "
+    "skip skyscraper subscribe subscription toolbar topbar widget widgets".split()
 )
+MAYBE_NAMES = frozenset("recommendations recommended related share sharing social teaser teasers".split())
 OTHER_BEGINNINGS = ("advert", "breadcrumb", "commentbox", "cookie", "newsletter", "noticebar", "sidebar", "sponsor")
 #: Words with which a name speaks of the layout around such a part: ``has-sidebar`` isn't a sidebar.
 LAYOUT = frozenset("has layout no with".split())
-#: Names that speak of a part's form rather than its matter: inside a marked article they don't make it another part.
+#: Names that speak of a part's form rather than its matter: they say nothing inside a marked article.
 FORMS = frozenset("banner header masthead widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S
 )
+#: For what follows a tag whose quotes don't close: there a quote is a character like others.
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|<[!?][^>]*>", re.S)
+_BEGIN = re.compile(r"<!--|<[!?/]?[a-zA-Z]|<[!?]")
 #: One attribute: its name whole, and its value with the quotes that end it.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
-#: Width of the smoothing along paths, and the share of the spread that a content path reaches.
-SIGMA, SHARE = 1.0, 0.5
-MAIN_WEIGHT = 1_000.0
+#: Weight of a neighbouring path in the smoothing, and the share of the spread that a content path reaches.
+NEIGHBOUR, SHARE = 0.1, 0.25
+#: What the ratios of paths are multiplied by.
+MARKED, MAYBE, OTHER = 3.0, 0.1, 0.01
 #: The share of the content's text that the article's element holds, and elements that are a part of a text only.
 HOLDS = 0.9
 LEAVES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 
 
-class _Open:
-    __slots__ = ("inside", "main", "other", "path", "tag")
+class _Open(NamedTuple):
+    """An open element: its path, weight and holder (the element that isn't a leaf around its text), whether in a marked part, and the part with a name of its own."""
 
-    def __init__(self, tag: str, path: str, other: bool, main: int, inside: tuple[int, ...]) -> None:
-        self.tag, self.path, self.other, self.main, self.inside = tag, path, other, main, inside
+    tag: str
+    path: int
+    weight: float
+    holder: int
+    main: bool
+    part: int
+
+
+class Block(NamedTuple):
+    """A block, or a stretch of one: pieces that share ``block`` are one block of the text."""
+
+    block: int
+    path: int
+    weight: float
+    holder: int
+    part: int
+    text: str
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -100,154 +125,225 @@ def _attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def _names_other(rest: str, main: bool = False) -> bool:
-    """Whether a tag says that it isn't the article; ``main`` says that it stands in a marked one."""
-    if not rest or rest.isspace():
-        return False
-    had = _attributes(rest)
-    if "hidden" in had or had.get("aria-hidden", "").lower() == "true":
-        return True
+def _weight(tag: str, had: dict[str, str], main: bool) -> float:
+    """What an element says of itself; ``main`` says that it stands in a marked article."""
+    if tag in OTHER_TAGS or tag == "header" and not main:
+        return OTHER
+    if "hidden" in had or had.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(had.get("style", "")):
+        return OTHER
     if had.get("role", "").strip().lower() in OTHER_ROLES:
-        return True
+        return OTHER
+    weight = 1.0
+    for words in _named(had):
+        if words & OTHER_NAMES - (FORMS if main else frozenset()) or any(x.startswith(OTHER_BEGINNINGS) for x in words):
+            return OTHER
+        if words & MAYBE_NAMES:
+            weight = MAYBE
+    return weight
+
+
+def _named(had: dict[str, str]) -> Iterator[set[str]]:
+    """The words of each class and id that doesn't speak of the layout."""
     for name in f"{had.get('class', '')} {had.get('id', '')}".split():
         words = {x.lower() for x in _NAME.findall(name)}
-        named = words & OTHER_NAMES - FORMS if main else words & OTHER_NAMES
-        if not words & LAYOUT and (named or any(x.startswith(OTHER_BEGINNINGS) for x in words)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, bool, int, str, tuple[int, ...]]]:
-    """(path, other, main, text, inside) of every block with text, in page order.
-
-    Elements are numbered in page order: ``main`` is the outermost marked one around the block or 0, ``inside`` are all
-    around it that aren't themselves a paragraph, cell or the like.
-    """
-    out: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
-    stack = [_Open("", "", False, 0, (0,))]
-    held: list[str] = []
-    number = 0
-    at, end = 0, len(page)
-
-    def close_block() -> None:
-        if held:
-            text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+        if not words & LAYOUT:
+            yield words
+
+
+def _is_advert(had: dict[str, str]) -> bool:
+    """Whether an inline element is an advert or hidden."""
+    return "hidden" in had or bool(_UNSEEN.search(had.get("style", ""))) or any(x & ADVERTS for x in _named(had))
+
+
+class Page:
+    """The blocks of a page and how its elements lie in one another (``around``: each one's holder before it)."""
+
+    def __init__(self, page: str) -> None:
+        self.blocks: list[Block] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.around = [0]
+        self._read(page)
+
+    def _path(self, before: int, name: str) -> int:
+        return self.paths.setdefault((before, name), len(self.paths) + 1)
+
+    def _read(self, page: str) -> None:
+        stack = [_Open("", 0, 1.0, 0, False, 0)]
+        open_tags: Counter[str] = Counter()
+        held: list[str] = []
+        inline = ("", "")  # the tag and name of an open inline advert, and how many such tags are open
+        depth = 0
+        token, last = _TOKEN, page.rfind(">")
+        number, parts, block = 0, 0, 0
+        at, end = 0, len(page)
+
+        def stretch() -> None:
+            if held:
+                text = _SPACE.sub(" ", html.unescape("".join(held)))
+                held.clear()
+                if text.strip():
+                    top = stack[-1]
+                    if depth:
+                        self.blocks.append(Block(block, self._path(top.path, inline[1]), OTHER, top.holder, -1, text))
+                    else:
+                        self.blocks.append(Block(block, top.path, top.weight, top.holder, top.part, text))
+                elif text:
+                    held.append(" ")
+
+        def close_block() -> None:
+            nonlocal block, depth
+            stretch()
             held.clear()
-            if text:
-                top = stack[-1]
-                out.append((top.path, top.other, top.main, text, top.inside))
-
-    def drop(tags, stop) -> None:
-        """End open elements down to the last of ``tags`` that no element of ``stop`` hides."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                close_block()
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
+            block, depth = block + 1, 0
 
-    while at < end:
-        found = _TOKEN.search(page, at)
-        if not found:
-            held.append(page[at:])
-            break
-        if found.start() > at:
-            held.append(page[at : found.start()])
-        at = found.end()
-        if found["tag"] is None:
-            continue
-        tag = found["tag"].lower()
-        if found["close"]:
-            if tag == "p" or tag not in INLINE and tag not in VOID:
-                drop((tag,), () if tag != "p" else ("article", "section", "div", "td"))
-            continue
-        if tag == "br":
-            held.append(" ")
-            continue
-        rest = found["rest"]
-        if tag == "svg" and rest.rstrip().endswith("/"):  # closed by itself
-            close_block()
-            continue
-        if tag in RAW:
-            close = _ENDS[tag].search(page, at)
-            if tag != "title" or close:
+        def drop(tags, stop) -> None:
+            """End open elements down to the last of ``tags`` that no element of ``stop`` hides."""
+            if not any(open_tags[x] for x in tags):
+                return
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    close_block()
+                    open_tags.subtract(x.tag for x in stack[k:])
+                    del stack[k:]
+                    return
+                if stack[k].tag in stop:
+                    return
+
+        while at < end:
+            begin = _BEGIN.search(page, at)
+            if not begin or begin.start() > last:
+                held.append(page[at:])
+                break
+            found = token.match(page, begin.start())
+            if not found and token is _TOKEN and begin[0][-1].isalpha():
+                token = _UNQUOTED
+                found = token.match(page, begin.start())
+            if not found:
+                held.append(page[at : begin.start() + 1])
+                at = begin.start() + 1
+                continue
+            if found.start() > at:
+                held.append(page[at : found.start()])
+            at = found.end()
+            if found["tag"] is None:
+                continue
+            tag = found["tag"].lower()
+            if found["close"]:
+                if depth and tag == inline[0]:
+                    if depth == 1:
+                        stretch()
+                    depth -= 1
+                elif tag == "p" or tag not in INLINE and tag not in VOID:
+                    drop((tag,), () if tag != "p" else ("article", "section", "div", "td"))
+                continue
+            if tag == "br":
+                held.append(" ")
+                continue
+            rest = found["rest"]
+            if tag == "svg" and rest.rstrip().endswith("/"):  # closed by itself
                 close_block()
-            at = close.end() if close else end
-            continue
-        if tag in INLINE and not (tag in ("span", "a") and _names_other(rest, stack[-1].main)):
-            continue
-        if tag in INLINE:  # an inline advert or notice: what stands in it is left out
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else at
-            continue
+                continue
+            if tag in RAW:
+                close = _ENDS[tag].search(page, at)
+                if tag != "title" or close:
+                    close_block()
+                at = close.end() if close else end
+                continue
+            if tag in INLINE:
+                if tag in VOID or rest.rstrip().endswith("/"):
+                    continue
+                if depth:
+                    depth += tag == inline[0]
+                elif rest and not rest.isspace() and _is_advert(had := _attributes(rest)):
+                    stretch()
+                    inline, depth = (tag, f"{tag}.{had.get('class', '')}"), 1
+                continue
+            close_block()
+            if tag in CLOSES_P:
+                drop(("p",), ("button", "table", "td", "th", "article", "section", "div", "aside", "li"))
+            if tag in SIBLINGS:
+                drop(*SIBLINGS[tag])
+            if tag in VOID:
+                continue
+            top = stack[-1]
+            had = _attributes(rest) if rest and not rest.isspace() else {}
+            marked = tag in MAIN_TAGS or "main" in had.get("role", "").lower().split()
+            weight = 1.0 if tag in ("html", "body") else _weight(tag, had, top.main)
+            part = top.part
+            if weight < 1:
+                parts += 1
+                part = parts
+            if marked and not top.main:
+                weight *= MARKED
+            holder = top.holder
+            if tag not in LEAVES:
+                number += 1
+                self.around.append(holder)
+                holder = number
+            path = self._path(top.path, f"{tag}.{had.get('class', '')}#{had.get('id', '')}")
+            stack.append(_Open(tag, path, max(top.weight * weight, OTHER**2), holder, top.main or marked, part))
+            open_tags[tag] += 1
         close_block()
-        if tag in CLOSES_P:
-            drop(("p",), ("button", "table", "td", "th", "article", "section", "div", "aside", "li"))
-        if tag in SIBLINGS:
-            drop(*SIBLINGS[tag])
-        if tag in VOID:
-            continue
-        top = stack[-1]
-        other = top.other or tag in OTHER_TAGS or tag == "header" and not top.main or tag not in ("html", "body") and _names_other(rest, top.main)
-        number += 1
-        marked = tag in MAIN_TAGS or "main" in _attributes(rest).get("role", "").lower().split()
-        main = 0 if other else top.main or (number if marked else 0)
-        inside = top.inside if tag in LEAVES else (*top.inside, number)
-        stack.append(_Open(tag, f"{top.path}/{tag}", other, main, inside))
-    close_block()
-    return out
+
+
+def ratios(blocks: list[Block]) -> dict[int, float]:
+    """The smoothed and fused ratio of every path, in page order."""
+    totals: dict[int, list[float]] = {}
+    for x in blocks:
+        total = totals.setdefault(x.path, [0.0, 0.0, 0.0, x.weight])
+        total[0] += len(x.text.strip())
+        total[1] += len(_PUNCTUATION.findall(x.text))
+        total[2] += 1
+    length, marks, n, weight = np.array(list(totals.values())).T
+    fused = _smooth(length / n) * _smooth((marks + 1) / n) * weight
+    return dict(zip(totals, fused.tolist(), strict=True))
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    """Each value averaged with its neighbours on either side."""
+    total, share = x.copy(), np.ones(len(x))
+    total[1:] += NEIGHBOUR * x[:-1]
+    total[:-1] += NEIGHBOUR * x[1:]
+    share[1:] += NEIGHBOUR
+    share[:-1] += NEIGHBOUR
+    return total / share
 
 
 def content(page: str) -> str:
     """The main text of one page."""
-    found = [x for x in blocks(page) if not x[1]]
-    if not found:
+    read = Page(page)
+    if not read.blocks:
         return ""
-    marked = {x[2] for x in found} - {0}
-    keep = _content_blocks(found, ["main" if x[2] else x[0] for x in found]) if marked else None
-    if len(marked) != 1:
-        plain = _content_blocks(found, [x[0] for x in found])
-        outside = sum(len(x[3]) for x, k in zip(found, plain, strict=True) if k and not x[2])
-        if keep is None or outside > sum(len(x[3]) for x in found if x[2]):
-            keep = _with_article(found, plain)
-    return "\n".join(x[3] for x, k in zip(found, keep, strict=True) if k)
-
-
-def _content_blocks(found: list, keys: list[str]) -> list[bool]:
-    """Which blocks are on content paths."""
-    paths: dict[str, list[float]] = {}
-    for x, key in zip(found, keys, strict=True):
-        total = paths.setdefault(key, [0.0, 0.0, 0.0])
-        total[0] += len(x[3])
-        total[1] += len(_PUNCTUATION.findall(x[3]))
-        total[2] += 1
-    kept = _chosen(np.array(list(paths.values())), np.array([MAIN_WEIGHT if k == "main" else 1.0 for k in paths]))
-    chosen = {k for k, keep in zip(paths, kept, strict=True) if keep}
-    return [key in chosen for key in keys]
-
-
-def _with_article(found: list, keep: list[bool]) -> list[bool]:
-    """The content blocks and all others in the innermost element that holds most of the content."""
-    held: dict[int, int] = {}
-    for x, k in zip(found, keep, strict=True):
-        for element in x[4] if k else ():
-            held[element] = held.get(element, 0) + len(x[3])
-    # More than half of the text: such elements lie one in another, and later ones further in.
-    article = max((e for e, n in held.items() if n >= HOLDS * held[0]), default=0)
-    return [k or article in x[4] for x, k in zip(found, keep, strict=True)]
-
-
-def _chosen(totals: np.ndarray, worth: np.ndarray) -> np.ndarray:
-    """Which paths are content, from text length, punctuation and blocks of each in page order."""
-    length, marks, n = totals.T
-    text, signs = length / n, (marks + 1) / n
-    away = np.abs(np.subtract.outer(np.arange(len(n)), np.arange(len(n))))
-    weight = np.exp(-((away / SIGMA) ** 2) / 2) * (away <= 1)
-    weight /= weight.sum(axis=1, keepdims=True)
-    fused = (weight @ text) * (weight @ signs) * np.minimum(1.0, text / max(text.max() * 0.02, 1e-9))
-    fused = fused * worth
-    return fused >= min(fused.max(), SHARE * fused.std())
+    fused = ratios(read.blocks)
+    spread = np.array(list(fused.values()))
+    bar = min(spread.max(), SHARE * spread.std())
+    chosen = [fused[x.path] >= bar for x in read.blocks]
+    inside = _inside_article(read, chosen)
+    total, good = Counter(), Counter()
+    for x, c in zip(read.blocks, chosen, strict=True):
+        total[x.part] += len(x.text)
+        good[x.part] += len(x.text) * c
+    lines: dict[int, list[str]] = {}
+    for x, c in zip(read.blocks, chosen, strict=True):
+        whole = x.part == 0 or x.part > 0 and 2 * good[x.part] >= total[x.part]
+        if c and x.part <= 0 or whole and inside[x.holder]:
+            lines.setdefault(x.block, []).append(x.text)
+    return "\n".join(text for x in lines.values() if (text := _SPACE.sub(" ", "".join(x)).strip()))
+
+
+def _inside_article(read: Page, chosen: list[bool]) -> list[bool]:
+    """Which elements are the innermost one that holds most of the content, or stand in it."""
+    held = [0] * len(read.around)
+    for x, c in zip(read.blocks, chosen, strict=True):
+        held[x.holder] += len(x.text) * c
+    for e in range(len(held) - 1, 0, -1):  # those further in have higher numbers
+        held[read.around[e]] += held[e]
+    # Elements with more than half of the text lie one in another.
+    article = max(e for e, n in enumerate(held) if n >= HOLDS * held[0])
+    inside = [False] * len(held)
+    for e, before in enumerate(read.around):
+        inside[e] = e == article or e > article and inside[before]
+    return inside
 
 
 def extract(pages: DataFrame, html_: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
