@@ -325,8 +325,8 @@ def content(page: str) -> str:
         good[x.part] += len(x.text) * c
     lines: dict[int, list[str]] = {}
     for x, c in zip(read.blocks, chosen, strict=True):
-        whole = x.part == 0 or x.part > 0 and 2 * good[x.part] >= total[x.part]
-        if c and x.part <= 0 or whole and inside[x.holder]:
+        own = c if x.part < 0 else x.part == 0 or 2 * good[x.part] >= total[x.part]
+        if own and (c or inside[x.holder]):
             lines.setdefault(x.block, []).append(x.text)
     return "\n".join(text for x in lines.values() if (text := _SPACE.sub(" ", "".join(x)).strip()))
 
