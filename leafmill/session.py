@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
+#: Scratch tables that the application still has, and those of the job that this thread is in.
+_written: dict[str, SparkSession] = {}
+_own: ContextVar[list[str] | None] = ContextVar("scratch tables", default=None)
+_folders: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,55 +28,74 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, an application of one machine gets a temporary folder; on a cluster, executors couldn't read
+    what others wrote there, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-leafmill-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {context.master} share")
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-leafmill-", dir="/tmp")
+    return _folders[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The table is removed when the application ends (or by :func:`clear_scratch`).
+    The table is removed with its job (:func:`in_job`), else when the application ends (or by :func:`clear_scratch`).
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(clear_scratch)
-    _written.append((spark, path))
+    _written[path] = spark
+    own = _own.get()
+    if own is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_count() -> int:
-    """How many scratch tables there are so far; a place for :func:`release`."""
-    return len(_written)
+def in_job(name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work``, written as a table; the scratch tables that it made are removed, also if it fails.
 
-
-def release(since: int, result: DataFrame, name: str) -> DataFrame:
-    """Write the result of a job and remove the scratch tables that it made after ``since``."""
-    done = materialize(result, name)
-    for spark, path in _written[since:-1]:
-        _delete(spark, path)
-    del _written[since:-1]
-    return done
+    Each job keeps its own list, so jobs in several threads or within one another don't remove each other's tables.
+    """
+    outer = _own.get()
+    token = _own.set([])
+    try:
+        done = materialize(work(), name)
+        result = _own.get().pop()
+        if outer is not None:
+            outer.append(result)
+        return done
+    finally:
+        left = _own.get()
+        _own.reset(token)
+        for path in left:
+            _delete(path)
 
 
 def clear_scratch() -> None:
-    for spark, path in _written:
-        _delete(spark, path)
-    _written.clear()
+    for path in list(_written):
+        _delete(path)
+
 
+atexit.register(clear_scratch)
 
-def _delete(spark: SparkSession, path: str) -> None:
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    if spark.sparkContext._jsc is None:  # stopped: the cluster clears its checkpoint folder
+        return
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may be gone already; the cluster clears its checkpoint folder
-        pass
+    except (Py4JError, OSError) as e:  # a table left behind must not fail a finished job
+        logging.getLogger(__name__).warning("scratch table %s not removed: %s", path, e)
 
 
 def ship_code(spark: SparkSession) -> None:
