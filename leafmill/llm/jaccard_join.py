@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
 from leafmill.llm.shingles import fingerprint, least_overlap, shingles
-from leafmill.session import materialize, read_table, release, scratch_count, ship_code
+from leafmill.session import in_job, materialize, read_table, ship_code
 
 #: Texts and shingles that a window of the counting step holds, and how often a shingle must occur in one.
 WINDOW_TEXTS, WINDOW_SHINGLES, WINDOW_COUNT = 8_192, 4_000_000, 4
@@ -44,6 +44,8 @@ LIST = 48
 BITS = 2**26
 #: Pairs with one node that a task verifies in a row.
 SALT_PAIRS = 2_000
+#: Parts in which the pairs of one node are counted.
+COUNT_PARTS = 16
 
 
 def _texts(docs: DataFrame, text: str, id_: str) -> DataFrame:
@@ -242,7 +244,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Each node's set is sent once for every pair with it as b, and once for every task that compares it as a.
     """
     pairs = pairs.select("a", "b")
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_PAIRS))
+    # Counted in parts first: a hub has pairs in every task.
+    hubs = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(COUNT_PARTS)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    hubs = hubs.groupBy("a").agg(F.sum("n").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_PAIRS))
     salted = pairs.join(hubs.where("salts > 1").select("a", "salts"), "a", "left").select(
         F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), "b"
     )
@@ -366,14 +370,27 @@ def similar(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "tex
     reach, its own included.
     """
     ship_code(docs.sparkSession)
-    since = scratch_count()
+    return in_job("classes", lambda: _similar(docs, width, percent, text, id_))
+
+
+def _similar(docs: DataFrame, width: int, percent: int, text: str, id_: str) -> DataFrame:
     texts, labelled = _classes(_texts(docs, text, id_), width, percent)
     named = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labelled.select("node", "component").join(named, "component").select("node", "component_id")
     out = texts.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), whole.alias("component_id"))
-    return release(since, out, "classes")
+    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), whole.alias("component_id"))
+
+
+def _representatives(slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """(kept, kept_one, kept_two): id and 128 bits of the text that stays of each class."""
+    texts, labelled = _classes(slim, width, percent)
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "one", "two"))
+    of_node = texts.where("n > 0").groupBy("node").agg(least.alias("best")).select("node", "best.id", "best.one", "best.two")
+    of_class = of_node.join(labelled.select("node", "component"), "node").groupBy("component").agg(least.alias("best"))
+    wordless = texts.where("n = 0").select("id", "one", "two").distinct()
+    kept = of_class.select("best.id", "best.one", "best.two").unionByName(wordless)
+    return kept.select(F.col("id").alias("kept"), F.col("one").alias("kept_one"), F.col("two").alias("kept_two"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -385,17 +402,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
     text only, and one without an id is a class of its own.
     """
     ship_code(docs.sparkSession)
-    since = scratch_count()
     # 128 bits of the text tell apart the rows of an id (or of none).
     key = {"one": F.xxhash64(text), "two": F.xxhash64(F.lit(1), text)}
     slim = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), *(k.alias(c) for c, k in key.items()))
-    texts, labelled = _classes(slim, width, percent)
-    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "one", "two"))
-    of_node = texts.where("n > 0").groupBy("node").agg(least.alias("best")).select("node", "best.id", "best.one", "best.two")
-    of_class = of_node.join(labelled.select("node", "component"), "node").groupBy("component").agg(least.alias("best"))
-    wordless = texts.where("n = 0").select("id", "one", "two").distinct()
-    kept = of_class.select("best.id", "best.one", "best.two").unionByName(wordless)
-    kept = release(since, kept.select(F.col("id").alias("kept"), F.col("one").alias("kept_one"), F.col("two").alias("kept_two")), "kept")
+    kept = in_job("kept", lambda: _representatives(slim, width, percent))
     alone = F.col(id_).isNull() & ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [text, *(c for c in docs.columns if c != text)]
     packed = docs.select(

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import materialize, read_table, release, scratch_count
+from leafmill.session import in_job, materialize, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 LIMIT = 3
@@ -113,7 +113,10 @@ def balance(counted: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataFr
 
 def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", limit: int = LIMIT) -> DataFrame:
     """(id, key, size, source_size, target, rows, copies): ``copies`` of the ``rows`` equal rows together."""
-    since = scratch_count()
+    return in_job("mix", lambda: _mix(docs, text, id_, source, limit))
+
+
+def _mix(docs: DataFrame, text: str, id_: str, source: str, limit: int) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     slim = docs.select(F.col(id_).alias("id"), F.col(source).alias("source"), _key(F.col(source)).alias("key"), words.alias("size"))
     slim = slim.groupBy("id", "source", "key", "size").agg(F.count(F.lit(1)).alias("rows"))
@@ -151,11 +154,10 @@ def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str =
 
     taken = F.aggregate("docs", start, step, lambda acc: acc["taken"])
     out = dealt.select("key", "source_size", "target", F.explode(F.arrays_zip("docs", taken.alias("copies"))).alias("x"))
-    out = out.select(
+    return out.select(
         F.col("x.docs.id").alias("id"), "key", F.col("x.docs.size").alias("size"), "source_size", "target",
         F.col("x.docs.rows").alias("rows"), F.col("x.copies").alias("copies"),
     )
-    return release(since, out, "mix")
 
 
 def copies_of(k: Column) -> Column:

@@ -1,12 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule names the statistics it needs and says which texts it rejects.  On a bounded sample the cascade
-measures what each rule costs and how much it rejects, then runs the rules by rejection per cost: a text that
-one rule rejects is not looked at by the later, dearer ones.  The order changes the work, never the verdict.
+Each rule says from a text's statistics whether it rejects it.  On a bounded sample the cascade measures what each
+statistic costs and which rules reject which texts together.  It then places the rules one by one: next comes the one
+that rejects most of the texts that the placed ones leave, per cost of the statistics that these haven't paid for yet.
+A text that one rule rejects is not looked at by the later ones, and a statistic that only they need is not worked out
+for it.  The order changes the work, never the verdict.
 
 Statistics (whole texts; a word is ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars (code points in words), n_symbols
 (characters of ``#*$%&|<>``), n_upper and n_letters (ASCII), n_lines (lines with a word), n_dup_lines (such lines
-equal to an earlier one), n_doubled (words equal to the one before), n_repeat_words (words inside an 8-word window that occurs twice or more in the text).
+equal to an earlier one), n_doubled (words equal to the one before), n_repeat_words (words inside an 8-word window that
+occurs twice or more in the text).  Words, lines and windows are compared by 64-bit hashes.  A text needs about 35 bytes
+of worker memory for each of its bytes.
 
 Null and empty texts have 0 in every statistic and are rejected for having too few words.  Every input row gives
 one row; repeated rows give repeated rows; other columns of the input are not read.
@@ -81,12 +85,15 @@ def _count_words(c: Chunk) -> Stats:
 
 
 def _count_characters(c: Chunk) -> Stats:
-    return {
-        "word_chars": c.per_text(IN_WORD[c.data] & ((c.data & 0xC0) != 0x80)),
-        "n_symbols": c.per_text(_SYMBOL[c.data]),
-        "n_upper": c.per_text(_UPPER[c.data]),
-        "n_letters": c.per_text(_LETTER[c.data]),
-    }
+    return {"word_chars": c.per_text(IN_WORD[c.data] & ((c.data & 0xC0) != 0x80))}
+
+
+def _count_symbols(c: Chunk) -> Stats:
+    return {"n_symbols": c.per_text(_SYMBOL[c.data])}
+
+
+def _count_letters(c: Chunk) -> Stats:
+    return {"n_upper": c.per_text(_UPPER[c.data]), "n_letters": c.per_text(_LETTER[c.data])}
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +143,9 @@ def _count_repeats(c: Chunk) -> Stats:
 
 STATISTICS: dict[str, Callable[[Chunk], Stats]] = {
     "n_words": _count_words,
-    **dict.fromkeys(("word_chars", "n_symbols", "n_upper", "n_letters"), _count_characters),
+    "word_chars": _count_characters,
+    "n_symbols": _count_symbols,
+    **dict.fromkeys(("n_upper", "n_letters"), _count_letters),
     **dict.fromkeys(("n_lines", "n_dup_lines"), _count_lines),
     "n_doubled": _count_doubled,
     "n_repeat_words": _count_repeats,
@@ -162,32 +171,80 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> dict:
-    """{rule: (seconds a text, share rejected)} on a random sample of about ``sample_rows`` rows."""
+class Measured(NamedTuple):
+    """What a sample says: seconds of each counting function, and how many texts each set of rules rejects."""
+
+    costs: dict[str, float]
+    rejected: dict[frozenset[str], int]
+
+
+def needs(rule: Rule) -> list[str]:
+    """The names of the counting functions that a rule asks for."""
+    asked: list[str] = []
+
+    def get(name: str) -> np.ndarray:
+        asked.append(STATISTICS[name].__name__)
+        return np.zeros(0, dtype=np.int64)
+
+    rule.rejects(get)
+    return list(dict.fromkeys(asked))
+
+
+def measure(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> Measured:
+    """Costs and joint rejections on a random sample of about ``sample_rows`` rows."""
     ship_code(docs.sparkSession)
     share = min(1.0, sample_rows / max(1, docs.count()))
     sample = docs.sample(False, share, seed=7).select(F.col(text).alias("text"))
+    counting = {f.__name__: f for f in STATISTICS.values()}
+    asked = sorted({name for rule in rules for name in needs(rule)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in parts(batch.column("text")):
-                for rule in rules:
+                chunk = Chunk(data, offsets)
+                chunk.words()  # shared by most of them
+                told = []
+                for name in asked:
                     began = time.perf_counter()
-                    rejected = int(rule.rejects(Chunk(data, offsets).get).sum())
-                    took = time.perf_counter() - began
-                    yield pa.RecordBatch.from_pydict(
-                        {"rule": [rule.name], "s": [took], "n": [len(offsets) - 1], "r": [rejected]}
-                    )
-
-    found = sample.mapInArrow(run, "rule string, s double, n long, r long")
-    rows = found.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("r").alias("r")).collect()
-    return {x["rule"]: (x["s"] / x["n"], x["r"] / x["n"]) for x in rows if x["n"]}
-
-
-def order(rules, measured: dict) -> tuple:
-    """The rules by rejection per cost, best first; rules that the sample says nothing of stay last."""
-    worth = {r.name: measured[r.name][1] / max(measured[r.name][0], 1e-9) if r.name in measured else -1 for r in rules}
-    return tuple(sorted(rules, key=lambda r: -worth[r.name]))
+                    chunk.have |= counting[name](chunk)
+                    told.append((name, time.perf_counter() - began, 0))
+                together = np.zeros(len(offsets) - 1, dtype=np.int64)
+                for k, rule in enumerate(rules):
+                    together |= rule.rejects(chunk.get).astype(np.int64) << k
+                told += [(str(x), 0.0, n) for x, n in zip(*(y.tolist() for y in np.unique(together, return_counts=True)), strict=True)]
+                yield pa.RecordBatch.from_pydict(dict(zip("xsn", map(list, zip(*told, strict=True)), strict=True)))
+
+    found = sample.mapInArrow(run, "x string, s double, n long").groupBy("x").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    costs, rejected = {}, {}
+    for r in found.collect():  # a row for each function and each set of rules that reject a text together
+        if r["x"] in counting:
+            costs[r["x"]] = r["s"]
+        else:
+            rejected[frozenset(rule.name for k, rule in enumerate(rules) if int(r["x"]) >> k & 1)] = r["n"]
+    return Measured(costs, rejected)
+
+
+def order(rules, measured: Measured) -> tuple:
+    """The rules by what they reject of the texts left, per cost not yet paid; where that is equal, as given.
+
+    Costs count in powers of two, so the order doesn't follow small changes of the clock.
+    """
+    placed: list[Rule] = []
+    paid: set[str] = set()
+    left = list(rules)
+    while left:
+        gone = {r.name for r in placed}
+
+        def worth(rule: Rule, gone=gone) -> float:
+            gain = sum(n for names, n in measured.rejected.items() if rule.name in names and not names & gone)
+            cost = sum(measured.costs.get(x, 1.0) for x in needs(rule) if x not in paid)
+            return gain / 2.0 ** np.ceil(np.log2(max(cost, 1e-6)))
+
+        best = max(left, key=worth)
+        placed.append(best)
+        left.remove(best)
+        paid |= set(needs(best))
+    return tuple(placed)
 
 
 def cascade(

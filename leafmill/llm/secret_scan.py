@@ -2,8 +2,9 @@
 
 Candidates of three fixed kinds (``assign``, ``access``, ``hex``) and of one open kind (``random``: long tokens that mix
 lower case, upper case and digits) are found in every whole text.  The hash of each candidate's value is then counted
-over the corpus by distinct repositories and owners: a value that more than ``max_owners`` owners hold is a widely
-copied example, one that stays with few owners looks live.  Candidates of the fixed kinds are always reported, with
+over the corpus by distinct repositories and owners: a value that more than ``max_owners`` owners hold, or that stands in
+more than ``max_repositories`` repositories of whatever owners, is a widely copied example; one that stays with few looks
+live.  Candidates of the fixed kinds are always reported, with
 that verdict; random ones only while they look live, outside the fixed ones.
 
 Owner is the source and repository is the document id unless other columns are named.  Spans count code points from 0,
@@ -13,7 +14,9 @@ ids as one repository.  Repeated rows give repeated rows with the same spans.  O
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.session import materialize, read_table
@@ -32,11 +35,13 @@ KINDS = (
 #: Runs of hex digits shorter than the least length never count, so they needn't be matched.
 SOUGHT = {"hex": r"[0-9a-f]{24,}"}
 RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{32,}"
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 100
+#: Matches whose lengths are added up in one array; it keeps the work of a text linear in its matches.
+RUN = 256
 
 
-def _running(sizes: Column) -> Column:
-    """Sums of the items before each item."""
+def _before(sizes: Column) -> Column:
+    """Sums of the items before each item; the work grows with the square of their number."""
     start = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -45,18 +50,46 @@ def _running(sizes: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, x: acc + x)
+
+
+def _let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, however often ``make`` reads it."""
+    return F.element_at(F.transform(F.array(x), make), 1)
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of the items before each item, by runs of RUN of them, so that work is linear in the items."""
+    none = F.expr("cast(array() as array<array<int>>)")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(RUN))
+    cut = F.when(F.size(sizes) > 0, F.transform(starts, lambda at: F.slice(sizes, at, F.lit(RUN)))).otherwise(none)
+
+    def summed(runs: Column) -> Column:
+        offsets = _before(F.transform(runs, _total))
+        return F.zip_with(runs, offsets, lambda run, offset: F.transform(_before(run), lambda x: x + offset))
+
+    return F.flatten(_let(cut, summed))
+
+
 def matches(text: Column, pattern: str, group: int) -> Column:
-    """(start, end, value) of all leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    values = F.regexp_extract_all(text, F.lit(pattern), group)
-    gaps = F.split(text, pattern, -1)
-    before = F.transform(F.slice(gaps, 1, F.size(found)), F.length)
-    steps = F.zip_with(before, F.transform(found, F.length), lambda g, m: g + m)
-    ends = F.zip_with(_running(steps), steps, lambda a, b: a + b)
-    spans = F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end")))
-    return F.zip_with(
-        spans, values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"))
-    )
+    """(start, end, value) of all leftmost non-overlapping matches.
+
+    ``value`` is the group read off the match alone, so the pattern must not look around itself for it.
+    """
+    value = lambda m: F.regexp_extract(m, pattern, group) if group else m
+
+    def spans(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        lengths = F.transform(found, F.length)
+        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), lengths, lambda g, m: g + m)
+        ends = _let(steps, lambda x: F.zip_with(_running(x), x, lambda a, b: a + b))
+        return F.zip_with(
+            ends, found,
+            lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), value(m).alias("value")),
+        )
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), 0), spans)
 
 
 def _kind(text: Column, place: int) -> Column:
@@ -95,9 +128,20 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def _apart(spans: DataFrame) -> DataFrame:
+    """The spans of each row without the random ones that overlap one of a fixed kind."""
+    fixed = F.col("span.place") < len(KINDS)
+    forth = Window.partitionBy("row").orderBy("span.start", "span.place").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(F.desc("span.start"), F.desc("span.place")).rowsBetween(Window.unboundedPreceding, -1)
+    told = spans.withColumn("open", F.max(F.when(fixed, F.col("span.end"))).over(forth))
+    told = told.withColumn("next", F.min(F.when(fixed, F.col("span.start"))).over(back))
+    free = (F.coalesce("open", F.lit(0)) <= F.col("span.start")) & (F.coalesce(F.col("next") >= F.col("span.end"), F.lit(True)))
+    return told.where(fixed | free).drop("open", "next")
+
+
 def scan(
     docs: DataFrame, text: str = "text", id_: str = "doc_id", owner: str = "source", repository: str = "doc_id",
-    max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per input row: id, ``base`` and ``spans`` (arrays of start, end, place, kind, value, live), sorted.
 
@@ -109,11 +153,11 @@ def scan(
         F.col(id_).alias("id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"),
         F.xxhash64(F.col(id_), F.col(owner), F.col(repository), whole).alias("row"), base.alias("base"), _random(whole).alias("random"),
     )
-    apart = F.filter("random", lambda r: ~F.exists("base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
-    found = materialize(found.withColumn("random", apart), "candidates")
-    each = found.where("size(base) + size(random) > 0").select(
-        "row", "owner", "repository", F.explode(F.concat("base", "random")).alias("span")
-    )
+    found = materialize(found, "candidates")
+    names = ("row", "owner", "repository")
+    plain = found.where("size(base) > 0 and size(random) = 0").select(*names, F.explode("base").alias("span"))
+    both = found.where("size(random) > 0").select(*names, F.explode(F.concat("base", "random")).alias("span"))
+    each = plain.unionByName(_apart(both))
     each = each.withColumn("value", F.sha2(F.col("span.value"), 256))
     spread = (
         each.select("value", "owner", "repository").distinct()
@@ -121,7 +165,7 @@ def scan(
         .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     )
     told = each.select("row", "value", "span").distinct().join(spread, "value")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     told = told.withColumn("live", live).where(live | (F.col("span.place") < len(KINDS)))
     told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("span.*", "live"))).alias("spans"))
     out = found.select("row", "id").join(told, "row", "left")

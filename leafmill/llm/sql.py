@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm.secret_scan import KINDS, MAX_OWNERS, SOUGHT
+from leafmill.llm.secret_scan import KINDS, MAX_OWNERS, MAX_REPOSITORIES, SOUGHT
 from leafmill.llm.topk_search import OP1_SQL
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,7 +61,8 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 b AS ({" UNION ALL ".join(_spans(k, i, SOUGHT.get(k, p), g, f"length(v[i]) >= {n}") for i, (k, p, g, n) in enumerate(KINDS))}),
 r AS ({_spans("random", len(KINDS), "[A-Za-z0-9+/_=-]{32,}", 0, "regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i], '[0-9]')")}),
 a AS (SELECT * FROM b UNION ALL SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND r.start < b.stop AND b.start < r.stop)),
-o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) <= {MAX_OWNERS} AS live FROM a GROUP BY 1),
+p AS (SELECT DISTINCT value, doc_id, coalesce('=' || source, '') AS owner FROM a),
+o AS (SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AND count(*) <= {MAX_REPOSITORIES} AS live FROM p GROUP BY 1),
 t AS (SELECT doc_id, kind, start, place, live, kind || ':' || start || ':' || stop AS span FROM a JOIN o USING (value) WHERE live OR place < {len(KINDS)}),
 x AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
   string_agg(CASE WHEN place < {len(KINDS)} THEN span END, ',' ORDER BY start, place) AS base, string_agg(span, ',' ORDER BY start, place) AS spans, count_if(live) AS n_live FROM t GROUP BY 1)
