@@ -66,14 +66,15 @@ def brute_top(rows, queries, k):
     return out
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = {i: rng.integers(-3, 4, 6).tolist() for i in range(120)}
     rows |= {i: [1, 0, 0, 0, 0, 0] for i in range(120, 160)}  # ties
     data = [(i, [x / 256 for x in v], 0) for i, v in rows.items()]
     bad = [(900, None, 0), (901, [1.0, None], 0), (902, [float("nan")], 0), (903, [float("inf")], 0), (None, [1.0], 0)]
     df = spark.createDataFrame(data + bad + data[:3], "vec_id long, embedding array<float>, score int")
-    topk_search.BLOCK_ROWS, topk_search.QUERY_ROWS = 50, 2
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 2)
     got = topk_search.search(df, F.col("vec_id") % 20 == 0, 5).collect()
     expected = brute_top(rows, [i for i in rows if i % 20 == 0], 5)
     found = {}
@@ -88,16 +89,35 @@ def test_topk(spark):
 def test_topk_stops_early():
     vectors = np.zeros((4000, 2))
     vectors[:, 0] = np.arange(4000)
-    met = []
-
-    class Watched(topk_search.Block):
-        def _take(self, own, scores, rows, *rest):
-            met.append(len(rows))
-            super()._take(own, scores, rows, *rest)
-
-    best = [[]]
-    Watched(np.arange(4000), vectors).search(np.array([-1]), np.array([[1.0, 0.0]]), 3, best)
-    assert [i for _, i in best[0]] == [3999, 3998, 3997] and sum(met) < 100
+    block = topk_search.Block(np.arange(4000), vectors)
+    assert [i for _, i in block.search(-1, np.array([1.0, 0.0]), 3)] == [3999, 3998, 3997] and block.scored < 20
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_topk_scores_few_of_clustered_vectors(whole):
+    rng = np.random.default_rng(7)
+    n = topk_search.BLOCK_ROWS
+    centres = rng.normal(size=(60, 64))
+    vectors = centres[rng.integers(0, 60, 2 * n)] + 0.15 * rng.normal(size=(2 * n, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    vectors = vectors.astype(np.int64) if whole else vectors
+    first, second = topk_search.Block(np.arange(n), vectors[:n]), topk_search.Block(np.arange(n, 2 * n), vectors[n:])
+    queries = range(0, 2 * n, 800)
+    for q in queries:
+        floor = first.search(q, vectors[q], 5)[-1][0]
+        got = sorted((-s, i) for block in (first, second) for s, i in block.search(q, vectors[q], 5, floor))[:5]
+        scores = vectors @ vectors[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores.tolist()) if i != q)[:5]
+        assert [(int(s), i) for s, i in got] == want
+    assert second.scored < 0.4 * n * len(queries)
+
+
+def test_topk_of_large_and_odd_numbers():
+    zero = topk_search._matrix([np.array([1, 2]), np.array([3]), np.zeros(2)], 2)
+    assert topk_search.Block(np.arange(3), zero).search(2, zero[2], 3) == [(0, 0), (0, 1)]  # smaller ids first
+    # Sums beyond 2^53 stay exact.
+    some = topk_search._matrix([np.array([2**30, 1]), np.array([2**30, 2]), np.array([2**30])], 2)
+    assert [(int(s), i) for s, i in topk_search.Block(np.arange(3), some).search(0, some[0], 2)] == [(2**60 + 2, 1), (2**60, 2)]
 
 
 # 2
