@@ -35,3 +35,25 @@ BENIGN_REASONS = ["not_in_document", "not_applicable", "in_external_doc", "inher
 REASONS = [*BENIGN_REASONS, "extraction_failed"]
 # Separators that a normalised name writes as a space.
 SEPARATORS = [" - ", " – ", " — ", "-"]
+# Constraint types of the schema, and the families of limits.
+PREDEFINED = [
+    "asset_limit", "concentration_limit", "geographic_limit", "sector_limit", "liquidity_limit", "leverage_limit", "var_limit",
+    "duration_limit", "derivative_policy", "derivative_limit", "esg_policy", "exclusion_policy", "hedging_policy",
+    "hedging_target", "investor_eligibility", "minimum_investment", "minimum_subsequent", "holding_period",
+    "distribution_country",
+]
+CONSTRAINT_FAMILIES = {
+    "investment": ["asset_limit", "concentration_limit", "geographic_limit", "sector_limit", "liquidity_limit"],
+    "risk": ["leverage_limit", "var_limit", "duration_limit"],
+    "derivative": ["derivative_policy", "derivative_limit"],
+}
+# Fields that a table's type speaks of; words of references to other documents, their fields and names.
+TABLE_FIELDS = [("isin", "isin"), ("fee", "fee"), ("share", "share_class")]
+EXTERNAL_WORDS = ["kiid", "key investor", "annual report", "supplement", "www.", "http"]
+REFERENCE_FIELDS = [("isin", "isin"), ("fee", "fee"), ("charge", "fee"), ("performance", "performance"), ("risk", "risk_profile")]
+EXTERNAL_NAMES = [
+    ("kiid", "KIID"), ("key investor", "KIID"), ("annual report", "Annual Report"), ("supplement", "Supplement"),
+    ("www.", "Website"), ("http", "Website"),
+]
+# Headers of a column by which rows are looked up.
+LOOKUP_COLUMNS = ["fund name", "sub-fund", "fund", "name", "share class", "class", "class name"]

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import dictionaries as d
 
+# Patterns of shares, amounts and days.
+PERCENT_SIGN, PERCENT_WORD = r"(\d+(?:\.\d+)?)\s*%", r"(\d+(?:\.\d+)?)\s*percent"
+CURRENCY_FIRST, AMOUNT_FIRST = r"(EUR|USD|GBP|CHF|\$|€|£)\s*([\d,]+(?:\.\d+)?)", r"([\d,]+(?:\.\d+)?)\s*(EUR|USD|GBP|CHF)"
+DAYS = r"(\d+)\s*(?:day|days)"
+
 
 def any_of(text: Column, words: list[str]) -> Column:
     """Whether one of the words stands in the text (as it is, no word bounds)."""
@@ -63,28 +68,26 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def percentage(text: Column) -> Column:
     return F.coalesce(
-        _number(text, r"(\d+(?:\.\d+)?)\s*%"), _number(F.lower(text), r"(\d+(?:\.\d+)?)\s*percent")
+        _number(text, PERCENT_SIGN), _number(F.lower(text), PERCENT_WORD)
     )
 
 
 def hedge_ratio(text: Column) -> Column:
     full = any_of(F.lower(text), ["fully hedged", "full hedge"])
-    return F.when(full, F.lit(100.0)).otherwise(_number(text, r"(\d+(?:\.\d+)?)\s*%"))
+    return F.when(full, F.lit(100.0)).otherwise(_number(text, PERCENT_SIGN))
 
 
 def amount(text: Column) -> tuple[Column, Column]:
     """Amount and currency: currency first, else amount first."""
-    before = r"(EUR|USD|GBP|CHF|\$|€|£)\s*([\d,]+(?:\.\d+)?)"
-    after = r"([\d,]+(?:\.\d+)?)\s*(EUR|USD|GBP|CHF)"
-    leads = text.rlike(before)
-    raw = F.when(leads, F.regexp_extract(text, before, 2)).otherwise(F.regexp_extract(text, after, 1))
-    sign = F.when(leads, F.regexp_extract(text, before, 1)).otherwise(F.regexp_extract(text, after, 2))
+    leads = text.rlike(CURRENCY_FIRST)
+    raw = F.when(leads, F.regexp_extract(text, CURRENCY_FIRST, 2)).otherwise(F.regexp_extract(text, AMOUNT_FIRST, 1))
+    sign = F.when(leads, F.regexp_extract(text, CURRENCY_FIRST, 1)).otherwise(F.regexp_extract(text, AMOUNT_FIRST, 2))
     money = F.when(sign == "$", "USD").when(sign == "€", "EUR").when(sign == "£", "GBP").otherwise(F.nullif(sign, F.lit("")))
     return F.nullif(F.replace(raw, F.lit(","), F.lit("")), F.lit("")).try_cast("double"), money
 
 
 def days(text: Column) -> Column:
-    plain = F.nullif(F.regexp_extract(F.lower(text), r"(\d+)\s*(?:day|days)", 1), F.lit("")).try_cast("int")
+    plain = F.nullif(F.regexp_extract(F.lower(text), DAYS, 1), F.lit("")).try_cast("int")
     return F.coalesce(plain, first_of(F.lower(text), d.PERIODS).cast("int"))
 
 
@@ -102,19 +105,9 @@ def restriction(text: Column) -> Column:
     return out.otherwise("asset_limit")
 
 
-def restrictions(text: Column) -> Column:
-    """Array of (text, type, value, unit, comparator), one for each clause between semicolons."""
-    clauses = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
-
-    def parse(x: Column) -> Column:
-        kind, value = restriction(x), percentage(x)
-        sense = F.coalesce(comparator(x), F.when(kind == "concentration_limit", "max"))
-        unit = F.when(F.coalesce(value, F.lit(0.0)) != 0, "percent")
-        return F.struct(
-            x.alias("text"), kind.alias("type"), value.alias("value"), unit.alias("unit"), sense.alias("comparator")
-        )
-
-    return F.transform(clauses, parse)
+def clauses(text: Column) -> Column:
+    """The trimmed clauses between semicolons, without empty ones."""
+    return F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def refers_to(cell: Column, documents: list[tuple[str, str]]) -> Column:

@@ -45,6 +45,16 @@ def rename(entities: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def rekey_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """Relations with both ends under their canonical keys; of those that meet, the first stays as it is."""
+    new = names.select("key", "canonical")
+    out = relations
+    for end in ("subject", "object"):
+        out = out.join(new.withColumnsRenamed({"key": end, "canonical": "_new"}), end, "left")
+        out = out.withColumn(end, F.coalesce("_new", end)).drop("_new")
+    return first_relations(out.select(*relations.columns))
+
+
 def context_confidence(has_table: Column, has_facts: Column, has_pages: Column) -> Column:
     return F.when(has_table, 0.9).when(has_facts, 0.8).when(has_pages, 0.6).otherwise(0.5)
 

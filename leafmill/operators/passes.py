@@ -81,35 +81,44 @@ def run_score(critic: Column, high: Column, total: Column, missing: Column) -> C
     return F.coalesce(critic, F.when(total > missing, high / (total - missing)), F.lit(0.0))
 
 
-def section_chunks(sections: list[tuple[int, int]], n_pages: int, whole: int = 50, part: int = 30) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, partial): sections gathered up to ``whole`` pages, larger ones in parts, then the gaps, in order."""
-    out, start, end = [], None, None
+def section_chunks(sections: list[tuple[int, int]], n_pages: int, whole: int = 50, part: int = 30) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) in order: sections gathered while their sizes add up to ``whole`` pages at most, larger ones in
+    parts, then each run of pages that none covers; without sections, parts of the whole document."""
+    if not sections:
+        yield from ((x, min(x + part - 1, n_pages), "naive") for x in range(1, n_pages + 1, part))
+        return
+    out: list[tuple[int, int, str]] = []
+    held: list[int] = []  # first page, last page and sizes of the sections gathered so far
+
+    def close() -> None:
+        if held:
+            out.append((held[0], held[1], "complete"))
+            held.clear()
+
     for a, b in sections:
-        if b - a + 1 > whole:
-            if start is not None:
-                out.append((start, end, False))
-                start = None
-            out += [(x, min(x + part - 1, b), True) for x in range(a, b + 1, part)]
-        elif start is not None and b - start + 1 <= whole:
-            end = max(end, b)
+        size = b - a + 1
+        if size > whole:
+            close()
+            out += [(x, min(x + part - 1, b), "partial_section") for x in range(a, b + 1, part)]
+        elif held and held[2] + size <= whole:
+            held[1:] = [b, held[2] + size]
         else:
-            if start is not None:
-                out.append((start, end, False))
-            start, end = a, b
-    if start is not None:
-        out.append((start, end, False))
-    known, gap = {p for a, b, _ in out for p in range(a, b + 1)}, None
+            close()
+            held[:] = [a, b, size]
+    close()
+    known = {p for a, b, _ in out for p in range(a, b + 1)}
+    first = None
     for p in range(1, n_pages + 2):
         if p <= n_pages and p not in known:
-            gap = gap or p
-        elif gap:
-            out += [(x, min(x + part - 1, p - 1), False) for x in range(gap, p, part)]
-            gap = None
+            first = first or p
+        elif first:
+            out.append((first, p - 1, "gap"))
+            first = None
     yield from sorted(out)
 
 
 def structure_aware_chunks(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc, chunk, page_start, page_end, partial) of documents (doc, n_pages) from sections (doc, ord, page_start, page_end)."""
+    """(doc, chunk, page_start, page_end, kind) of documents (doc, n_pages) from sections (doc, ord, page_start, page_end)."""
     ship_code(documents.sparkSession)
     held = sections.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "page_start", "page_end"))).alias("s"))
     both = documents.join(held, "doc", "left").select("doc", "n_pages", F.col("s.page_start").alias("a"), F.col("s.page_end").alias("b"))
@@ -120,7 +129,7 @@ def structure_aware_chunks(documents: DataFrame, sections: DataFrame) -> DataFra
             for doc, n, a, b in frame.itertuples(index=False):
                 pairs = [(int(x), int(y)) for x, y in zip(a, b, strict=True)] if a is not None else []
                 rows += [(doc, k + 1, *c) for k, c in enumerate(section_chunks(pairs, int(n)))]
-            yield pd.DataFrame(rows, columns=["doc", "chunk", "page_start", "page_end", "partial"])
+            yield pd.DataFrame(rows, columns=["doc", "chunk", "page_start", "page_end", "kind"])
 
     kind = documents.schema["doc"].dataType.simpleString()
-    return both.mapInPandas(run, f"doc {kind}, chunk long, page_start long, page_end long, partial boolean")
+    return both.mapInPandas(run, f"doc {kind}, chunk long, page_start long, page_end long, kind string")

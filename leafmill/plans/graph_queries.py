@@ -79,6 +79,29 @@ SELECT key, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT
 """
 
 
+def relation_rekey(spark, sf):
+    """Orders as relations between customers and sections, customers renamed to the first of their nation and segment."""
+    c, o = read_table(spark, sf, "customer"), read_table(spark, sf, "orders")
+    first = c.groupBy("c_nationkey", "c_mktsegment").agg(F.min_by("c_name", "c_custkey").alias("canonical"))
+    names = c.join(first, ["c_nationkey", "c_mktsegment"]).where("c_custkey % 4 <> 0").select(graph.keyed(F.col("c_name")).alias("key"), graph.keyed(F.col("canonical")).alias("canonical"))
+    told = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        F.when(F.col("o_orderkey") % 2 == 0, "references").otherwise("part_of").alias("type"),
+        F.when(F.col("o_orderkey") % 3 == 0, graph.keyed(F.col("o_orderstatus"), "section")).otherwise(graph.keyed(F.col("c_name"))).alias("subject"),
+        F.when(F.col("o_orderkey") % 3 == 0, graph.keyed(F.col("c_name"))).otherwise(graph.keyed(F.col("o_orderpriority"), "section")).alias("object"),
+        F.col("o_orderkey").alias("ord"),
+    )
+    return graph.rekey_relations(told, names)
+
+
+REKEY_SQL = """
+WITH f AS (SELECT c_nationkey, c_mktsegment, arg_min(c_name, c_custkey) AS canonical FROM customer GROUP BY 1, 2),
+m AS (SELECT c_custkey, 'fund:' || CASE WHEN c_custkey % 4 <> 0 THEN canonical ELSE c_name END AS key FROM customer JOIN f USING (c_nationkey, c_mktsegment)),
+r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'references' ELSE 'part_of' END AS type, CASE WHEN o_orderkey % 3 = 0 THEN 'section:' || o_orderstatus ELSE key END AS subject,
+  CASE WHEN o_orderkey % 3 = 0 THEN key ELSE 'section:' || o_orderpriority END AS object, o_orderkey AS ord FROM orders JOIN m ON o_custkey = c_custkey)
+SELECT type, subject, object, min(ord) AS ord FROM r GROUP BY 1, 2, 3
+"""
+
+
 def fund_context_hints(spark, sf):
     """Customers as funds: their first urgent order as a table hint, other orders as facts."""
     c, o = read_table(spark, sf, "customer"), read_table(spark, sf, "orders")
@@ -176,7 +199,7 @@ n AS (SELECT *, text[1:CAST(conv_id % 20 + 4 AS INTEGER)] AS name, conv_id % 3 =
 s AS (SELECT conv_id, CASE WHEN toc THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN system THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN longest > 1000 THEN 0.15::DOUBLE ELSE 0 END
   + least(0.1::DOUBLE, greatest(0, mentions - 1) * 0.05::DOUBLE) + CASE WHEN chunks > 1 THEN 0.05::DOUBLE ELSE 0 END
   - CASE WHEN NOT toc AND length(name) < 20 AND NOT contains(lower(name), 'fund') THEN 0.2::DOUBLE ELSE 0 END
-  - CASE WHEN NOT toc AND regexp_full_match(name, '[A-Za-z0-9]+') AND length(name) < 10 THEN 0.3::DOUBLE ELSE 0 END AS x FROM n)
+  - CASE WHEN NOT toc AND regexp_full_match(replace(name, ' ', ''), '[\\p{L}\\p{N}]+') AND length(name) < 10 THEN 0.3::DOUBLE ELSE 0 END AS x FROM n)
 SELECT conv_id, round(least(1, greatest(0, x)), 6) AS confidence FROM s WHERE round(least(1, greatest(0, x)), 6) >= 0.4
 """
 
@@ -346,6 +369,7 @@ QUERIES = {
     "relation_merge": (relation_merge, MERGE_SQL),
     "relation_dedupe": (relation_dedupe, DEDUPE_SQL),
     "entity_rename": (entity_rename, RENAME_SQL),
+    "relation_rekey": (relation_rekey, REKEY_SQL),
     "fund_context_hints": (fund_context_hints, CONTEXT_SQL),
     "orphan_anti_join": (orphan_anti_join, ORPHAN_SQL),
     "fact_conflict_fold": (fact_conflict_fold, FOLD_SQL),

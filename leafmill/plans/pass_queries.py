@@ -155,6 +155,34 @@ def structure_chunks(spark, sf):
     return passes.structure_aware_chunks(docs, sections)
 
 
+STRUCTURE_SQL = """
+WITH RECURSIVE d AS (SELECT c_custkey AS doc, c_custkey % 300 + 1 AS n FROM customer),
+s0 AS (SELECT o_custkey AS doc, n, o_orderkey AS o, o_orderkey % n + 1 AS a FROM orders JOIN d ON d.doc = o_custkey),
+s AS (SELECT doc, a, least(n, a + o % 80) AS b, row_number() OVER (PARTITION BY doc ORDER BY a, o) AS k FROM s0),
+z AS (SELECT *, b - a + 1 AS size FROM s),
+r AS (
+  SELECT doc, 0 AS k, CAST(NULL AS BIGINT) AS ca, CAST(NULL AS BIGINT) AS cb, CAST(0 AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ea, CAST(NULL AS BIGINT) AS eb FROM d
+  UNION ALL
+  SELECT z.doc, z.k, CASE WHEN size > 50 THEN NULL WHEN ca IS NULL OR cs + size > 50 THEN a ELSE ca END, CASE WHEN size > 50 THEN NULL ELSE b END,
+    CASE WHEN size > 50 THEN 0 WHEN ca IS NULL OR cs + size > 50 THEN size ELSE cs + size END,
+    CASE WHEN size > 50 OR cs + size > 50 THEN ca END, CASE WHEN size > 50 OR cs + size > 50 THEN cb END
+  FROM r JOIN z ON z.doc = r.doc AND z.k = r.k + 1
+),
+c AS (
+  SELECT doc, ea AS a, eb AS b, 'complete' AS kind FROM r WHERE ea IS NOT NULL
+  UNION ALL SELECT doc, ca, cb, 'complete' FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc ORDER BY k DESC) = 1) WHERE ca IS NOT NULL
+  UNION ALL SELECT doc, x, least(x + 29, b), 'partial_section' FROM (SELECT doc, b, unnest(generate_series(a, b, 30)) AS x FROM z WHERE size > 50)
+),
+p AS (SELECT doc, unnest(generate_series(1, n)) AS page FROM d WHERE doc IN (SELECT doc FROM z)),
+u AS (SELECT doc, page, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS g FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = p.doc AND page BETWEEN c.a AND c.b)),
+w AS (
+  SELECT * FROM c UNION ALL SELECT doc, min(page), max(page), 'gap' FROM u GROUP BY doc, g
+  UNION ALL SELECT doc, x, least(x + 29, n), 'naive' FROM (SELECT doc, n, unnest(generate_series(1, n, 30)) AS x FROM d WHERE doc NOT IN (SELECT doc FROM z))
+)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b, kind) AS chunk, a AS page_start, b AS page_end, kind FROM w
+"""
+
+
 QUERIES = {
     "learned_terms": (learned_terms, LEARNED_SQL),
     "learned_terms_whole": (learned_terms_whole, LEARNED_WHOLE_SQL),
@@ -165,5 +193,5 @@ QUERIES = {
     "exploration_summary": (exploration_summary, SUMMARY_SQL),
     "failure_recovery": (failure_recovery, RECOVERY_SQL),
     "run_stats": (run_stats, RUN_SQL),
-    "structure_chunks": (structure_chunks, None),
+    "structure_chunks": (structure_chunks, STRUCTURE_SQL),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import dictionaries as d
 from leafmill.functions import text as t
 from leafmill.functions.values import extracted
-from leafmill.operators import search
+from leafmill.operators import constraints, search
 from leafmill.operators.assembly import fragment, provenance
 from leafmill.session import read_table
 
@@ -125,8 +125,7 @@ def _clauses(spark, sf):
 
 
 def constraint_parse(spark, sf):
-    parsed = _clauses(spark, sf).select("l_orderkey", "l_linenumber", F.posexplode(t.restrictions(F.col("text"))).alias("pos", "x"))
-    return parsed.select("l_orderkey", "l_linenumber", "pos", "x.text", "x.type", "x.value", "x.unit", "x.comparator")
+    return constraints.restrictions(_clauses(spark, sf), "text", ["l_orderkey", "l_linenumber"])
 
 
 CONSTRAINT_SQL = f"""

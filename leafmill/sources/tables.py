@@ -10,46 +10,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.dictionaries import LOOKUP_COLUMNS
+from leafmill.functions.similarity import ratio, token_sort_ratio
 from leafmill.functions.text import clean_cell
+from leafmill.session import ship_code
 
 
-def parse_raw(raw: Column) -> Column:
-    """(columns, rows) of a raw table, or null where it holds no row.
+def scan(raw_tables: DataFrame) -> DataFrame:
+    """(doc, page, ord, n_columns, n_rows, columns, rows) of all tables that hold rows.
 
-    Empty header cells go before cells are paired by place; rows shorter than the header or blank go; of equal header
-    names the last cell counts.
+    Empty header cells go before cells are paired by place; rows shorter than the header or blank go.  The header is
+    cleaned once, in a projection of its own, and each row then reads it as a column.
     """
-    header = F.filter(F.transform(F.get(raw, F.lit(0)), clean_cell), lambda x: x != "")
-    cells = F.transform(F.slice(raw, 2, F.size(raw)), lambda r: F.slice(F.transform(r, clean_cell), 1, F.size(header)))
-    whole = F.filter(cells, lambda r: (F.size(r) == F.size(header)) & F.exists(r, lambda x: x != ""))
-    pairs = F.transform(whole, lambda r: F.arrays_zip(header.alias("name"), r.alias("cell")))
-    usable = (F.size(raw) >= 2) & (F.size(header) > 0) & (F.size(whole) > 0)
-    return F.when(usable, F.struct(header.alias("columns"), pairs.alias("rows")))
+    clean = lambda r: F.transform(r, clean_cell)
+    keys = ("doc", "page", "ord")
+    head = raw_tables.where(F.size("raw") >= 2).select(
+        *keys, "raw", F.filter(clean(F.get("raw", F.lit(0))), lambda x: x != "").alias("columns")
+    )
+    # A generator keeps the optimizer from putting the header's expression into every use of it.
+    head = head.select(*keys, "raw", F.explode(F.array("columns")).alias("columns")).where(F.size("columns") > 0)
+    cut = F.transform(F.slice("raw", 2, F.size("raw")), lambda r: clean(F.slice(r, 1, F.size("columns"))))
+    held = head.select(*keys, "columns", F.explode(F.array(cut)).alias("cut"))
+    whole = F.filter("cut", lambda r: (F.size(r) == F.size("columns")) & F.exists(r, lambda x: x != ""))
+    held = held.select(*keys, "columns", F.explode(F.array(whole)).alias("whole")).where(F.size("whole") > 0)
+    pairs = F.transform("whole", lambda r: F.arrays_zip(F.col("columns").alias("name"), r.alias("cell")))
+    return held.select(
+        *keys, F.size("columns").cast("long").alias("n_columns"), F.size("whole").cast("long").alias("n_rows"), "columns", pairs.alias("rows")
+    )
 
 
-def scan(raw_tables: DataFrame) -> DataFrame:
-    """(doc, page, ord, n_columns, n_rows, columns, rows) of all tables that hold rows."""
-    found = raw_tables.withColumn("t", parse_raw(F.col("raw"))).where(F.col("t").isNotNull())
-    return found.select(
-        "doc", "page", "ord", F.size("t.columns").cast("long").alias("n_columns"), F.size("t.rows").cast("long").alias("n_rows"),
-        "t.columns", "t.rows",
-    )
+def last_cells(row: Column) -> Column:
+    """The (name, cell) pairs of a row; of equal names the last one."""
+    later = lambda i: F.slice(F.transform(row, lambda p: p["name"]), i + 2, F.size(row))
+    return F.filter(row, lambda x, i: ~F.array_contains(later(i), x["name"]))
 
 
 def cells(tables: DataFrame) -> DataFrame:
-    """(doc, page, ord, row, column, cell): one row a cell, the last of equal names."""
-    rows = tables.select("doc", "page", "ord", F.posexplode("rows").alias("row", "r"))
-    each = rows.select("doc", "page", "ord", "row", F.posexplode("r").alias("place", "x"))
-    return each.groupBy("doc", "page", "ord", "row", F.col("x.name").alias("column")).agg(F.max_by("x.cell", "place").alias("cell"))
+    """(doc, page, ord, row, column, cell): one row a cell, the last of equal names, without a shuffle."""
+    names = F.size("columns") != F.size(F.array_distinct("columns"))
+    rows = tables.select("doc", "page", "ord", names.alias("again"), F.posexplode("rows").alias("row", "r"))
+    each = rows.select("doc", "page", "ord", "row", F.explode(F.when(F.col("again"), last_cells(F.col("r"))).otherwise(F.col("r"))).alias("x"))
+    return each.select("doc", "page", "ord", "row", F.col("x.name").alias("column"), F.col("x.cell").alias("cell"))
 
 
-def stitched(tables: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tables of the listed pages (doc, page) as one a document: columns of the first, rows of all in order."""
+def column_map(tables: DataFrame, least: float = 80.0) -> DataFrame:
+    """(doc, mapped): the columns of each document's first table, by the column names of its other tables.
+
+    An equal name maps to itself, another to the first column most like it, from ``least`` of 100 on.  Only tables with
+    other columns than the first take part, with each of their names once.
+    """
+    ship_code(tables.sparkSession)
+    first = tables.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
+    other = tables.select("doc", "columns").distinct().join(first, "doc").where(F.col("columns") != F.col("canonical"))
+    names = other.select("doc", "canonical", F.explode("columns").alias("column")).distinct()
+    equal = F.array_contains("canonical", F.col("column"))
+    pairs = names.select("doc", "column", equal.alias("equal"), F.posexplode("canonical").alias("place", "name"))
+    pairs = pairs.where(~F.col("equal") | (F.col("column") == F.col("name")))
+    alike = F.when(F.col("equal"), 100.0).otherwise(ratio(F.col("column"), F.col("name")))
+    best = pairs.withColumn("alike", alike).where(F.col("alike") >= least).groupBy("doc", "column").agg(
+        F.max_by("name", F.struct("alike", -F.col("place"))).alias("name")
+    )
+    return best.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("column", "name"))).alias("mapped"))
+
+
+def stitched(tables: DataFrame, pages: DataFrame, least: float = 80.0) -> DataFrame:
+    """Tables of the listed pages (doc, page) as one a document: (doc, columns, rows, n_rows).
+
+    Columns are those of the first table.  Rows of tables with the same columns stay; of others, cells go under the
+    column that theirs maps to (:func:`column_map`), the last of those that meet, and cells and rows without one go.
+    """
     some = tables.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-    held = some.groupBy("doc").agg(
-        F.array_sort(F.collect_list(F.struct("page", "ord", "columns", "rows"))).alias("t"), F.sum("n_rows").alias("n_rows")
+    first = some.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
+    told = some.join(first, "doc").join(column_map(some, least), "doc", "left")
+    mapped = lambda x: F.struct(F.try_element_at("mapped", x["name"]).alias("name"), x["cell"].alias("cell"))
+    named = lambda r: F.filter(F.transform(r, mapped), lambda x: x["name"].isNotNull())
+    other = F.filter(F.transform("rows", lambda r: last_cells(named(r))), lambda r: F.size(r) > 0)
+    none = F.filter("rows", lambda r: F.lit(False))
+    rows = F.when(F.col("columns") == F.col("canonical"), F.col("rows")).otherwise(F.when(F.col("mapped").isNull(), none).otherwise(other))
+    held = told.withColumn("rows", rows).groupBy("doc").agg(
+        F.first("canonical").alias("columns"), F.array_sort(F.collect_list(F.struct("page", "ord", "rows"))).alias("t"),
+        F.sum(F.size("rows")).alias("n_rows"),
+    )
+    return held.select("doc", "columns", F.flatten(F.transform("t", lambda x: x["rows"])).alias("rows"), "n_rows")
+
+
+def found_columns(tables: DataFrame, least: float = 80.0) -> DataFrame:
+    """(id, target, column) of (id, columns, target): the first column equal to the target but for case and space around,
+    else the first most like it by sorted words, from ``least`` of 100 on, else null."""
+    ship_code(tables.sparkSession)
+    each = tables.select("id", "target", F.posexplode("columns").alias("place", "column"))
+    equal = F.lower(F.trim("column")) == F.lower(F.trim("target"))
+    alike = F.when(equal, 1000.0).otherwise(token_sort_ratio(F.col("target"), F.col("column")))
+    best = each.withColumn("alike", alike).where(F.col("alike") >= least).groupBy("id", "target").agg(
+        F.max_by("column", F.struct("alike", -F.col("place"))).alias("column")
     )
-    return held.select("doc", F.get("t", F.lit(0))["columns"].alias("columns"), F.flatten(F.transform("t", lambda x: x["rows"])).alias("rows"), "n_rows")
+    return tables.select("id", "target").distinct().join(best, ["id", "target"], "left")
+
+
+def lookup_column(columns: Column) -> Column:
+    """The column by which rows are looked up: the first header of the usual ones, else the first column."""
+
+    def named(name: str) -> Column:
+        return F.get(F.filter(columns, lambda c: F.lower(c) == name), F.lit(0))
+
+    usual = [named(name) for name in LOOKUP_COLUMNS]
+    return F.coalesce(*usual, F.get(columns, F.lit(0)))
 
 
 def render(pages: DataFrame) -> DataFrame:

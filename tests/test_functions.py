@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leafmill.operators import constraints
 from leafmill.functions import text as t
 from leafmill.functions.similarity import common_subsequence, indel_ratio, matcher_ratio, token_sort_ratio
 from leafmill.functions.values import extracted, is_actionable, is_not_found, raw_value
@@ -39,11 +40,33 @@ def test_parsers(spark, make, cases):
 
 
 def test_restrictions(spark):
-    got = column(spark, ["max 10% single issuer; ; 0% cash", None, ""], t.restrictions)
-    assert [(x["type"], x["value"], x["unit"], x["comparator"]) for x in got[0]] == [
-        ("concentration_limit", 10.0, "percent", "max"), ("asset_limit", 0.0, None, None),
+    rows = spark.createDataFrame([(1, "max 10% single issuer; ; 0% cash"), (2, None), (3, "")], "id int, text string")
+    got = constraints.restrictions(rows, "text", ["id"]).orderBy("id", "pos").collect()
+    assert [(x["id"], x["pos"], x["type"], x["value"], x["unit"], x["comparator"]) for x in got] == [
+        (1, 0, "concentration_limit", 10.0, "percent", "max"), (1, 1, "asset_limit", 0.0, None, None),
     ]
-    assert got[1] is None and got[2] == []
+
+
+def test_constraints_of_funds_and_classes(spark):
+    funds = spark.createDataFrame(
+        [(1, None, "VaR max 20%", "hedging only"), (2, "NOT_FOUND", "gross exposure", "up to 5 % each"), (3, "eu bonds", None, "a limit")],
+        "id int, restrictions string, leverage string, derivatives string",
+    )
+    got = {(r["id"], r["type"], r["value"], r["unit"], r["comparator"]) for r in constraints.of_funds(funds).collect()}
+    assert got == {
+        (1, "var_limit", 20.0, "percent", "max"), (1, "derivative_policy", None, None, None), (2, "leverage_limit", None, None, None),
+        (2, "derivative_limit", 5.0, "percent", "max"), (3, "geographic_limit", None, None, None), (3, "derivative_limit", None, None, None),
+    }
+    classes = spark.createDataFrame(
+        [(1, False, "80%", "all", "EUR 5", "30 days"), (2, True, None, None, "much", "soon"), (3, None, "fully hedged", "NOT_FOUND", None, None), (4, None, None, None, None, None)],
+        "id int, hedged boolean, hedging string, investors string, minimum string, holding string",
+    )
+    got = {(r["id"], r["type"], r["value"], r["unit"], r["comparator"]) for r in constraints.of_classes(classes).collect()}
+    assert got == {
+        (1, "investor_eligibility", None, None, None), (1, "minimum_investment", 5.0, "EUR", "min"), (1, "holding_period", 30.0, "days", "min"),
+        (2, "hedging_policy", None, None, None), (2, "minimum_investment", None, "currency", None), (2, "holding_period", None, None, None),
+        (3, "hedging_policy", 100.0, "percent", "exact"),
+    }
 
 
 def test_missing_states(spark):
