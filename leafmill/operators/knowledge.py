@@ -24,6 +24,21 @@ def gaps(records: DataFrame, fields: list[str], share: float = 0.8) -> DataFrame
     return long.select("x.field", "x.n_missing", "n").where(F.col("n_missing") > share * F.col("n"))
 
 
+def fill_gaps(records: DataFrame, fields: list[str], found: DataFrame) -> DataFrame:
+    """Records with missing fields (null or NOT_FOUND) filled from ``found`` (field, value, ord), and ``n_filled``.
+
+    Values that are missing or empty fill nothing; of a field's values the last counts.  Found values stay.
+    """
+    usable = found.where(F.col("field").isin(fields) & ~F.coalesce("value", F.lit("")).isin("", "NOT_FOUND"))
+    # One row, as wide as the list of fields.
+    one = usable.agg(*(F.max_by("value", F.when(F.col("field") == f, F.col("ord"))).alias(f"new_{f}") for f in fields))
+    both = records.crossJoin(F.broadcast(one))
+    missing = lambda f: F.col(f).isNull() | (F.col(f) == "NOT_FOUND")
+    count = sum((F.when(missing(f) & F.col(f"new_{f}").isNotNull(), 1).otherwise(0) for f in fields), F.lit(0))
+    filled = {f: F.when(missing(f), F.coalesce(f"new_{f}", f)).otherwise(F.col(f)) for f in fields}
+    return both.select(*(filled.get(c, F.col(c)).alias(c) for c in records.columns), count.cast("long").alias("n_filled"))
+
+
 def questions(missing: DataFrame, n: Column) -> DataFrame:
     """(field, n_missing, priority) from counts a field: over half asks, over four fifths asks urgently."""
     asked = missing.where(F.col("n_missing") > 0.5 * n)

@@ -50,12 +50,12 @@ SELECT doc, ord, title FROM b WHERE ended = 0 AND level = pl + 1
 
 def page_range_sources(spark, sf):
     """Ranges of each document from runs of pages, else from mentions."""
-    runs = structure.runs(_mentions(spark, sf).where("dedicated and doc % 2 = 0"), "doc").select("doc", F.concat(F.lit("run "), F.col("run").cast("string")).alias("name"), "page_start", "page_end")
+    runs = structure.runs(_mentions(spark, sf).where("dedicated"), "doc").select("doc", F.concat(F.lit("run "), F.col("run").cast("string")).alias("name"), "page_start", "page_end")
     return planning.first_source(runs, mention_ranges(spark, sf))
 
 
 SOURCES_SQL = f"""
-WITH p AS (SELECT DISTINCT user_id AS doc, CAST(dayofyear(ts) AS BIGINT) AS page FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0),
+WITH p AS (SELECT DISTINCT user_id AS doc, CAST(dayofyear(ts) AS BIGINT) AS page FROM events WHERE event_type = 'purchase'),
 i AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS island FROM p),
 g AS (SELECT doc, min(page) AS page_start, max(page) AS page_end FROM i GROUP BY doc, island),
 r AS (SELECT doc, 'run ' || CAST(row_number() OVER (PARTITION BY doc ORDER BY page_start) AS VARCHAR) AS name, page_start, page_end, 0 AS source FROM g),

@@ -71,7 +71,7 @@ def model_replay(spark, sf):
     name = F.concat(F.lit("Fund "), (F.col("o_custkey") % 40).cast("string"))
     told = F.array(F.struct(name.alias("name"), (F.col("o_orderkey") % 90 + 1).cast("int").alias("page"), (F.col("o_orderstatus") == "F").alias("has_dedicated_section")))
     text = F.to_json(F.struct(F.lit(1).alias("page_start"), F.lit(30).alias("page_end"), told.alias("funds_mentioned")))
-    stored = o.where("o_orderkey % 3 <> 0").select(
+    stored = o.where("o_orderstatus <> 'P'").select(
         F.lit("explore").alias("stage"), F.col("o_orderkey").cast("string").alias("key"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit("{broken")).otherwise(text).alias("json"),
     )
@@ -83,7 +83,7 @@ def model_replay(spark, sf):
 REPLAY_SQL = """
 SELECT 'Fund ' || CAST(o_custkey % 40 AS VARCHAR) AS name, count(*) AS n_mentions, count_if(o_orderstatus = 'F') AS n_dedicated,
   CAST(min(o_orderkey % 90 + 1) AS INTEGER) AS first_page
-FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 GROUP BY 1
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 5 <> 0 GROUP BY 1
 """
 
 

@@ -194,6 +194,18 @@ def smart_chunks(spark, sf):
     return structure.smart_chunks(docs, sections)
 
 
+SMART_SQL = f"""
+WITH RECURSIVE d AS ({SOURCES_SQL}),
+s AS (SELECT source AS doc, lang, min(doc_id % 97 + 1) AS a, max(doc_id % 97 + 1) AS b FROM documents GROUP BY 1, 2),
+b AS (SELECT DISTINCT u.doc, x FROM (SELECT doc, a AS x FROM s UNION ALL SELECT doc, b + 1 FROM s UNION ALL SELECT doc, 1 FROM d UNION ALL SELECT doc, n_pages + 1 FROM d) u
+  JOIN d USING (doc) WHERE x BETWEEN 1 AND n_pages + 1),
+p AS (SELECT doc, n_pages, unnest(generate_series(1, n_pages)) AS a FROM d),
+e AS (SELECT p.doc, p.a, p.n_pages, least(p.n_pages, coalesce(max(x) - 1, p.a + 29)) AS z FROM p LEFT JOIN b ON b.doc = p.doc AND x BETWEEN p.a + 10 AND p.a + 30 GROUP BY p.doc, p.a, p.n_pages),
+r AS (SELECT doc, CAST(1 AS BIGINT) AS chunk, a, z FROM e WHERE a = 1 UNION ALL SELECT e.doc, chunk + 1, e.a, e.z FROM r JOIN e ON e.doc = r.doc AND e.a = r.z + 1)
+SELECT doc, chunk, a AS page_start, z AS page_end FROM r
+"""
+
+
 def inventory_aggregate(spark, sf):
     """Labels as fields that documents hold: pages, confidence, last table type."""
     d, l = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
@@ -238,6 +250,24 @@ SELECT field, n_missing, n, pages FROM l CROSS JOIN o WHERE n_missing > 0.5 * n
 """
 
 
+def gap_fill_apply(spark, sf):
+    """Records whose missing fields are filled from what a search found: the first license line, the last source."""
+    records = _records(spark, sf).select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "NOT_FOUND").alias("quality"), F.col("note"), F.lit(None).cast("string").alias("owner"))
+    d = read_table(spark, sf, "documents")
+    found = d.where(F.contains("text", F.lit("icense"))).select(F.lit("note").alias("field"), F.regexp_extract("text", "([A-Za-z]*icense[a-z]*)", 1).alias("value"), (-F.col("doc_id")).alias("ord"))
+    found = found.unionByName(d.select(F.lit("owner").alias("field"), F.when(F.col("lang") == "de", "NOT_FOUND").otherwise(F.col("source")).alias("value"), F.col("doc_id").alias("ord")))
+    return knowledge.fill_gaps(records, ["quality", "note", "owner"], found)
+
+
+FILL_SQL = """
+WITH r AS (SELECT d.doc_id, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'NOT_FOUND' END AS quality, CASE WHEN contains(text, 'icense') THEN 'x' END AS note FROM documents d LEFT JOIN labels USING (doc_id)),
+n AS (SELECT arg_min(regexp_extract(text, '([A-Za-z]*icense[a-z]*)', 1), doc_id) AS v FROM documents WHERE contains(text, 'icense')),
+o AS (SELECT arg_max(source, doc_id) AS v FROM documents WHERE lang <> 'de' AND source <> '')
+SELECT doc_id, quality, coalesce(note, n.v) AS note, o.v AS owner, CASE WHEN note IS NULL AND n.v IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN o.v IS NOT NULL THEN 1 ELSE 0 END AS n_filled
+FROM r, n, o
+"""
+
+
 def question_priority(spark, sf):
     missing = _records(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality").isNull()).alias("quality"), F.count_if(F.col("note").isNull()).alias("note"))
     long = missing.select("source", "n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("n_missing")) for f in ("quality", "note")))).alias("x")).select("source", "n", "x.*")
@@ -315,9 +345,10 @@ QUERIES = {
     "interval_overlap": (interval_overlap, OVERLAPS_SQL),
     "toc_from_html": (toc_from_html, TOC_SQL),
     "token_budget": (token_budget, BUDGET_SQL),
-    "smart_chunks": (smart_chunks, None),
+    "smart_chunks": (smart_chunks, SMART_SQL),
     "inventory_aggregate": (inventory_aggregate, INVENTORY_SQL),
     "gap_detect_fill": (gap_detect_fill, GAP_SQL),
+    "gap_fill_apply": (gap_fill_apply, FILL_SQL),
     "question_priority": (question_priority, QUESTION_SQL),
     "schema_suggestions": (schema_suggestions, SUGGEST_SQL),
     "field_strategy_chain": (field_strategy_chain, STRATEGY_SQL),
