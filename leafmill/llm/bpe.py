@@ -2,9 +2,9 @@
 
 Three levels, each exact:
 
-* A text is cut before every single space that a letter, digit or ASCII sign follows.  The byte-level pre-tokenizer
-  starts a new piece there whatever stands before, so these segments are encoded on their own and remembered.
-* A longer unsplit segment is *tree-concatenated*: halves are encoded on their own; around each join a window of
+* A text with a long unsplit stretch is cut before every single space that a letter, digit or ASCII sign follows.  The
+  byte-level pre-tokenizer starts a new piece there whatever stands before, so these segments can be encoded apart.
+* A segment of more than UNSPLIT_CHARS code points is *tree-concatenated*: halves are encoded on their own; around each join a window of
   tokens is encoded anew and grows until it agrees with both sides on ``AGREE`` tokens (or reaches their ends).
   A BPE sequence in which all neighbours are valid together is the encoding, so the rest of both halves stands.
 * A text of more than ``piece_chars`` code points is dealt out as pieces, encoded by different tasks, and its pieces
@@ -35,7 +35,6 @@ from leafmill.session import read_table, ship_code
 UNSPLIT_CHARS = 4_096
 PIECE_CHARS = 65_536
 AGREE = 4
-REMEMBERED = 250_000
 #: Fixed value: how the byte-level pre-tokenizer splits.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows are handed back in batches of about so many bytes.
@@ -108,7 +107,6 @@ class Codec(Vocabulary):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
         # Where ids are ranks, as in files of this family, the rank encoder gives the same ids some times faster.
         ranks = {x: i for i, x in enumerate(self.bytes) if x and i not in self.added}
         merged = [self.library.token_to_id(a + b) for a, b in self.merges]
@@ -119,7 +117,7 @@ class Codec(Vocabulary):
 
     def plain(self, text: str) -> np.ndarray:
         if self.ranked is not None:
-            return np.array(self.ranked.encode(text, allowed_special="all"), dtype="<u4")
+            return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def concatenate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,48 +151,23 @@ class Codec(Vocabulary):
             pieces = pairs + ([pieces[-1]] if len(pieces) % 2 else [])
         return pieces[0] if pieces else np.zeros(0, dtype="<u4")
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encode new segments in one go: their tokens never cross a segment's end."""
-        out = {x: self.tree(" " + x).tobytes() for x in missing if len(x) > UNSPLIT_CHARS}
-        short = [x for x in missing if len(x) <= UNSPLIT_CHARS]
-        for at in range(0, len(short), 2_000):
-            some = short[at : at + 2_000]
-            ids = self.plain(" " + " ".join(some))
-            ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in some), dtype=np.int64, count=len(some)))
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw = ids.tobytes()
-            a = 0
-            for x, b in zip(some, cuts.tolist(), strict=True):
-                out[x] = raw[4 * a : 4 * b]
-                a = b
-        if len(self.known) < REMEMBERED:
-            self.known.update(x for x in out.items() if len(x[0]) < 40)
-        return out
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text, however long its unsplit stretches are."""
+        if len(text) <= UNSPLIT_CHARS or max(map(len, text.split(" "))) <= UNSPLIT_CHARS:
+            return self.plain(text)
+        found, short = [], []
+        for k, x in enumerate(_segments(text)):
+            x = " " + x if k else x
+            if len(x) > UNSPLIT_CHARS:
+                found += [self.plain("".join(short)), self.tree(x)]
+                short = []
+            else:
+                short.append(x)
+        return np.concatenate([*found, self.plain("".join(short))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [x.split(" ") for x in texts]
-        known = self.known.get
-        found = [list(map(known, x)) for x in cut]
-        missing = set()
-        for k, (x, ids) in enumerate(zip(cut, found, strict=True)):
-            if None in ids[1:]:
-                some = [y for y, z in zip(x, ids, strict=True) if z is None]
-                if not all(map(_opens, some[ids[0] is None :])):  # known segments always open
-                    x = cut[k] = _segments(texts[k])
-                    found[k] = list(map(known, x))
-                    some = [y for y, z in zip(x[1:], found[k][1:], strict=True) if z is None]
-                    missing.update(some)
-                else:
-                    missing.update(some[ids[0] is None :])
-        new = self._learn(list(missing)) if missing else {}
-        out = []
-        for x, ids in zip(cut, found, strict=True):
-            ids[0] = self.tree(x[0]).tobytes() if x[0] else b""
-            if None in ids:
-                ids = [new[y] if z is None else z for y, z in zip(x, ids, strict=True)]
-            out.append(b"".join(ids))
-        return out
+        return [self.whole(x).tobytes() for x in texts]
 
 
 @lru_cache(maxsize=2)

@@ -25,6 +25,8 @@ from leafmill.llm.bpe import _runs, codec, vocabulary_path
 from leafmill.session import materialize, read_table, ship_code
 
 BLOCK_TOKENS = 65_536
+#: Text that one writing task takes, about.
+PART_BYTES = 128_000_000
 LEVELS = 4
 RANK_BYTES = 64
 END_ID = 2
@@ -95,7 +97,8 @@ def write(docs: DataFrame, path: str, text: str = "text", id_: str = "doc_id", e
     ship_code(docs.sparkSession)
     slim = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
