@@ -86,3 +86,25 @@ def test_mixture_and_tokens(stages):
 def test_run_is_the_stages(spark, sf, stages):
     got = Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == Counter((r["doc_id"], r["n_tokens"]) for r in stages[5].collect())
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, sf):
+    fine = " ".join(f"word{k} and{k}" for k in range(40)) + "."
+    long = " ".join(f"w{k}x" for k in range(60_000)) + " password=longsecret77"
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \n ", "en", None, 3), (4, fine, "en", "a", 1), (5, fine, "en", "b", 1),
+        (5, fine, "en", "b", 1), (None, fine + " more words", None, None, None), (None, long, "en", "c", 9), (6, long[::-1], "en", "c", 9),
+        (7, "x" * 50_000, "en", "c", 1), (8, fine.replace("and", "or"), "en", "a", 2), (8, fine.replace("and", "nor"), "fr", "a", 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = []
+    for part in (docs, docs.limit(0)):
+        step = part
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, sf).cache()
+            assert step.columns == docs.columns
+            kept.append(step.count())
+        out = corpus_pipeline.STAGES[-1][1](spark, step, sf)
+        assert out.count() == step.count()
+    # Wordless and short texts go; of the three equal texts and the one with two words more one stays.
+    assert kept[:3] == [8, 5, 5] and kept[4:] == [0, 0, 0, 0]

@@ -192,6 +192,39 @@ def test_mixing(spark, sf, docs):
         assert abs(taken[s] - target[s]) <= max(0.05 * target[s], 60)
 
 
+def test_rates_solve_the_entropy_dual(spark):
+    rng = np.random.default_rng(3)
+    counted = [(s, int(size), int(rng.integers(1, 9))) for s in "abc" for size in {*rng.integers(0, 60, 12).tolist(), 5}]
+    sizes = {s: sum(size * n for k, size, n in counted if k == s) for s in "abc"}
+    wanted = [("a", sizes["a"], 0.6 * sizes["a"]), ("b", sizes["b"], 1.9 * sizes["b"]), ("c", sizes["c"], 3.0 * sizes["c"])]
+    got = mixing.balance(
+        spark.createDataFrame(counted, "key string, size long, n long"), spark.createDataFrame(wanted, "key string, source_size long, target double")
+    )
+    for r in got.collect():
+        of = np.array([(size, n) for s, size, n in counted if s == r["key"] and size], dtype=float)
+        size, n = of.T
+        target = {k: t for k, _, t in wanted}[r["key"]]
+        if r["full"]:
+            assert r["key"] == "c"
+            continue
+        rates = np.minimum(3, np.exp(r["multiplier"] * size / r["mean"]))
+        assert (n * size * rates).sum() == pytest.approx(target, rel=1e-6)
+        low, high = -50.0, 50.0  # the dual's only root, by halving
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (n * size * np.minimum(3, np.exp(middle * size))).sum() < target else (low, middle)
+        assert r["multiplier"] / r["mean"] == pytest.approx(low, abs=1e-6)
+        # No other rates with the same words are nearer to 1 in relative entropy.
+        apart = lambda x, n=n: (n * (x * np.log(np.maximum(x, 1e-300)) - x + 1)).sum()
+        for _ in range(200):
+            i, j = rng.choice(len(size), 2, replace=False)
+            moved = rates.copy()
+            moved[i] += (step := rng.normal(0, 0.05)) / (n[i] * size[i])
+            moved[j] -= step / (n[j] * size[j])
+            if (moved >= 0).all() and (moved <= 3).all():
+                assert apart(moved) >= apart(rates) - 1e-9
+
+
 def test_mixing_caps_and_odd_input(spark, odd, empty):
     rows = [(i, "w " * 10, "big") for i in range(300)] + [(1000 + i, "w w", "a") for i in range(5)] + [(1, "w " * 7, None)]
     df = table(spark, rows + [(7, "w " * 10, "big")] * 4)
