@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.similarity import matcher_ratio, token_sort_ratio
+from leafmill.functions.similarity import matcher_ratio
 from leafmill.functions.values import is_not_found, raw_value, tier
 from leafmill.operators import assembly, graph, resolve
 from leafmill.session import read_table, ship_code
@@ -315,18 +315,17 @@ FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationke
 """
 
 
-def fuzzy_column_row_lookup(spark, sf):
-    """For every distinct part name of a brand and size class, the most alike other name there, at 80 or more.
+def _tables_of_parts(spark, sf):
+    """(doc, name, ord): parts as rows of tables, a hundred keys a table, so that tables grow in number only."""
+    p = read_table(spark, sf, "part")
+    return p.select(F.expr("p_partkey div 100").alias("doc"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
 
-    Names are made distinct first, so pairs follow the vocabulary of a class and not its rows.
-    """
-    ship_code(spark)
-    p = read_table(spark, sf, "part").groupBy("p_brand", (F.col("p_size") % 10).alias("block"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("row"))
-    other = p.select("p_brand", "block", F.col("name").alias("cell"), F.col("row").alias("other"))
-    pairs = p.join(other, ["p_brand", "block"]).where("name <> cell")
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("name"), F.col("cell"))).where("score >= 80")
-    best = scored.groupBy("p_brand", "block", "name").agg(F.max_by(F.struct("cell", "score"), F.struct("score", -F.col("other"))).alias("x"))
-    return best.select("p_brand", "block", "name", "x.*")
+
+def fuzzy_column_row_lookup(spark, sf):
+    """Each name of a table looked up among the table's other names: the most alike by sorted words, from 80 on."""
+    p = _tables_of_parts(spark, sf).groupBy("doc", "name").agg(F.min("ord").alias("ord"))
+    rows = p.select("doc", F.col("name").alias("cell"), F.col("ord").alias("other"))
+    return resolve.best_rows(p.select("doc", "name"), rows.where("cell <> ''"), 80.0)
 
 
 def toc_match_fuzzy(spark, sf):
@@ -339,21 +338,20 @@ def toc_match_fuzzy(spark, sf):
 
 
 def greedy_cluster(spark, sf):
-    """Part names clustered inside each brand, in order of key."""
-    p = read_table(spark, sf, "part")
-    return resolve.greedy_clusters(p.select(F.col("p_brand").alias("doc"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
+    """Part names clustered inside each table, in order of key."""
+    return resolve.greedy_clusters(_tables_of_parts(spark, sf))
 
 
 def incremental_merge(spark, sf):
-    """Names of parts merged one by one inside each brand."""
+    """Names of parts merged one by one inside each table."""
     ship_code(spark)
-    p = read_table(spark, sf, "part").groupBy("p_brand", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    p = _tables_of_parts(spark, sf).groupBy("doc", "name").agg(F.min("ord").alias("ord"))
 
     def run(frame):
         out = next(resolve.merge_in_order(iter([frame])))
-        return out.assign(p_brand=frame["p_brand"].iloc[0])
+        return out.assign(doc=frame["doc"].iloc[0])
 
-    return p.groupBy("p_brand").applyInPandas(run, "p_brand string, name string, entity string")
+    return p.groupBy("doc").applyInPandas(run, "doc long, name string, entity string")
 
 
 def name_ratio(spark, sf):
