@@ -9,7 +9,10 @@ SEARCH_TERMS = {
     "restriction": ["investment restriction", "may not invest", "shall not", "maximum", "minimum", "limit"],
     "leverage": ["leverage", "borrowing", "VaR", "commitment approach", "gross exposure"],
     "derivative": ["derivative", "hedging", "forward", "swap", "option", "future"],
+    "dividend": ["dividend", "distribution", "payment date", "ex-dividend", "record date", "quarterly", "annually", "semi-annual"],
 }
+# Columns that hold the name of what a row is about.
+NAME_COLUMNS = ["Share Class", "Class", "Name", "Fund", "Sub-Fund"]
 # Keyword groups of restrictions; the first group that matches wins.
 RESTRICTIONS = {
     "concentration_limit": ["single issuer", "issuer", "concentration", "counterparty"],

@@ -24,6 +24,17 @@ def gaps(records: DataFrame, fields: list[str], share: float = 0.8) -> DataFrame
     return long.select("x.field", "x.n_missing", "n").where(F.col("n_missing") > share * F.col("n"))
 
 
+def knowledge_stats(findings: DataFrame) -> DataFrame:
+    """(doc, n_findings, n_types, n_fields, n_entities, n_open, n_urgent, fields) from findings
+    (doc, type, field, entity, priority, resolved)."""
+    open_ = ~F.coalesce("resolved", F.lit(False)) & F.col("priority").isNotNull()
+    return findings.groupBy("doc").agg(
+        F.count(F.lit(1)).alias("n_findings"), F.count_distinct("type").alias("n_types"), F.count_distinct("field").alias("n_fields"),
+        F.count_distinct("entity").alias("n_entities"), F.count_if(open_).alias("n_open"),
+        F.count_if(open_ & (F.col("priority") == "high")).alias("n_urgent"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"),
+    )
+
+
 def fill_gaps(records: DataFrame, fields: list[str], found: DataFrame) -> DataFrame:
     """Records with missing fields (null or NOT_FOUND) filled from ``found`` (field, value, ord), and ``n_filled``.
 

@@ -15,6 +15,18 @@ def search_term(pages: DataFrame, term: str, most: int) -> DataFrame:
     return found.select("page", t.snippet(F.col("text"), F.lit(term)).alias("context"))
 
 
+def category_pages(pages: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    """(category, term_ord, term, n_pages, first_page) of every term that some page holds, in one scan of all pages."""
+    low = F.lower("text")
+    terms = [(c, i, x) for c, words in categories.items() for i, x in enumerate(words)]
+    hits = F.array_compact(F.array(*(
+        F.when(F.contains(low, F.lit(x.lower())), F.struct(F.lit(c).alias("category"), F.lit(i).alias("term_ord"), F.lit(x).alias("term")))
+        for c, i, x in terms
+    )))
+    found = pages.select("page", F.explode(hits).alias("t"))
+    return found.groupBy("t.category", "t.term_ord", "t.term").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page").alias("first_page"))
+
+
 def search_patterns(pages: DataFrame, terms: list[str], most: int | None) -> DataFrame:
     """(page, term_ord, term): each term gives its first pages, a page keeps its first term, ``most`` rows stay.
 

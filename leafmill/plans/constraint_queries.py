@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import dictionaries as d
-from leafmill.operators import constraints, references
+from leafmill.functions.values import in_external_document
+from leafmill.operators import constraints, knowledge, references, resolve, search
 from leafmill.session import read_table
-from leafmill.sources import tables
+from leafmill.sources import reports, tables
 
 
 def _funds(spark, sf):
@@ -186,7 +187,115 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN ' code ' ELSE 'fee Mana
   CASE WHEN p_partkey % 3 = 0 THEN 'FUND' ELSE 'Class Name' END AS "by" FROM part
 """
 
+
+
+def category_pages(spark, sf):
+    pages = read_table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "text")
+    turns = read_table(spark, sf, "conversations").select((-F.col("conv_id") * 100 - F.col("turn")).alias("page"), "text")
+    return search.category_pages(pages.unionByName(turns), d.SEARCH_TERMS)
+
+
+CATEGORY_SQL = f"""
+WITH t(category, term_ord, term) AS (VALUES {", ".join(f"('{c}', {i}, '{x}')" for c, words in d.SEARCH_TERMS.items() for i, x in enumerate(words))}),
+p AS (SELECT doc_id AS page, text FROM documents UNION ALL SELECT -conv_id * 100 - turn, text FROM conversations)
+SELECT category, term_ord, term, count(*) AS n_pages, min(page) AS first_page FROM p JOIN t ON contains(lower(text), lower(term)) GROUP BY 1, 2, 3
+"""
+
+
+def canonical_names(spark, sf):
+    """Customers of a nation and segment as mentions of one entity."""
+    c = read_table(spark, sf, "customer")
+    name = F.concat(F.repeat(F.lit("x"), (F.col("c_custkey") % 7).cast("int")), "c_name")
+    mentions = c.select(
+        F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("cluster"), name.alias("name"), F.col("c_custkey").alias("ord"),
+        (F.col("c_acctbal") > 9000).alias("from_toc"), (F.col("c_acctbal") < -500).alias("dedicated"),
+    )
+    return resolve.canonical_names(mentions)
+
+
+CANONICAL_SQL = """
+WITH m AS (SELECT c_nationkey || '/' || c_mktsegment AS cluster, repeat('x', CAST(c_custkey % 7 AS INTEGER)) || c_name AS name, c_custkey AS ord, c_acctbal AS b FROM customer)
+SELECT cluster, coalesce(arg_min(name, ord) FILTER (b > 9000), arg_min(name, ord) FILTER (b < -500), first(name ORDER BY length(name), ord)) AS canonical FROM m GROUP BY 1
+"""
+
+
+def umbrella_names(spark, sf):
+    """Segments and types in several spellings, of which some are umbrellas."""
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.col("c_mktsegment")).when(k % 3 == 1, F.concat("c_mktsegment", F.lit(" -  Funds"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("funds")))
+    return c.select("c_custkey", resolve.is_umbrella(name, ["building", "machinery funds", "automobile funds"]).alias("umbrella"))
+
+
+UMBRELLA_SQL = """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment = 'BUILDING' ELSE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') END AS umbrella FROM customer
+"""
+
+
+def knowledge_stats(spark, sf):
+    """Events as findings of their users."""
+    e = read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return knowledge.knowledge_stats(e.select(
+        F.col("user_id").alias("doc"), F.col("event_type").alias("type"), F.when(k % 3 > 0, F.concat(F.lit("f"), (k % 9).cast("string"))).alias("field"),
+        F.when(k % 4 == 0, k).alias("entity"), F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").alias("priority"), F.when(k % 2 == 0, k % 7 == 0).alias("resolved"),
+    ))
+
+
+STATS_SQL = """
+WITH e AS (SELECT user_id AS doc, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+f AS (SELECT *, CASE WHEN k % 3 > 0 THEN 'f' || (k % 9) END AS field, k % 5 < 2 AND NOT (k % 2 = 0 AND k % 7 = 0) AS o FROM e)
+SELECT doc, count(*) AS n_findings, count(DISTINCT event_type) AS n_types, count(DISTINCT field) AS n_fields, count(DISTINCT CASE WHEN k % 4 = 0 THEN k END) AS n_entities,
+  count_if(o) AS n_open, count_if(o AND k % 5 = 0) AS n_urgent, coalesce(string_agg(DISTINCT field, ',' ORDER BY field), '') AS fields FROM f GROUP BY doc
+"""
+
+
+def rows_about(spark, sf):
+    """Suppliers' rows in the tables of their nations, looked up by a name with a slip."""
+    s, n = read_table(spark, sf, "supplier"), read_table(spark, sf, "nation")
+    j = s.join(n, s["s_nationkey"] == n["n_nationkey"])
+    cell = lambda name, c: F.struct(F.lit(name).alias("name"), c.cast("string").alias("cell"))
+    cells = F.array(cell("Class", F.concat(F.lit(" "), "n_name", F.lit(" "), (F.col("s_suppkey") % 100).cast("string"))), cell("Balance", F.col("s_acctbal")), cell("Fund", F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name"))))
+    return resolve.rows_about(j.select(F.col("s_nationkey").alias("doc"), F.lower("n_name").alias("entity"), F.col("s_suppkey").alias("row"), cells.alias("cells")))
+
+
+def first_rows(spark, sf):
+    """The last five orders of each customer, as a preview of an audit."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", (-F.col("o_orderkey")).alias("newest"))
+    return tables.per_document(o, "newest", 5).drop("newest")
+
+
+FIRST_SQL = "SELECT o_custkey AS doc, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 5"
+
+
+def fund_search(spark, sf):
+    """Parts as funds of a report, found by a piece of their name in any case."""
+    return reports.find_funds(read_table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("fund")), "EE")
+
+
+FUND_SQL = "SELECT p_partkey, p_name AS fund FROM part WHERE contains(lower(p_name), 'ee')"
+
+
+def external_values(spark, sf):
+    """References to other documents as extracted values."""
+    told = references.classified(_references(spark, sf)).where("external")
+    return told.select("id", in_external_document(F.col("document"), F.col("text")).alias("v")).select("id", "v.value", "v.source_quote", "v.confidence", "v.not_found_reason", "v.external_reference")
+
+
+EXTERNAL_SQL = f"""
+SELECT id, 'NOT_FOUND' AS value, text[1:100] AS source_quote, 0.95::DOUBLE AS confidence, 'in_external_doc' AS not_found_reason, document AS external_reference
+FROM ({CLASSIFIED_SQL}) WHERE external
+"""
+
 QUERIES = {
+    "category_pages": (category_pages, CATEGORY_SQL),
+    "canonical_names": (canonical_names, CANONICAL_SQL),
+    "umbrella_names": (umbrella_names, UMBRELLA_SQL),
+    "knowledge_stats": (knowledge_stats, STATS_SQL),
+    "rows_about": (rows_about, None),
+    "first_rows": (first_rows, FIRST_SQL),
+    "fund_search": (fund_search, FUND_SQL),
+    "external_values": (external_values, EXTERNAL_SQL),
     "fund_constraints": (fund_constraints, FUNDS_SQL),
     "constraint_families": (constraint_families, FAMILIES_SQL),
     "share_class_constraints": (share_class_constraints, CLASSES_SQL),

@@ -30,10 +30,10 @@ class Replay:
 NOTES = (
     "page_start int, page_end int, toc_pages array<int>, umbrella_info_pages array<int>, "
     "funds_mentioned array<struct<name: string, page: int, has_dedicated_section: boolean>>, "
-    "tables array<struct<table_type: string, page_start: int, page_end: int, columns array<string>, has_fund_name_column: boolean, belongs_to_fund: string>>, "
+    "tables array<struct<table_type: string, page_start: int, page_end: int, columns: array<string>, has_fund_name_column: boolean, belongs_to_fund: string>>, "
     "cross_references array<struct<text: string, source_page: int, target_description: string, is_external: boolean, external_doc: string, field_hint: string, target_pages: array<int>>>, "
     "observations array<string>, page_index array<struct<page: int, content_type: string, fund_name: string, description: string>>"
-).replace("columns array<string>, has", "columns: array<string>, has")
+)
 
 
 def notes(answers: DataFrame) -> DataFrame:

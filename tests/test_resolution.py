@@ -106,3 +106,27 @@ def test_fuzzy_rows(spark, sf, parts):
             if best[0] >= 80:
                 want.add((doc, a, best[2], best[0]))
     assert {tuple(r) for r in QUERIES["fuzzy_column_row_lookup"](spark, sf).collect()} == want
+
+
+def test_rows_about(spark, sf):
+    nations = {n["n_nationkey"]: n["n_name"] for n in table(sf, "nation")}
+    want, seen = [], {}
+    for s in sorted(table(sf, "supplier"), key=lambda s: s["s_suppkey"]):
+        k, nation = s["s_suppkey"], nations[s["s_nationkey"]]
+        names = [f"{nation} {k % 100}".lower(), ("" if k % 4 == 0 else s["s_name"]).lower()]
+        entity = nation.lower()
+        if any(entity in x or SequenceMatcher(None, entity, x).ratio() >= 0.6 for x in names):
+            seen[nation] = seen.get(nation, 0) + 1
+            if seen[nation] <= 5:
+                line = f"Class:  {nation} {k % 100} | Balance: {s['s_acctbal']}" + (f" | Fund: {s['s_name']}" if k % 4 else "")
+                want.append((s["s_nationkey"], entity, k, line))
+    assert rows(spark, sf, "rows_about") == sorted(want)
+
+
+def test_json_documents_come_back(spark, tmp_path):
+    from leafmill.sources import reports
+
+    schema = "doc long, values array<struct<field: string, value: string>>"
+    docs = spark.createDataFrame([(1, [("a", None)]), (2, [])], schema)
+    reports.write_json(docs, f"{tmp_path}/out")
+    assert sorted(reports.read_json(spark, f"{tmp_path}/out", schema).collect()) == sorted(docs.collect())
