@@ -60,3 +60,12 @@ EXTERNAL_NAMES = [
 ]
 # Headers of a column by which rows are looked up.
 LOOKUP_COLUMNS = ["fund name", "sub-fund", "fund", "name", "share class", "class", "class name"]
+# Words near which dividend dates and valuation times stand, and the patterns of dates and times.
+DIVIDEND_WORDS = ["dividend", "distribution", "payment"]
+VALUATION_WORDS = ["valuation point", "valuation time", "nav calculation", "pricing"]
+DATES = [
+    r"\d{1,2}(?:st|nd|rd|th)?\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)",
+    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}",
+    r"\d{1,2}/\d{1,2}",
+]
+TIME = r"(\d{1,2}[:.]\d{2})\s*(?:a\.?m\.?|p\.?m\.?|CET|GMT|UTC|hours)?"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import dictionaries as d
 from leafmill.functions import text as t
 
 
@@ -79,6 +80,34 @@ def after_keyword(pages: DataFrame, keyword: str, width: int, pattern: str) -> D
     return found.where("place > 0")
 
 
+def matches_near(
+    pages: DataFrame, words: list[str], patterns: list[str], before: int, after: int, most: int, quote: int
+) -> DataFrame:
+    """(page, keyword, value, quote) of pages where a word has matches around its first place.
+
+    Words are tried in order and the first with a match counts.  The value is its first ``most`` matches, pattern by
+    pattern, joined by ``, ``; the quote is the trimmed stretch of ``before`` and ``after`` characters, cut.
+    """
+    low = F.lower("text")
+    told = []
+    for word in words:
+        place = F.locate(word, low)
+        start = F.greatest(place - 1 - before, F.lit(0))
+        near = F.substring(F.col("text"), start + 1, place - 1 + after - start)
+        found = F.concat(*(F.regexp_extract_all(near, F.lit(f"(?i){p}"), 0) for p in patterns))
+        hit = F.struct(F.lit(word).alias("keyword"), F.array_join(F.slice(found, 1, most), ", ").alias("value"), F.left(F.trim(near), F.lit(quote)).alias("quote"))
+        told.append(F.when((place > 0) & (F.size(found) > 0), hit))
+    return pages.select("page", F.coalesce(*told).alias("x")).where("x is not null").select("page", "x.*")
+
+
+def dividend_dates(pages: DataFrame) -> DataFrame:
+    return matches_near(pages, d.DIVIDEND_WORDS, d.DATES, 100, 300, 4, 150)
+
+
+def valuation_times(pages: DataFrame) -> DataFrame:
+    return matches_near(pages, d.VALUATION_WORDS, [d.TIME], 0, 150, 1, 100)
+
+
 def near_lines(pages: DataFrame, words: list[str], pattern: str) -> DataFrame:
     """(page, pos, value): first line with a match whose own or neighbouring line holds one of the words."""
     lines = pages.select("page", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

@@ -287,7 +287,50 @@ SELECT id, 'NOT_FOUND' AS value, text[1:100] AS source_quote, 0.95::DOUBLE AS co
 FROM ({CLASSIFIED_SQL}) WHERE external
 """
 
+
+def _dated(spark, sf):
+    """Beginnings of documents around words, dates and times."""
+    k = F.col("doc_id")
+    pick = lambda n, *x: F.get(F.array(*map(F.lit, x)), (k % n).cast("int"))
+    text = F.concat_ws(
+        " ", F.left("text", F.lit(60)), pick(5, "the Payment", "no word", "Dividend and distribution", "Distribution, payment", "NAV calculation"), F.left("text", F.lit(40)),
+        pick(4, "3rd  jan and March 5, 12/24 or 1/2", "April 7", "none", "at 10:30 a.m. or 11.45"), pick(3, "Pricing", "valuation point", "-"), F.left("text", F.lit(90)), pick(7, "9.15 CET", "", "12/3", "17:00hours", "1 May", "x", "y"),
+    )
+    return read_table(spark, sf, "documents").select(k.alias("page"), text.alias("text"))
+
+
+def _dated_sql() -> str:
+    pick = lambda n, *x: f"{list(x)!r}[doc_id % {n} + 1]"
+    parts = [
+        "text[1:60]", pick(5, "the Payment", "no word", "Dividend and distribution", "Distribution, payment", "NAV calculation"), "text[1:40]",
+        pick(4, "3rd  jan and March 5, 12/24 or 1/2", "April 7", "none", "at 10:30 a.m. or 11.45"), pick(3, "Pricing", "valuation point", "-"), "text[1:90]", pick(7, "9.15 CET", "", "12/3", "17:00hours", "1 May", "x", "y"),
+    ]
+    return f"SELECT doc_id AS page, concat_ws(' ', {', '.join(parts)}) AS text FROM documents"
+
+
+def _near_sql(words, patterns, before, after, most, quote) -> str:
+    found = " || ".join(f"regexp_extract_all(near, '(?i){p}')" for p in patterns)
+    return f"""
+WITH w(ord, keyword) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(words))}),
+p AS (SELECT page, text, ord, keyword, strpos(lower(text), keyword) AS place FROM ({_dated_sql()}), w),
+n AS (SELECT page, ord, keyword, text[greatest(place - 1 - {before}, 0) + 1:place - 1 + {after}] AS near FROM p WHERE place > 0),
+m AS (SELECT *, {found} AS found FROM n)
+SELECT page, keyword, array_to_string(found[1:{most}], ', ') AS value, trim(near)[1:{quote}] AS quote FROM m WHERE len(found) > 0
+QUALIFY row_number() OVER (PARTITION BY page ORDER BY ord) = 1
+"""
+
+
+def dividend_dates(spark, sf):
+    return search.dividend_dates(_dated(spark, sf))
+
+
+def valuation_times(spark, sf):
+    return search.valuation_times(_dated(spark, sf))
+
+
 QUERIES = {
+    "dividend_dates": (dividend_dates, _near_sql(d.DIVIDEND_WORDS, d.DATES, 100, 300, 4, 150)),
+    "valuation_times": (valuation_times, _near_sql(d.VALUATION_WORDS, [d.TIME], 0, 150, 1, 100)),
     "category_pages": (category_pages, CATEGORY_SQL),
     "canonical_names": (canonical_names, CANONICAL_SQL),
     "umbrella_names": (umbrella_names, UMBRELLA_SQL),
