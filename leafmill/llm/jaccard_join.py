@@ -9,7 +9,7 @@
 3. *Filter.*  Groups meet in the list of each prefix shingle.  A meeting counts if sizes allow the similarity and if
    the places of the shared shingle leave enough to share; a pair stays if enough meetings count.  Lists of up to
    ``LIST`` groups give all meetings.  A longer list gives those with its first group only; later, those between
-   parts that verified links haven't joined.
+   parts that verified links haven't joined, met by bands of sizes and in salts.
 4. *Verify.*  Sets of candidate nodes are made anew from the texts and compared exactly; groups are expanded to
    members where these aren't joined yet.
 5. Verified links give components.
@@ -44,6 +44,8 @@ LIST = 48
 BITS = 2**26
 #: Pairs with one node that a task verifies in a row.
 SALT_PAIRS = 2_000
+#: Groups of one band of a long list that a task meets in a row.
+SALT_GROUPS = 2_000
 #: Parts in which the pairs of one node are counted.
 COUNT_PARTS = 16
 
@@ -277,6 +279,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _dealt(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of long lists outside their largest part, and all rows, dealt so that pairs of possible sizes meet.
+
+    Sizes of similar sets differ by one band at most, so a row asks three bands.  A band of a list with more than
+    SALT_GROUPS groups is dealt into salts by group, and each asking row goes to all of them: no list is one task's work.
+    """
+    names = ("group", "n", "place", "low", "high", "in_major", "prefix")
+    band = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    lists = lists.withColumn("band", band.cast("long"))
+    salts = lists.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SALT_GROUPS).alias("salts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    asked = lists.where("not in_major").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    x = asked.join(salts, ["token", "band"]).select("token", "band", every, *(F.col(c).alias(f"{c}_x") for c in names))
+    y = lists.join(salts, ["token", "band"]).select(
+        "token", "band", F.pmod(F.xxhash64("group"), F.col("salts")).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in names)
+    )
+    return x, y
+
+
 def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The prefixes of all texts, and (node, id, component) of the nodes: ``component`` is a node that links reach."""
     texts = materialize(_prefixes(slim, width, percent), "prefixes")
@@ -334,14 +355,13 @@ def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     lists = lists.join(open_, "token").withColumn("in_major", F.expr("low = high and low <=> major"))
     prefix = groups.select("group", "prefix")
     lists = materialize(lists.drop("major").join(prefix, "group"), "lists")
-    names = ("group", "n", "place", "low", "high", "in_major", "prefix")
-    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in "xy")
+    x, y = _dealt(lists, percent)
     # A pair of different parts has an end outside the list's largest part; it is told at its first common shingle.
     apart = "not (low_x = high_x and low_y = high_y and low_x = low_y) and (in_major_y or group_x < group_y)"
     room = f"{100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
     first_here = "size(array_intersect(slice(prefix_x, 1, int(place_x)), slice(prefix_y, 1, int(place_y)))) = 0"
     shares = f"size(array_intersect(prefix_x, prefix_y)) >= least({SHARED}, ceil({percent} * (n_x + n_y) / {100 + percent}))"
-    more = x.where("not in_major_x").join(y, "token").where(f"{apart} and {room} and {first_here} and {shares}")
+    more = x.join(y, ["token", "band", "salt"]).where(f"{apart} and {room} and {first_here} and {shares}")
     more = more.selectExpr("least(group_x, group_y) a", "greatest(group_x, group_y) b")
     weak = weak.join(prefix.select(F.col("group").alias("a"), F.col("prefix").alias("pa")), "a")
     weak = weak.join(prefix.select(F.col("group").alias("b"), F.col("prefix").alias("pb")), "b")

@@ -270,6 +270,7 @@ def brute_similar(rows, width, percent):
 @pytest.mark.parametrize(("width", "percent", "limit"), [(3, 90, 48), (5, 80, 48), (3, 70, 2)])
 def test_similar(spark, docs, monkeypatch, width, percent, limit):
     monkeypatch.setattr(jaccard_join, "LIST", limit)
+    monkeypatch.setattr(jaccard_join, "SALT_GROUPS", limit)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in rng.integers(0, 300, 60)]
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
