@@ -354,6 +354,17 @@ def incremental_merge(spark, sf):
     return p.groupBy("doc").applyInPandas(run, "doc long, name string, entity string")
 
 
+def model_groups(spark, sf):
+    """A model's grouping of part names by brand and size: it left out the names of large parts and set some aside."""
+    p = read_table(spark, sf, "part")
+    doc = F.expr("p_partkey div 100").alias("doc")
+    groups = p.where("p_size <= 35").groupBy(doc, "p_brand").agg(
+        F.min_by("p_name", "p_partkey").alias("canonical"), F.collect_set("p_name").alias("variants"), F.min("p_partkey").alias("ord")
+    )
+    excluded = p.where("p_size > 48").select(doc, F.col("p_name").alias("name")).distinct()
+    return resolve.grouped_names(_tables_of_parts(spark, sf), groups, excluded, ["small plated brass"])
+
+
 def name_ratio(spark, sf):
     """Sequence-matcher ratio of each supplier's name with its nation's."""
     ship_code(spark)
@@ -382,5 +393,6 @@ QUERIES = {
     "toc_match_fuzzy": (toc_match_fuzzy, None),
     "greedy_cluster": (greedy_cluster, None),
     "incremental_merge": (incremental_merge, None),
+    "model_groups": (model_groups, None),
     "name_ratio": (name_ratio, None),
 }

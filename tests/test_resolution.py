@@ -108,6 +108,34 @@ def test_fuzzy_rows(spark, sf, parts):
     assert {tuple(r) for r in QUERIES["fuzzy_column_row_lookup"](spark, sf).collect()} == want
 
 
+def test_model_groups(spark, sf, parts):
+    rows_ = sorted(table(sf, "part"), key=lambda p: p["p_partkey"])
+    want = []
+    for doc, names in parts.items():
+        here = [p for p in rows_ if p["p_partkey"] // 100 == doc]
+        canonical = {}
+        mapped = {}
+        for p in (p for p in here if p["p_size"] <= 35):
+            canonical.setdefault(p["p_brand"], p["p_name"])
+            mapped.setdefault(p["p_name"], []).append(p["p_brand"])
+        order = list(canonical)
+        # A name in several groups goes with the group that came last.
+        mapped = {n: canonical[max(b, key=order.index)] for n, b in mapped.items()}
+        aside = {p["p_name"] for p in here if p["p_size"] > 48}
+        known = list(canonical.values())
+        for name in names:
+            if name in mapped or name in aside or normal(name) in ("small plated brass", "smallplatedbrass"):
+                continue
+            a = normal(name)
+            found = next((k for k in known if (b := normal(k)) == a or a.endswith(b) or b.endswith(a) or SequenceMatcher(None, a, b).ratio() >= 0.85), None)
+            if found is None:
+                found = name
+                known.append(name)
+            mapped[name] = found
+        want += [(doc, n, c) for n, c in mapped.items()]
+    assert rows(spark, sf, "model_groups") == sorted(want)
+
+
 def test_rows_about(spark, sf):
     nations = {n["n_nationkey"]: n["n_name"] for n in table(sf, "nation")}
     want, seen = [], {}
