@@ -5,6 +5,11 @@
 3. secret scans: live-looking secrets are replaced by a mark.
 4. mixing sources: each document is taken as often as the mix says.
 5. BPE: ids and number of tokens of every document taken.
+
+Null, empty and wordless texts go with the first stage, whatever their other columns hold.  Null ids and sources, repeated
+ids and rows, and texts of any length pass like others: of equal texts one row stays, rows of one id with different texts
+stay apart, a null source is a source of its own.  Every stage but the last returns the columns of its input, whatever
+they are named; an empty table gives empty tables.
 """
 
 from __future__ import annotations
