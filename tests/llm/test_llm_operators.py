@@ -86,6 +86,18 @@ def test_topk(spark, monkeypatch):
     assert topk_search.search(one, F.lit(True), 5).count() == 0
 
 
+def test_topk_with_clashing_columns_and_repeats(spark):
+    clash = "id string, q string, v string, floor string, block string, `set` string, query string, rank string, query_id string, score string"
+    rows = [(k, [float(k % 3), 1.0][: 1 + k % 2]) for k in range(12)] + [(3, [0.0, 1.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, *["c"] * 10) for r in rows], f"vec_id long, embedding array<double>, {clash}")
+    got = topk_search.search(df, F.col("vec_id") % 4 == 0, 3).collect()
+    whole = {k: [int(256 * x) for x in v] + [0] * (2 - len(v)) for k, v in rows}
+    whole[3] = min([0, 256], whole[3])
+    for q in (0, 4, 8):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q)[:3]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(i + 1, c, -s) for i, (s, c) in enumerate(scored)]
+
+
 def test_topk_stops_early():
     vectors = np.zeros((4000, 2))
     vectors[:, 0] = np.arange(4000)
