@@ -101,6 +101,47 @@ def merge_classes(base: DataFrame, updates: DataFrame, keys: list[str], fields:
     return out.select(*(c for c in base.columns if c not in fields), *filled)
 
 
+def merge_codes(classes: DataFrame, found: DataFrame, length: int = 12) -> DataFrame:
+    """Classes (fund, ord, name, code) after found codes (fund, ord, name, code) were merged in, one by one.
+
+    A code of ``length`` characters overwrites that of the first class of its very name.  Where no class has that name, it
+    goes to the first class without a code whose name holds the other or is held by it, in any case.  Both lists of a fund
+    are few rows, folded as one array.
+    """
+    missing = lambda c: c.isNull() | (c == "NOT_FOUND")
+    listed = lambda df, name: df.groupBy("fund").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "code"))).alias(name))
+    both = listed(classes, "c").join(listed(found, "f"), "fund", "left")
+
+    def step(acc: Column, x: Column) -> Column:
+        name = F.lower(F.coalesce(x["name"], F.lit("")))
+        low = lambda c: F.lower(F.coalesce(c["name"], F.lit("")))
+        near = F.transform(acc, lambda c: (F.contains(low(c), name) | F.contains(name, low(c))) & missing(c["code"]))
+        exact = F.array_position(F.transform(acc, lambda c: F.coalesce(c["name"], F.lit(""))), F.coalesce(x["name"], F.lit("")))
+        place = F.when(exact > 0, exact).otherwise(F.array_position(near, F.lit(True)))
+        fits = F.coalesce(F.length(x["code"]) == length, F.lit(False)) & (x["code"] != "NOT_FOUND")
+        return F.transform(acc, lambda c, i: F.when(fits & (i == place - 1), F.struct(c["ord"], c["name"], x["code"].alias("code"))).otherwise(c))
+
+    none = F.filter("c", lambda c: F.lit(False))
+    done = F.aggregate(F.coalesce("f", none), F.col("c"), step)
+    return both.select("fund", F.explode(done).alias("x")).select("fund", "x.*")
+
+
+def merge_fees(classes: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:
+    """Classes (fund, ord, name, fields) with missing fields filled from found rows (fund, ord, name, fields).
+
+    A found row is for the first class whose name is its own or holds it in any case; of a class's rows the first with a
+    value counts.
+    """
+    missing = lambda c: c.isNull() | (c == "NOT_FOUND")
+    told = found.select("fund", F.col("ord").alias("told"), F.col("name").alias("told_name"), *(F.when(~missing(F.col(f)), F.col(f)).alias(f"new_{f}") for f in fields))
+    holds = F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("told_name", F.lit(""))))
+    first = told.join(classes.select("fund", "ord", "name"), "fund").where(F.col("name").eqNullSafe(F.col("told_name")) | holds)
+    first = first.groupBy("fund", "told", *(f"new_{f}" for f in fields)).agg(F.min("ord").alias("ord"))
+    new = first.groupBy("fund", "ord").agg(*(F.min_by(f"new_{f}", F.when(F.col(f"new_{f}").isNotNull(), F.col("told"))).alias(f"new_{f}") for f in fields))
+    out = classes.join(new, ["fund", "ord"], "left")
+    return out.select("fund", "ord", "name", *(F.when(missing(F.col(f)), F.coalesce(f"new_{f}", f)).otherwise(F.col(f)).alias(f) for f in fields))
+
+
 def class_constraints(classes: DataFrame) -> DataFrame:
     """(id, type, value, unit, comparator) of hedging, minimum and holding rules of share classes, one row each."""
     from leafmill.functions.text import amount, days, hedge_ratio

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import dictionaries as d
 from leafmill.functions.values import in_external_document
-from leafmill.operators import constraints, knowledge, references, resolve, search
+from leafmill.operators import constraints, knowledge, planning, references, resolve, search
 from leafmill.session import read_table
 from leafmill.sources import reports, tables
 
@@ -328,7 +328,43 @@ def valuation_times(spark, sf):
     return search.valuation_times(_dated(spark, sf))
 
 
+
+def _classes_and_found(spark, sf):
+    """Orders of a customer as share classes, and as what a search found for them under whole, shorter and strange names."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    code = F.concat(F.lit("LU"), F.lpad(k.cast("string"), 10, "0"))
+    o = read_table(spark, sf, "orders")
+    classes = o.select(F.col("o_custkey").alias("fund"), k.alias("ord"), F.concat(p, F.lit(" "), (k % 3).cast("string")).alias("name"),
+                       F.when(k % 5 == 0, code).when(k % 5 == 1, "NOT_FOUND").alias("code"), F.when(k % 4 == 0, F.concat((k % 9).cast("string"), F.lit("%"))).alias("fee"))
+    name = F.when(k % 4 == 0, F.concat(p, F.lit(" 1"))).when(k % 4 == 1, F.lower(F.substring(p, 3, 20))).when(k % 4 == 2, F.concat(F.lit("class "), p, F.lit(" 2"))).otherwise("other")
+    found = o.select(F.col("o_custkey").alias("fund"), (-k).alias("ord"), name.alias("name"), F.when(k % 7 == 0, "LU1").otherwise(F.concat(F.lit("IE"), F.lpad(k.cast("string"), 10, "0"))).alias("code"),
+                     F.when(k % 6 == 0, "NOT_FOUND").otherwise(F.concat((k % 8).cast("string"), F.lit(" bp"))).alias("fee"))
+    return classes, found
+
+
+def code_merge(spark, sf):
+    classes, found = _classes_and_found(spark, sf)
+    return planning.merge_codes(classes.drop("fee"), found.drop("fee"))
+
+
+def fee_merge(spark, sf):
+    classes, found = _classes_and_found(spark, sf)
+    return planning.merge_fees(classes.drop("code"), found.drop("code"), ["fee"])
+
+
+FEES_SQL = """
+WITH c AS (SELECT o_custkey AS fund, o_orderkey AS ord, o_orderpriority || ' ' || (o_orderkey % 3) AS name, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 9) || '%' END AS fee FROM orders),
+f AS (SELECT o_custkey AS fund, -o_orderkey AS told, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority || ' 1' WHEN 1 THEN lower(o_orderpriority[3:]) WHEN 2 THEN 'class ' || o_orderpriority || ' 2' ELSE 'other' END AS n,
+  CASE WHEN o_orderkey % 6 > 0 THEN (o_orderkey % 8) || ' bp' END AS new FROM orders),
+t AS (SELECT fund, told, new, min(ord) AS ord FROM f JOIN c USING (fund) WHERE c.name = n OR contains(lower(c.name), lower(n)) GROUP BY 1, 2, 3),
+w AS (SELECT fund, ord, arg_min(new, told) FILTER (new IS NOT NULL) AS new FROM t GROUP BY 1, 2)
+SELECT c.fund, c.ord, name, coalesce(fee, new) AS fee FROM c LEFT JOIN w USING (fund, ord)
+"""
+
+
 QUERIES = {
+    "code_merge": (code_merge, None),
+    "fee_merge": (fee_merge, FEES_SQL),
     "dividend_dates": (dividend_dates, _near_sql(d.DIVIDEND_WORDS, d.DATES, 100, 300, 4, 150)),
     "valuation_times": (valuation_times, _near_sql(d.VALUATION_WORDS, [d.TIME], 0, 150, 1, 100)),
     "category_pages": (category_pages, CATEGORY_SQL),

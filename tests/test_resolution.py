@@ -136,6 +136,27 @@ def test_model_groups(spark, sf, parts):
     assert rows(spark, sf, "model_groups") == sorted(want)
 
 
+def test_code_merge(spark, sf):
+    funds = {}
+    for o in sorted(table(sf, "orders"), key=lambda o: o["o_orderkey"]):
+        k, p = o["o_orderkey"], o["o_orderpriority"]
+        code = f"LU{k:010d}" if k % 5 == 0 else "NOT_FOUND" if k % 5 == 1 else None
+        name = (f"{p} 1", p[2:].lower(), f"class {p} 2", "other")[k % 4]
+        classes, found = funds.setdefault(o["o_custkey"], ([], []))
+        classes.append([k, f"{p} {k % 3}", code])
+        found.insert(0, (name, "LU1" if k % 7 == 0 else f"IE{k:010d}"))
+    want = []
+    for fund, (classes, found) in funds.items():
+        for name, code in found:
+            same = [c for c in classes if c[1] == name]
+            near = [c for c in classes if c[2] in (None, "NOT_FOUND") and (name.lower() in c[1].lower() or c[1].lower() in name.lower())]
+            to = same or near
+            if to and len(code) == 12:
+                to[0][2] = code
+        want += [(fund, *c) for c in classes]
+    assert sorted(map(tuple, QUERIES["code_merge"](spark, sf).collect()), key=str) == sorted(want, key=str)
+
+
 def test_rows_about(spark, sf):
     nations = {n["n_nationkey"]: n["n_name"] for n in table(sf, "nation")}
     want, seen = [], {}
