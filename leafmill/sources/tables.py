@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.dictionaries import LOOKUP_COLUMNS
 from leafmill.functions.similarity import ratio, token_sort_ratio
 from leafmill.functions.text import clean_cell
-from leafmill.session import ship_code
+from leafmill.session import materialize, ship_code
 
 
 def scan(raw_tables: DataFrame) -> DataFrame:
@@ -80,6 +80,7 @@ def stitched(tables: DataFrame, pages: DataFrame, least: float = 80.0) -> DataFr
     column that theirs maps to (:func:`column_map`), the last of those that meet, and cells and rows without one go.
     """
     some = tables.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
+    some = materialize(some.select("doc", "page", "ord", "columns", "rows"), "tables")  # read four times, parsed once
     first = some.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
     told = some.join(first, "doc").join(column_map(some, least), "doc", "left")
     mapped = lambda x: F.struct(F.try_element_at("mapped", x["name"]).alias("name"), x["cell"].alias("cell"))
