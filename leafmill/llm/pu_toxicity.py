@@ -10,7 +10,8 @@ unlabelled texts by heart.
 
 The classifier reads distinct words in folded spelling (``folding``): a word's margin is the sum of the weights of its
 hashed pieces, so inflected, prefixed and disguised forms count like the plain one, and a text's margin is the logarithm
-of the sum of its words' exponentials, a smooth maximum: clean text around a toxic passage doesn't hide it.  Weights
+of the sum of its words' exponentials, a smooth maximum: clean text around a toxic passage doesn't hide it.  Each
+step sees a random part (SEEN) of every text's words, so that of several terms that stand together each is learned.  Weights
 start from how much more often a piece occurs in positives than in the unlabelled sample, in standard errors.
 
 Training takes at most ``positives`` and ``unlabelled`` distinct texts, found among twice as many ids (the smallest by
@@ -36,9 +37,12 @@ from leafmill.llm.rule_ensemble import labelled_sample
 from leafmill.session import materialize, read_table, ship_code
 
 POSITIVES, UNLABELLED, MOST_WORDS = 2_000, 6_000, 2_000_000
-STEPS, RATE, BIAS_SHARE, MOMENTUM, DECAY = 100, 4.0, 0.05, 0.9, 1e-4
+STEPS, RATE, BIAS_SHARE, MOMENTUM, DECAY = 120, 4.0, 0.05, 0.9, 1e-4
 #: Weight of a piece at the start for each standard error, and where word margins are cut off.
 START, HIGHEST = 0.02, 15.0
+#: Share of a text's words that a step sees, other ones each time, and how many it sees at least, about: so every term of
+#: a text learns, not the strongest alone.
+SEEN, SEEN_WORDS = 0.4, 8
 
 
 class Model(NamedTuple):
@@ -75,11 +79,11 @@ class Sample:
     def word_sums(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights[self.piece], np.cumsum(self.spelled) - self.spelled)
 
-    def text_sums(self, of_words: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(of_words[self.word], np.cumsum(self.size) - self.size)
+    def text_sums(self, of_words: np.ndarray, seen: np.ndarray | float = 1.0) -> np.ndarray:
+        return np.add.reduceat(of_words[self.word] * seen, np.cumsum(self.size) - self.size)
 
-    def by_word(self, of_texts: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, np.repeat(of_texts, self.size), minlength=len(self.spelled))
+    def by_word(self, of_texts: np.ndarray, seen: np.ndarray | float = 1.0) -> np.ndarray:
+        return np.bincount(self.word, np.repeat(of_texts, self.size) * seen, minlength=len(self.spelled))
 
     def by_piece(self, of_words: np.ndarray) -> np.ndarray:
         return np.bincount(self.piece, np.repeat(of_words, self.spelled), minlength=len(self.pieces))
@@ -94,9 +98,12 @@ def learn(sample: Sample, positive: np.ndarray, prior: float, steps: int = STEPS
     start = np.log(sample.text_sums(np.exp(np.minimum(sample.word_sums(weights), HIGHEST))))
     bias = np.log(prior / max(1 - prior, 1e-9)) - np.median(start[~positive])
     moved, bias_moved = np.zeros_like(weights), 0.0
+    rng = np.random.default_rng(5)
+    share = np.repeat(np.maximum(SEEN, np.minimum(1, SEEN_WORDS / sample.size)), sample.size).astype(np.float32)
     for _ in range(steps):
         of_word = np.exp(np.minimum(sample.word_sums(weights) + bias, HIGHEST))
-        total = sample.text_sums(of_word)
+        seen = (rng.random(len(sample.word), dtype=np.float32) < share).astype(np.float64)
+        total = sample.text_sums(of_word, seen) + 1e-12  # a text of which no word is seen
         chance = total / (1 + total)
         # loss(m, +) = log(1 + exp(-m)) and loss(m, -) = log(1 + exp(m)), with exp(m) = total; their difference is m.
         against = np.log1p(total)
@@ -104,7 +111,7 @@ def learn(sample: Sample, positive: np.ndarray, prior: float, steps: int = STEPS
             slope = np.where(positive, -prior / n_p, chance / n_u)
         else:
             slope = np.where(positive, prior * chance / n_p, -chance / n_u)
-        by_word = sample.by_word(slope / total) * of_word
+        by_word = sample.by_word(slope / total, seen) * of_word
         moved = MOMENTUM * moved + sample.by_piece(by_word) + DECAY * weights
         bias_moved = MOMENTUM * bias_moved + by_word.sum()
         weights = weights - RATE * moved

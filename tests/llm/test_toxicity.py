@@ -189,3 +189,18 @@ def test_pieces_by_hand():
     again = [int(h) for _, hashed in folding.pieces(alone, np.array([1])) for h in hashed]
     assert again == [h for w, h in found if w == 0]
     assert mix(np.array([1], dtype=np.uint64))[0] != 1
+
+
+def test_each_term_is_enough_alone(learned):
+    """Terms that stood together in the toxic texts that were learned from are known one by one."""
+    _, held = learned
+    rng = random.Random(4)
+    terms = [f"{a}{b}zq" for a in ("vor", "mul", "kep") for b in ("ak", "il", "os")]
+    plain = [f"{rng.choice('bdfglmnprst')}{rng.choice('aeiou')}{rng.choice('bdfglmnprst')}{rng.choice('aeiou')}{k % 37}" for k in range(400)]
+    text = lambda n, more=(): " ".join(rng.sample([*rng.choices(plain, k=n), *more], n + len(more)))
+    toxic = [text(60, rng.sample(terms, 4)) for _ in range(150)]
+    others = [text(60, rng.sample(terms, 4) if k % 10 == 0 else ()) for k in range(1_500)]
+    rows = pu_toxicity.distinct_words(pa.array([*toxic, *others]))
+    model = pu_toxicity.learn(pu_toxicity.Sample(rows), np.arange(len(rows)) < len(toxic), 0.1)
+    clean = [text(60) for _ in range(300)]
+    assert recall(model, [text(60, [x]) for x in terms for _ in range(5)], clean) >= 0.95
