@@ -153,6 +153,7 @@ def test_fragment_is_escaped(spark):
 def test_section_chunks_cover_every_page_once():
     got = list(passes.section_chunks([(1, 20), (21, 45), (46, 120), (130, 140)], 150))
     assert got == [
-        (1, 45, False), (46, 75, True), (76, 105, True), (106, 120, True), (121, 129, False), (130, 140, False), (141, 150, False),
+        (1, 45, "complete"), (46, 75, "partial_section"), (76, 105, "partial_section"), (106, 120, "partial_section"),
+        (121, 129, "gap"), (130, 140, "complete"), (141, 150, "gap"),
     ]
-    assert list(passes.section_chunks([], 65)) == [(1, 30, False), (31, 60, False), (61, 65, False)]
+    assert list(passes.section_chunks([], 65)) == [(1, 30, "naive"), (31, 60, "naive"), (61, 65, "naive")]
