@@ -13,6 +13,7 @@ from leafmill.llm.rule_ensemble import op2_rule_ensemble
 from leafmill.llm.secret_scan import op8_secret_scan
 from leafmill.llm.sql import SQL  # noqa: F401
 from leafmill.llm.topk_search import op1_topk_search
+from leafmill.llm.url_filter import op13_url_filter
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op13_url_filter": op13_url_filter,
 }

@@ -11,7 +11,7 @@ from leafmill.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got, expected = registry.QUERIES[name](spark, sf), con.sql(registry.SQL[name])
     columns = sorted(got.columns)
