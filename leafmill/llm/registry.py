@@ -12,6 +12,7 @@ from leafmill.llm.quality_rules import op7_quality_rules
 from leafmill.llm.rule_ensemble import op2_rule_ensemble
 from leafmill.llm.secret_scan import op8_secret_scan
 from leafmill.llm.sql import SQL  # noqa: F401
+from leafmill.llm.token_align import op12_token_align
 from leafmill.llm.topk_search import op1_topk_search
 from leafmill.llm.url_filter import op13_url_filter
 
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op12_token_align": op12_token_align,
     "op13_url_filter": op13_url_filter,
 }
