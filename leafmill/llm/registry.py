@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafmill.llm.bpe import op9_bpe
+from leafmill.llm.conversation_repair import op11_conversation_repair
 from leafmill.llm.dac import op10_token_files
 from leafmill.llm.html_text import op5_html_text
 from leafmill.llm.jaccard_join import op4_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_align": op12_token_align,
     "op13_url_filter": op13_url_filter,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafmill.llm.conversation_repair import OP11_SQL
 from leafmill.llm.secret_scan import KINDS, MAX_OWNERS, MAX_REPOSITORIES, SOUGHT
 from leafmill.llm.topk_search import OP1_SQL
 from leafmill.llm.url_filter import OP13_SQL
@@ -72,4 +73,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN x USING (doc_id)
 """
 
-SQL = {"op1_topk_search": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_secret_scan": OP8_SQL, "op13_url_filter": OP13_SQL}
+SQL = {"op1_topk_search": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op13_url_filter": OP13_SQL}
