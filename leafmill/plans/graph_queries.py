@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.similarity import matcher_ratio
 from leafmill.functions.values import is_not_found, raw_value, tier
 from leafmill.operators import assembly, graph, resolve
-from leafmill.session import read_table, ship_code
+from leafmill.session import in_job, read_table, ship_code
 
 
 def graph_upsert(spark, sf):
@@ -342,16 +342,47 @@ def greedy_cluster(spark, sf):
     return resolve.greedy_clusters(_tables_of_parts(spark, sf))
 
 
+def _merged(names):
+    bare = names.withColumns({"page": F.lit(None).cast("int"), "confidence": F.lit(0.5), "properties": F.create_map().cast("map<string,string>")})
+    return in_job("merge", lambda: resolve.merge_in_order(bare)[0])
+
+
 def incremental_merge(spark, sf):
     """Names of parts merged one by one inside each table."""
-    ship_code(spark)
-    p = _tables_of_parts(spark, sf).groupBy("doc", "name").agg(F.min("ord").alias("ord"))
+    return _merged(_tables_of_parts(spark, sf))
+
+
+def _titles(spark, sf):
+    """(doc, name, ord): the first four words of every document, all in one group."""
+    d = read_table(spark, sf, "documents").where("doc_id is not null")
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), 1), 1, 4)
+    return d.groupBy("doc_id").agg(F.min(F.array_join(words, " ")).alias("name")).select(F.lit(0).alias("doc"), "name", F.col("doc_id").alias("ord"))
+
+
+def greedy_cluster_whole(spark, sf):
+    """Titles of all documents clustered as one group, in order of id."""
+    return resolve.greedy_clusters(_titles(spark, sf)).drop("doc")
+
+
+def entity_merge_whole(spark, sf):
+    """Titles of all documents merged into entities one by one: what each entity knows in the end."""
+    d = read_table(spark, sf, "documents").groupBy("doc_id").agg(
+        F.min("source").alias("source"), F.min("lang").alias("lang"), (F.min("n_chars") % 97).cast("int").alias("page")
+    )
+    told = _titles(spark, sf).join(d, F.col("ord") == F.col("doc_id"))
+    told = told.select(
+        "doc", "name", "ord", "page", (F.col("ord") % 10 / 10).alias("confidence"),
+        F.map_filter(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"), lambda k, v: v.isNotNull()).alias("properties"),
+    )
+    return in_job("entities", lambda: resolve.merge_in_order(told)[1]).drop("doc")
 
-    def run(frame):
-        out = next(resolve.merge_in_order(iter([frame])))
-        return out.assign(doc=frame["doc"].iloc[0])
 
-    return p.groupBy("doc").applyInPandas(run, "doc long, name string, entity string")
+def fund_lookup_fuzzy(spark, sf):
+    """The entity that each document's title stands for: labelled documents' titles, first in order of id."""
+    titles = _titles(spark, sf)
+    labelled = read_table(spark, sf, "labels").select(F.col("doc_id").alias("ord")).distinct()
+    entities = titles.join(labelled, "ord", "left_semi").select("doc", F.col("name").alias("entity"), "ord")
+    return resolve.first_like(titles, entities).drop("doc")
 
 
 def model_groups(spark, sf):
@@ -393,6 +424,9 @@ QUERIES = {
     "toc_match_fuzzy": (toc_match_fuzzy, None),
     "greedy_cluster": (greedy_cluster, None),
     "incremental_merge": (incremental_merge, None),
+    "greedy_cluster_whole": (greedy_cluster_whole, None),
+    "entity_merge_whole": (entity_merge_whole, None),
+    "fund_lookup_fuzzy": (fund_lookup_fuzzy, None),
     "model_groups": (model_groups, None),
     "name_ratio": (name_ratio, None),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pyarrow.parquet as pq
 import pytest
 
 from leafmill.functions.similarity import indel_ratio
+from leafmill.operators import name_join, resolve
 from leafmill.plans.queries import QUERIES
 
 
@@ -81,21 +83,111 @@ def test_greedy_clusters(spark, sf, parts):
     assert rows(spark, sf, "greedy_cluster") == sorted(want)
 
 
+def folded(rows):
+    """Sequential merge by the rule: aliases by normal form, else the best above 0.85 of the known entities, else new."""
+    aliases, entities = {}, {}
+    for name, page, confidence, properties in rows:
+        form = normal(name)
+        if form in aliases:
+            continue
+        ratios = [(SequenceMatcher(None, form, normal(e)).ratio(), e) for e in entities if same(name, e)]
+        top = max((r for r, _ in ratios), default=0)
+        if top > 0.85:
+            home = next(e for r, e in ratios if r == top)
+            for k, v in properties.items():
+                entities[home]["properties"].setdefault(k, v)
+            if page is not None and page not in entities[home]["pages"]:
+                entities[home]["pages"].append(page)
+            entities[home]["confidence"] = max(entities[home]["confidence"], confidence)
+        else:
+            home = name
+            entities[name] = {"confidence": confidence, "pages": [] if page is None else [page], "properties": dict(properties)}
+        aliases[form] = home
+    return aliases, entities
+
+
+def same(a, b, least=0.85):
+    x, y = normal(a), normal(b)
+    return a == b or x == y or x.endswith(y) or y.endswith(x) or SequenceMatcher(None, x, y).ratio() >= least
+
+
 def test_incremental_merge(spark, sf, parts):
     want = []
     for doc, names in parts.items():
-        known = []
-        for name in names:
-            ratios = [SequenceMatcher(None, name.lower(), k.lower()).ratio() for k in known]
-            top = max(ratios, default=0)
-            if top > 0.85:
-                want.append((doc, name, known[ratios.index(top)]))
-            else:
-                known.append(name)
-                want.append((doc, name, name))
+        aliases, _ = folded([(n, None, 0.5, {}) for n in names])
+        want += [(doc, n, aliases[normal(n)]) for n in names]
     assert rows(spark, sf, "incremental_merge") == sorted(want)
 
 
+ODD_NAMES = [
+    "Alpha - Fund", "alpha fund", "Alpha–Fund", "ALPHA  FUND II", "Umbrella - Alpha Fund", "", "-", "beta", "Beta Growth", "beta growth a", "beta growth b",
+    "gamma bond x", "gamma bond y", "gamma bond z", "delta gamma bond x", "éclair fünd", "eclair fund", "x", "xx", "\U0001f600 fund", "🙂 fund", "beta growth ab",
+]
+
+
+def test_folds_of_odd_names(spark):
+    told = [(n, k % 3 or None, k % 7 / 10, {"k": str(k), f"k{k % 4}": "v"}) for k, n in enumerate([*ODD_NAMES, *ODD_NAMES[::-2]])]
+    frame = spark.createDataFrame([("d", n, k, *x) for k, (n, *x) in enumerate(told)] + [("d", None, 999, 1, 0.5, {})], "doc string, name string, ord long, page int, confidence double, properties map<string,string>")
+    aliases, entities = folded(told)
+    mapped, state = resolve.merge_in_order(frame)
+    assert {r["name"]: r["entity"] for r in mapped.collect()} == {n: aliases[normal(n)] for n in ODD_NAMES}
+    got = {r["entity"]: {"confidence": r["confidence"], "pages": r["pages"], "properties": {x["key"]: x["value"] for x in r["properties"]}} for r in state.collect()}
+    assert got == entities
+    assert {r["name"]: r["canonical"] for r in resolve.greedy_clusters(frame).collect()} == clustered(list(dict.fromkeys(n for n, *_ in told)))
+    empty = frame.limit(0)
+    assert resolve.greedy_clusters(empty).count() == 0 and resolve.merge_in_order(empty)[0].count() == 0
+
+
+def clustered(names):
+    groups = []
+    for name in names:
+        home = next((g for g in groups if any(same(name, x) for x in g)), None)
+        if home is None:
+            groups.append([name])
+        else:
+            home.append(name)
+    return {x: min(g, key=len) for g in groups for x in g}
+
+
+def titles_of(spark, sf):
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    return {i: " ".join(re.findall(r"[^ \t\n\x0b\f\r]+", t)[:4]) for i, t in docs}
+
+
+def test_one_group_of_all_titles(spark, sf):
+    titles = titles_of(spark, sf)
+    want = clustered(list(dict.fromkeys(titles.values())))
+    assert {tuple(r) for r in QUERIES["greedy_cluster_whole"](spark, sf).collect()} == set(want.items())
+    assert len(set(want.values())) < len(want)
+    rows_ = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    told = [(t, rows_[i]["n_chars"] % 97, i % 10 / 10, {k: rows_[i][k] for k in ("source", "lang") if rows_[i][k] is not None}) for i, t in titles.items()]
+    _, entities = folded(told)
+    got = QUERIES["entity_merge_whole"](spark, sf).collect()
+    assert {r["entity"]: (r["confidence"], r["pages"], {x["key"]: x["value"] for x in r["properties"]}) for r in got} == {k: tuple(v.values()) for k, v in entities.items()}
+
+
+def test_lookup_is_the_first_entity_of_all_pairs(spark, sf):
+    titles = titles_of(spark, sf)
+    labelled = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    entities = list(dict.fromkeys(t for i, t in titles.items() if i in labelled))
+    known = set(entities)
+    want = {t: t if t in known else next((e for e in entities if same(t, e)), None) for t in set(titles.values())}
+    got = {r["name"]: r["entity"] for r in QUERIES["fund_lookup_fuzzy"](spark, sf).collect()}
+    assert got == want
+
+
+def test_few_candidates_and_none_missed(spark, sf):
+    titles = sorted(set(titles_of(spark, sf).values()))
+    names = spark.createDataFrame([(0, normal(t)) for t in titles], "doc int, name string").distinct()
+    forms = sorted({normal(t) for t in titles})
+    found = {(r["a"], r["b"]) for r in name_join.alike_candidates(names, names, 0.85).collect()}
+    alike = {(a, b) for a in forms for b in forms if a and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert alike <= found
+    assert len(found) < len(forms) ** 2 / 10
+    ends = {(r["a"], r["b"]) for r in name_join.ending_pairs(names, names).collect()}
+    assert ends == {(a, b) for a in forms for b in forms if a.endswith(b) or b.endswith(a)}
+
+
 def test_fuzzy_rows(spark, sf, parts):
     sort = lambda x: " ".join(sorted(x.split()))
     want = set()
