@@ -3,14 +3,20 @@
 A page is read as a stream of tags.  Each stretch of text belongs to a block, and each block to a root-to-leaf path of
 block tags with their classes and ids.  For every path of the page the text length and the punctuation of all its blocks
 are added up; the ratios text per block and punctuation per block are smoothed along the order in which paths first
-occur and fused by multiplication.  What an element says of itself changes its paths' ratios and decides nothing alone:
-a marked article or main part weighs MARKED times as much, a part that names itself something else (menu, footer,
-sidebar, notice, advert, form, comments, ...) OTHER times, one that may well be a part of the article (related, share,
-social, ...) MAYBE times.
+occur, bent to shares of 1 (a paragraph of 2,000 characters is hardly more prose than one of 1,000) and fused by
+multiplication, text twice.  Paths whose fused ratio reaches BAR of the page's best are content; those of parts that say
+they are something else must be prose by their own ratio too (PROSE), so that a tiny article isn't beaten by a footer.
 
-Paths that reach a share of the spread of all fused ratios are content.  The innermost element that holds HOLDS of the
-content's text is the article.  What stands in it belongs to it, short headings, lists, tables and quotes too, except
-for parts with a name of their own, which stay only where at least half of their text is content by its ratio.
+What an element says of itself is a prior, bounded on both sides, that the fused ratio is multiplied by: a marked article
+or main part MARKED, a menu, header, form or pager WEAK, as its text tells it from an article anyway, and a part that may
+well be prose but isn't the article's (reader comments, notices, adverts, sidebars, footers, hidden parts) STRONG.  A name
+with words that have nothing to do with layout ("comments-on-method", "related-work") is WEAK at most.  So names alone
+take nothing out that has an article's ratios, save the prose that only its name tells apart.
+
+The innermost element that holds HOLDS of the content's text is the article.  What stands in it belongs to it, short
+headings, lists, tables and quotes too, except for parts with a name of their own, which stay only where at least half of
+their text is content by its ratio.  If that element lies in a marked article, all of the marked article counts, so that
+a short lead in a part of its own isn't lost.
 
 Inline tags don't end a block; ``<br>`` is white space; an inline element that names itself an advert or is hidden counts
 as a path of its own.  Character references are decoded, white space (including no-break spaces) inside a block becomes
@@ -43,6 +49,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select canvas".split())
+SWALLOWS = frozenset("script style textarea".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -52,20 +59,31 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-# Elements and names that say that a part is not the article, and names that may stand in one.
-OTHER_TAGS = frozenset("nav footer aside form button dialog menu".split())
-OTHER_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
-)
+# Elements and names that say that a part is not the article.
+WEAK_TAGS = frozenset("nav form button menu".split())
+STRONG_TAGS = frozenset("footer aside dialog".split())
+WEAK_ROLES = frozenset("navigation banner search form menu menubar toolbar".split())
+STRONG_ROLES = frozenset("contentinfo complementary dialog alertdialog alert".split())
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored taboola outbrain hidden".split())
-OTHER_NAMES = ADVERTS | frozenset(
-    "banner bottombar breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebar cookies copyright "
-    "disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "notification overlay pager pagination paywall popup promo promoted promotion replies reply respond sidebar signup "
-    "skip skyscraper subscribe subscription toolbar topbar widget widgets".split()
+STRONG_NAMES = ADVERTS | frozenset(
+    "comment commentlist comments consent cookie cookiebar cookies copyright disclaimer disqus footer gdpr modal newsletter notice "
+    "notices notification overlay paywall popup promo promoted promotion replies reply respond sidebar signup skyscraper subscribe "
+    "subscription".split()
+)
+WEAK_NAMES = frozenset(
+    "banner bottombar breadcrumb breadcrumbs header login masthead menu menus nav navbar navigation pager pagination recommendations "
+    "recommended related share sharing skip social teaser teasers toolbar topbar widget widgets".split()
 )
-MAYBE_NAMES = frozenset("recommendations recommended related share sharing social teaser teasers".split())
-OTHER_BEGINNINGS = ("advert", "breadcrumb", "commentbox", "cookie", "newsletter", "noticebar", "sidebar", "sponsor")
+STRONG_BEGINNINGS = ("advert", "commentbox", "cookie", "newsletter", "noticebar", "sidebar", "sponsor")
+#: Words that say where a part is or what it is made of, beside the name of what it is.
+LAYOUT_WORDS = frozenset(
+    "a all app area article articles author b bar block body bottom box btn button card col column container content desktop entry fixed "
+    "footer form g global grid group head header hero holder inner item items js layer left link links list lists local main mobile module "
+    "more my new news outer page panel part post posts primary right row secondary section shell side site slot small social sticky "
+    "sub tab text the thread title top unit user users view wrap wrapper your zone".split()
+)
+#: Names of an aside that belongs to the article.
+QUOTES = frozenset("callout footnote footnotes note notes pullquote quote".split())
 #: Words with which a name speaks of the layout around such a part: ``has-sidebar`` isn't a sidebar.
 LAYOUT = frozenset("has layout no with".split())
 #: Names that speak of a part's form rather than its matter: they say nothing inside a marked article.
@@ -85,10 +103,14 @@ _SPACE = re.compile(r"\s+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
-#: Weight of a neighbouring path in the smoothing, and the share of the spread that a content path reaches.
-NEIGHBOUR, SHARE = 0.1, 0.25
-#: What the ratios of paths are multiplied by.
-MARKED, MAYBE, OTHER = 3.0, 0.1, 0.01
+#: Weight of a neighbouring path in the smoothing, and the share of the best ratio that a content path reaches.
+NEIGHBOUR, BAR = 0.1, 0.22
+#: Text and punctuation a block at which their ratios are half of what they can be.
+HALF_TEXT, HALF_MARKS = 240.0, 3.0
+#: What a part that says it isn't the article must reach without its prior: some 200 characters and a few marks a block.
+PROSE = 0.1
+#: What the ratios of paths are multiplied by, and the least product of several of these.
+MARKED, WEAK, STRONG, LEAST = 2.0, 0.5, 0.125, 0.0625
 #: The share of the content's text that the article's element holds, and elements that are a part of a text only.
 HOLDS = 0.9
 LEAVES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
@@ -127,18 +149,23 @@ def _attributes(rest: str) -> dict[str, str]:
 
 def _weight(tag: str, had: dict[str, str], main: bool) -> float:
     """What an element says of itself; ``main`` says that it stands in a marked article."""
-    if tag in OTHER_TAGS or tag == "header" and not main:
-        return OTHER
     if "hidden" in had or had.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(had.get("style", "")):
-        return OTHER
-    if had.get("role", "").strip().lower() in OTHER_ROLES:
-        return OTHER
+        return STRONG
+    role = had.get("role", "").strip().lower()
     weight = 1.0
-    for words in _named(had):
-        if words & OTHER_NAMES - (FORMS if main else frozenset()) or any(x.startswith(OTHER_BEGINNINGS) for x in words):
-            return OTHER
-        if words & MAYBE_NAMES:
-            weight = MAYBE
+    if tag in WEAK_TAGS or role in WEAK_ROLES or tag == "header" and not main:
+        weight = WEAK
+    names = list(_named(had))
+    if role in STRONG_ROLES or tag in STRONG_TAGS and not (tag == "aside" and any(x & QUOTES for x in names)):
+        weight = STRONG
+    for words in names:
+        strong = words & STRONG_NAMES or any(x.startswith(STRONG_BEGINNINGS) for x in words)
+        weak = words & WEAK_NAMES - (FORMS if main else frozenset())
+        if strong:
+            named = {x for x in words if not (x in STRONG_NAMES | WEAK_NAMES | LAYOUT_WORDS or x.startswith(STRONG_BEGINNINGS) or x.isdigit())}
+            weight = min(weight, WEAK if named else STRONG)
+        elif weak:
+            weight = min(weight, WEAK)
     return weight
 
 
@@ -156,12 +183,14 @@ def _is_advert(had: dict[str, str]) -> bool:
 
 
 class Page:
-    """The blocks of a page and how its elements lie in one another (``around``: each one's holder before it)."""
+    """The blocks of a page and how its elements lie in one another (``around``: each one's holder before it; ``marked``:
+    whether it is marked as the article)."""
 
     def __init__(self, page: str) -> None:
         self.blocks: list[Block] = []
         self.paths: dict[tuple[int, str], int] = {}
         self.around = [0]
+        self.marked = [False]
         self._read(page)
 
     def _path(self, before: int, name: str) -> int:
@@ -175,6 +204,7 @@ class Page:
         depth = 0
         token, last = _TOKEN, page.rfind(">")
         number, parts, block = 0, 0, 0
+        endless: set[str] = set()
         at, end = 0, len(page)
 
         def stretch() -> None:
@@ -184,7 +214,7 @@ class Page:
                 if text.strip():
                     top = stack[-1]
                     if depth:
-                        self.blocks.append(Block(block, self._path(top.path, inline[1]), OTHER, top.holder, -1, text))
+                        self.blocks.append(Block(block, self._path(top.path, inline[1]), STRONG, top.holder, -1, text))
                     else:
                         self.blocks.append(Block(block, top.path, top.weight, top.holder, top.part, text))
                 elif text:
@@ -244,10 +274,13 @@ class Page:
                 close_block()
                 continue
             if tag in RAW:
-                close = _ENDS[tag].search(page, at)
-                if tag != "title" or close:
+                close = None if tag in endless else _ENDS[tag].search(page, at)
+                if not close:
+                    endless.add(tag)
+                if close or tag in SWALLOWS:
                     close_block()
-                at = close.end() if close else end
+                    at = close.end() if close else end
+                # Others that never end are a slip: what follows is the page.
                 continue
             if tag in INLINE:
                 if tag in VOID or rest.rstrip().endswith("/"):
@@ -279,9 +312,10 @@ class Page:
             if tag not in LEAVES:
                 number += 1
                 self.around.append(holder)
+                self.marked.append(marked)
                 holder = number
             path = self._path(top.path, f"{tag}.{had.get('class', '')}#{had.get('id', '')}")
-            stack.append(_Open(tag, path, max(top.weight * weight, OTHER**2), holder, top.main or marked, part))
+            stack.append(_Open(tag, path, max(top.weight * weight, LEAST), holder, top.main or marked, part))
             open_tags[tag] += 1
         close_block()
 
@@ -295,10 +329,14 @@ def ratios(blocks: list[Block]) -> dict[int, float]:
         total[1] += len(_PUNCTUATION.findall(x.text))
         total[2] += 1
     length, marks, n, weight = np.array(list(totals.values())).T
-    fused = _smooth(length / n) * _smooth((marks + 1) / n) * weight
+    fused = _bent(_smooth(length / n), HALF_TEXT) ** 2 * _bent(_smooth(marks / n + 1), HALF_MARKS) * weight
     return dict(zip(totals, fused.tolist(), strict=True))
 
 
+def _bent(x: np.ndarray, half: float) -> np.ndarray:
+    return x / (x + half)
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     """Each value averaged with its neighbours on either side."""
     total, share = x.copy(), np.ones(len(x))
@@ -315,9 +353,8 @@ def content(page: str) -> str:
     if not read.blocks:
         return ""
     fused = ratios(read.blocks)
-    spread = np.array(list(fused.values()))
-    bar = min(spread.max(), SHARE * spread.std())
-    chosen = [fused[x.path] >= bar for x in read.blocks]
+    bar = BAR * max(fused.values())
+    chosen = [fused[x.path] >= bar and fused[x.path] >= PROSE * min(x.weight, 1.0) * (x.weight < 1) for x in read.blocks]
     inside = _inside_article(read, chosen)
     total, good = Counter(), Counter()
     for x, c in zip(read.blocks, chosen, strict=True):
@@ -340,6 +377,10 @@ def _inside_article(read: Page, chosen: list[bool]) -> list[bool]:
         held[read.around[e]] += held[e]
     # Elements with more than half of the text lie one in another.
     article = max(e for e, n in enumerate(held) if n >= HOLDS * held[0])
+    around = article
+    while around:
+        article = around if read.marked[around] else article
+        around = read.around[around]
     inside = [False] * len(held)
     for e, before in enumerate(read.around):
         inside[e] = e == article or e > article and inside[before]

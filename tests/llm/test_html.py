@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
@@ -54,23 +55,65 @@ def unnamed(k):
     return f"<body><div><ul>{LINKS}</ul></div><div><div>{inner}</div></div><div><i>All rights</i></div></body>", "\n".join(story(k, 5))
 
 
+def f1(a, b):
+    x, y = Counter(a.split()), Counter(b.split())
+    return 2 * (x & y).total() / max(1, x.total() + y.total())
+
+
 def test_ratios_decide(monkeypatch, sf):
-    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    pages = pq.read_table(f"{sf.replace('sf0.001', 'sf0.1')}/pages.parquet")["html"].to_pylist()[:600]
     plain = [unnamed(k) for k in range(20)]
     assert [html_text.content(x) for x, _ in plain] == [x for _, x in plain]
-    before = [html_text.content(x) for x in [*pages, *(x for x, _ in plain)]]
-    monkeypatch.setattr(html_text, "ratios", lambda blocks: dict.fromkeys((x.path for x in blocks), 1.0))
-    after = [html_text.content(x) for x in [*pages, *(x for x, _ in plain)]]
-    changed = [a != b for a, b in zip(before, after, strict=True)]
-    assert all(changed[len(pages) :]) and sum(changed[: len(pages)]) > 0.9 * len(pages)
+    before = [html_text.content(x) for x in pages]
+    ratios = html_text.ratios
+    # The names' priors alone, with constant ratios, change most pages ...
+    monkeypatch.setattr(html_text, "ratios", lambda blocks: {x.path: x.weight for x in blocks})
+    after = [html_text.content(x) for x in pages]
+    assert sum(a != b for a, b in zip(before, after, strict=True)) > len(pages) / 3
+    assert all(html_text.content(x) != y for x, y in plain)
+    # ... and the ratios alone, without any name, nearly give the same text.
+    monkeypatch.setattr(html_text, "ratios", lambda blocks: ratios([x._replace(weight=1.0) for x in blocks]))
+    after = [html_text.content(x) for x in pages]
+    assert sum(map(f1, before, after)) / len(pages) >= 0.95
+
+
+def test_priors_are_bounded():
+    assert html_text.MARKED <= 4 and html_text.WEAK >= 1 / 4 and html_text.STRONG >= 1 / 8 and html_text.LEAST >= 1 / 16
 
 
 def test_ratios_by_hand():
     read = html_text.Page("<div><h1>Ab</h1><p>One, two.</p><p>Three!</p><ul><li>x</li></ul></div>")
-    # text a block 2, 7.5, 1; signs a block (0 + 1) / 1, (3 + 1) / 2, (0 + 1) / 1; a neighbour counts 0.1
+    # text a block 2, 7.5, 1; signs a block 0, 1.5, 0, and one more; a neighbour counts 0.1
     text = [(2 + 0.75) / 1.1, (7.5 + 0.2 + 0.1) / 1.2, (1 + 0.75) / 1.1]
-    signs = [(1 + 0.2) / 1.1, (2 + 0.1 + 0.1) / 1.2, (1 + 0.2) / 1.1]
-    assert list(html_text.ratios(read.blocks).values()) == pytest.approx([a * b for a, b in zip(text, signs, strict=True)])
+    signs = [(1 + 0.25) / 1.1, (2.5 + 0.1 + 0.1) / 1.2, (1 + 0.25) / 1.1]
+    want = [(a / (a + html_text.HALF_TEXT)) ** 2 * b / (b + html_text.HALF_MARKS) for a, b in zip(text, signs, strict=True)]
+    assert list(html_text.ratios(read.blocks).values()) == pytest.approx(want)
+
+
+PROSE = "".join(f"<p>{x}</p>" for x in story(7))
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (article(*story(1), f'<section id="comments-on-method"><h2>Comments on method</h2>{PROSE}</section>'), [*story(1), "Comments on method", *story(7)]),
+        (article(*story(1), "<object data=x>", *story(2)), [*story(1), *story(2)]),
+        (article(*story(1), "<svg viewBox=0>", *story(2)), [*story(1), *story(2)]),
+        (article(*story(1), "<noscript>", *story(2)), [*story(1), *story(2)]),
+        (article(*story(1), "<svg><text>No</text></svg>", "<object><p>No</p></object>", *story(2)), [*story(1), *story(2)]),
+        ("<article><div><p>A short lead.</p></div><div>%s</div></article>" % PROSE, ["A short lead.", *story(7)]),
+        ("<main><div class=a><p>A short lead.</p></div><div class=b>%s</div></main>" % PROSE, ["A short lead.", *story(7)]),
+        (article(*story(1), '<aside class="pullquote"><p>Not even then.</p></aside>', *story(2)), [*story(1), "Not even then.", *story(2)]),
+        (article(*story(1)) + f'<section class="comment-list">{PROSE}</section>', story(1)),
+        (article(*story(1)) + f'<div id="cookie-notice">{PROSE}</div>', story(1)),
+        (f"<div><div>{''.join(f'<p>{x}</p>' for x in story(1))}</div><div class=comments>{PROSE}</div></div>", story(1)),
+        (article("word " * 400, "<p>" + "more " * 300 + "</p>") + "<footer>&copy; host &middot; All, every. One; right.</footer>", [("word " * 400).strip(), ("more " * 300).strip()]),
+    ],
+)
+def test_nothing_of_the_article_is_lost(page, kept):
+    links = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(9))
+    got = html_text.content(f"<body><nav><ul>{links}</ul></nav>{page}<footer>Us, (c) 2020.</footer></body>")
+    assert got == "\n".join(kept)
 
 
 @pytest.mark.parametrize("unit", ["<div>", "<div class=a>x", "<p>word, ", "<span class=ad>x", "<ul><li>y", "<table><tr><td>z", "</div>", "<a href='", "&amp;"])
