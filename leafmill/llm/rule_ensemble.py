@@ -182,8 +182,9 @@ def train(
     sample = labelled_sample(labels, label, id_, sample_rows)
     # At most sample_rows rows of two numbers: the broadcast is bounded.
     some = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    rows = some.select("id", F.col("y").cast("double").alias("y"), *(v.alias(k) for k, v in stats.items())).toPandas()
-    rows = rows.sort_values(["id", "words"]).drop_duplicates("id")
+    measured = some.select("id", F.col("y").cast("double").alias("y"), F.struct(*(v.alias(k) for k, v in stats.items())).alias("s"))
+    # One row an id, however often it is repeated: the least of its statistics.
+    rows = measured.groupBy("id").agg(F.first("y").alias("y"), F.min("s").alias("s")).select("id", "y", "s.*").toPandas().sort_values("id")
     order = np.random.default_rng(5).permutation(len(rows))
     table = rows.to_numpy(dtype=float)[order]
     return fit(table[:, 2:], table[:, 1], tuple(stats))
