@@ -8,6 +8,7 @@ from leafmill.functions.similarity import matcher_ratio
 from leafmill.functions.values import is_not_found, raw_value, tier
 from leafmill.operators import assembly, graph, resolve
 from leafmill.session import in_job, read_table, ship_code
+from leafmill.sources import triples
 
 
 def graph_upsert(spark, sf):
@@ -129,6 +130,36 @@ def orphan_anti_join(spark, sf):
     return lost.unionByName(empty)
 
 
+def _edges(spark, sf):
+    l = read_table(spark, sf, "lineitem")
+    ends = l.select(F.col("l_partkey").alias("subject"), F.concat(F.lit("supplied_"), "l_returnflag").alias("type"), F.col("l_suppkey").alias("object"))
+    return ends.groupBy("subject", "type", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
+def relation_patterns(spark, sf):
+    """The relations of parts and suppliers that each of the eight patterns over the first relation's ends finds."""
+
+    def work():
+        store = triples.write(_edges(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        first = store.query().agg(F.min(F.struct("subject", "type", "object")).alias("x")).first()["x"]
+        out = None
+        for k in range(8):
+            ends = [first[e] if first and k >> i & 1 else None for i, e in enumerate(triples.ENDS)]
+            found = store.query(*ends).select(F.lit(k).alias("pattern"), "subject", "type", "object", "n")
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    return in_job("patterns", work)
+
+
+PATTERNS_SQL = """
+WITH e AS (SELECT l_partkey AS subject, 'supplied_' || l_returnflag AS type, l_suppkey AS object, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT * FROM e ORDER BY subject, type, object LIMIT 1), k AS (SELECT unnest(range(8))::INTEGER AS pattern)
+SELECT pattern, e.subject, e.type, e.object, e.n FROM e, f, k
+WHERE (pattern & 1 = 0 OR e.subject = f.subject) AND (pattern & 2 = 0 OR e.type = f.type) AND (pattern & 4 = 0 OR e.object = f.object)
+"""
+
+
 ORPHAN_SQL = """
 WITH c AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal >= 0)
 SELECT 'orphan' AS issue, o_custkey AS key, o_orderkey AS fact FROM orders WHERE o_custkey NOT IN (SELECT key FROM c)
@@ -409,6 +440,7 @@ QUERIES = {
     "relation_merge": (relation_merge, MERGE_SQL),
     "relation_dedupe": (relation_dedupe, DEDUPE_SQL),
     "entity_rename": (entity_rename, RENAME_SQL),
+    "relation_patterns": (relation_patterns, PATTERNS_SQL),
     "relation_rekey": (relation_rekey, REKEY_SQL),
     "fund_context_hints": (fund_context_hints, CONTEXT_SQL),
     "orphan_anti_join": (orphan_anti_join, ORPHAN_SQL),

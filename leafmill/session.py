@@ -21,6 +21,8 @@ _shipped: set[str] = set()
 _written: dict[str, SparkSession] = {}
 _own: ContextVar[list[str] | None] = ContextVar("scratch tables", default=None)
 _folders: dict[str, str] = {}
+#: Names in the catalog of those that have one.
+_named: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_table(spark: SparkSession, name: str, path: str) -> None:
+    """Let a catalog table at ``path`` end as scratch tables do."""
+    _written[path] = spark
+    _named[path] = name
+    own = _own.get()
+    if own is not None:
+        own.append(path)
+
+
+def forget_table(path: str) -> None:
+    """Drop a table of :func:`keep_table` now."""
+    own = _own.get()
+    if own is not None and path in own:
+        own.remove(path)
+    if path in _written:
+        _delete(path)
+
+
 def in_job(name: str, work: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``work``, written as a table; the scratch tables that it made are removed, also if it fails.
 
@@ -92,6 +112,8 @@ def _delete(path: str) -> None:
     if spark.sparkContext._jsc is None:  # stopped: the cluster clears its checkpoint folder
         return
     try:
+        if path in _named:
+            spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     except (Py4JError, OSError) as e:  # a table left behind must not fail a finished job
