@@ -69,6 +69,44 @@ def contexts(funds: DataFrame, hints: DataFrame, facts: DataFrame) -> DataFrame:
     return out.withColumn("confidence", sure)
 
 
+def relation_type(kind: Column) -> Column:
+    """How a fund is tied to a table of this kind."""
+    return F.when(kind == "isin", "has_isin_in").otherwise("has_fee_in")
+
+
+def recorded_tables(notes: DataFrame) -> DataFrame:
+    """(doc, ord, key, kind, consolidated, fund) of table notes (doc, ord, kind, pages, consolidated, fund), keyed by kind and first page.
+
+    A table is the same whenever its kind and first page are; each note of it ties funds anew.  Notes without pages are left out.
+    """
+    key = F.concat(F.lit("table:"), F.col("kind"), F.lit("_"), F.get("pages", F.lit(0)).cast("string"))
+    return notes.where(F.size("pages") > 0).select("doc", "ord", key.alias("key"), "kind", "consolidated", F.col("fund"))
+
+
+def table_links(funds: DataFrame, tables: DataFrame, width: int = 1_000) -> DataFrame:
+    """(doc, type, subject, object, ord): the relations that recording tables makes, each with the ``ord`` of its first note.
+
+    A consolidated table is tied to every fund of its document recorded before it, another one to the fund that it names,
+    recorded or not; without a name to none.  Funds are (doc, ord, key), tables as :func:`recorded_tables` gives them.
+
+    Both inputs are cut along ``ord`` into blocks of ``width``: a table meets the funds of earlier blocks block by block,
+    without comparing, and compares ``ord`` with those of its own block alone.  So a document is no task's own; the rows
+    are as many as there are relations.
+    """
+    block = lambda c: F.floor(F.col(c) / width).alias("block")
+    first = funds.groupBy("doc", "key").agg(F.min("ord").alias("fund_ord")).select("doc", F.col("key").alias("subject"), "fund_ord", block("fund_ord"))
+    shared = tables.where("consolidated").select("doc", F.col("key").alias("object"), relation_type(F.col("kind")).alias("type"), "ord", block("ord"))
+    own = tables.where(~F.col("consolidated") & F.col("fund").isNotNull())
+    own = own.select("doc", relation_type(F.col("kind")).alias("type"), keyed(F.col("fund")).alias("subject"), F.col("key").alias("object"), "ord")
+    same = first.join(shared, ["doc", "block"]).where("fund_ord < ord")
+    of_funds = first.select("doc", F.col("block").alias("fund_block")).distinct()
+    cells = of_funds.join(shared.select("doc", "block").distinct(), "doc").where("fund_block < block")
+    earlier = cells.join(first.withColumnRenamed("block", "fund_block"), ["doc", "fund_block"]).join(shared, ["doc", "block"])
+    columns = ("doc", "type", "subject", "object", "ord")
+    every = same.select(*columns).unionByName(earlier.select(*columns)).unionByName(own.select(*columns))
+    return every.groupBy("doc", "type", "subject", "object").agg(F.min("ord").alias("ord"))
+
+
 def orphans(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts whose key is no entity."""
     return facts.join(entities.select("key"), "key", "left_anti")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from leafmill.functions.similarity import matcher_ratio
 from leafmill.functions.values import is_not_found, raw_value, tier
 from leafmill.operators import assembly, graph, resolve
-from leafmill.session import in_job, read_table, ship_code
+from leafmill.session import in_job, read_table, scratch_path, ship_code
 from leafmill.sources import triples
+from leafmill.streaming import store
 
 
 def graph_upsert(spark, sf):
@@ -30,6 +31,64 @@ SELECT * FROM p JOIN s USING (key)
 """
 
 
+def _notes(spark, sf):
+    """Events as notes of one document a user: views name funds, purchases and clicks tables."""
+    e = read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    fund = F.concat(F.lit("F"), (k % 40).cast("string"))
+    told = e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), "event_type", k.alias("k"), fund.alias("fund"), F.array(F.dayofyear("ts")).alias("pages"))
+    funds = told.where("event_type = 'view'").select("doc", "ord", graph.keyed(F.col("fund")).alias("key"))
+    kind = F.when(F.col("k") % 2 == 0, "isin").otherwise("fee")
+    tables = told.where("event_type in ('purchase', 'click')").select(
+        "doc", "ord", kind.alias("kind"), "pages", (F.col("event_type") == "purchase").alias("consolidated"), "fund"
+    )
+    return funds, graph.recorded_tables(tables)
+
+
+def table_links(spark, sf):
+    return graph.table_links(*_notes(spark, sf))
+
+
+LINKS_SQL = """
+WITH e AS (SELECT user_id AS doc, event_id AS ord, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, dayofyear(ts) AS page FROM events),
+f AS (SELECT doc, 'fund:F' || (k % 40) AS subject, min(ord) AS first FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+t AS (
+  SELECT doc, ord, event_type, k, CASE WHEN k % 2 = 0 THEN 'has_isin_in' ELSE 'has_fee_in' END AS type,
+    'table:' || CASE WHEN k % 2 = 0 THEN 'isin_' ELSE 'fee_' END || page AS object
+  FROM e WHERE event_type IN ('purchase', 'click')
+)
+SELECT doc, type, subject, object, min(ord) AS ord FROM (
+  SELECT t.doc, type, subject, object, ord FROM t JOIN f ON f.doc = t.doc AND f.first < t.ord WHERE event_type = 'purchase'
+  UNION ALL SELECT doc, type, 'fund:F' || (k % 40), object, ord FROM t WHERE event_type = 'click')
+GROUP BY 1, 2, 3, 4
+"""
+
+
+def store_upsert(spark, sf):
+    """Events as two batches of writes merged into a stored table, the second one twice."""
+    e = read_table(spark, sf, "events").select(
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), F.dayofyear("ts").alias("page"), "value", "event_type", "event_id"
+    )
+
+    def work():
+        path = scratch_path(spark, "store")
+        for number, kinds in ((1, ("view", "signup")), (2, ("click", "error", "purchase")), (2, ("click", "error", "purchase"))):
+            writes = e.where(F.col("event_type").isin(*kinds)).groupBy("key").agg(
+                F.array_sort(F.collect_set("page")).alias("pages"), F.max("value").alias("confidence"), F.max_by("event_type", "event_id").alias("name"),
+                F.max("event_id").alias("ord"), F.count(F.lit(1)).alias("n_writes"),
+            )
+            store.merge_batch(writes, number, path, ("key",), store.entity_rows, 32)
+        return store.stored(spark, path, writes).withColumn("pages", F.array_join("pages", ","))
+
+    return in_job("stored", work)
+
+
+STORE_SQL = """
+SELECT 'user:' || user_id AS key, array_to_string(list_sort(list_distinct(list(dayofyear(ts)))), ',') AS pages, max(value) AS confidence,
+  arg_max(event_type, event_id) AS name, max(event_id) AS ord, count(*) AS n_writes FROM events GROUP BY 1
+"""
+
+
 def _edges(spark, sf):
     l = read_table(spark, sf, "lineitem")
     return l.select(
@@ -440,6 +499,8 @@ QUERIES = {
     "relation_merge": (relation_merge, MERGE_SQL),
     "relation_dedupe": (relation_dedupe, DEDUPE_SQL),
     "entity_rename": (entity_rename, RENAME_SQL),
+    "table_links": (table_links, LINKS_SQL),
+    "store_upsert": (store_upsert, STORE_SQL),
     "relation_patterns": (relation_patterns, PATTERNS_SQL),
     "relation_rekey": (relation_rekey, REKEY_SQL),
     "fund_context_hints": (fund_context_hints, CONTEXT_SQL),

@@ -61,6 +61,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes as scratch tables do, whatever is written there."""
+    path = f"{scratch_dir(spark).rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    own = _own.get()
+    if own is not None:
+        own.append(path)
+    return path
+
+
 def keep_table(spark: SparkSession, name: str, path: str) -> None:
     """Let a catalog table at ``path`` end as scratch tables do."""
     _written[path] = spark

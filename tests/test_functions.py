@@ -145,6 +145,20 @@ def test_graph_paths(spark):
     assert column(spark, ["x", "table:1"], graph.keyed) == ["fund:x", "table:1"]
 
 
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_tables_link_the_funds_known_so_far(spark, width):
+    funds = spark.createDataFrame([("d", 1, "fund:a"), ("d", 4, "fund:b"), ("d", 9, "fund:a"), (None, 1, "fund:n"), ("e", 2, "fund:c"), ("d", 4, "fund:t")], "doc string, ord int, key string")
+    rows = [("d", 3, "isin", [7], True, None), ("d", 4, "fee", [8, 9], True, "x"), ("d", 5, "isin", [7], True, None), ("d", 2, "isin", [1], False, "z"),
+            ("d", 9, "fee", [2], False, None), ("d", 9, "fee", [], True, None), (None, 5, "fee", [1], True, None), ("e", 1, "fee", [1], True, None)]
+    notes = spark.createDataFrame(rows, "doc string, ord int, kind string, pages array<int>, consolidated boolean, fund string")
+    got = graph.table_links(funds, graph.recorded_tables(notes), width).collect()
+    assert sorted(tuple(r)[1:] for r in got if r["doc"] == "d") == [
+        ("has_fee_in", "fund:a", "table:fee_8", 4), ("has_isin_in", "fund:a", "table:isin_7", 3), ("has_isin_in", "fund:b", "table:isin_7", 5),
+        ("has_isin_in", "fund:t", "table:isin_7", 5), ("has_isin_in", "fund:z", "table:isin_1", 2),
+    ]
+    assert {r["doc"] for r in got} <= {"d"}
+
+
 def test_fragment_is_escaped(spark):
     got = column(spark, ["<a&'\">"], lambda c: assembly.fragment(c, F.lit(0.5), c))[0]
     assert got == '<span class="medium" title="&lt;a&amp;&#x27;&quot;&gt;">&lt;a&amp;&#x27;&quot;&gt;</span>'
