@@ -19,12 +19,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from leafmill.llm.shingles import CHUNK_BYTES, mix, parts, prefix_hashes, runs, span_hashes
+from leafmill.llm.shingles import mix, parts, prefix_hashes, runs, span_hashes
 
 SPACE = 32
 BITS = 20
 PIECES, BEGINNINGS = (3, 4, 5), (5, 6, 7)
 STRETCH = 100_000
+#: Pieces take some 70 bytes of memory for each byte of text.
+CHUNK_BYTES = 500_000
 
 #: Signs and digits that stand for letters, and signs that are set between letters.
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -115,7 +117,7 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) like ``parts``, but a longer text comes in several stretches of its own."""
-    for row, data, offsets in parts(texts):
+    for row, data, offsets in parts(texts, CHUNK_BYTES):
         if len(offsets) > 2 or len(data) <= 2 * CHUNK_BYTES:
             yield row, data, offsets
             continue
