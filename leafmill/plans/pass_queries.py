@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import passes, search
+from leafmill.operators import learning, passes, search
 from leafmill.session import read_table
 
 
@@ -32,6 +32,26 @@ SELECT value[1:3] AS term, min(ord) AS ord FROM v GROUP BY 1
 """
 
 
+SEEDS = ["isin", "lu0", "license", "ier"]
+
+
+def learned_search(spark, sf):
+    """Documents that hold a seed or, round by round, the first letters of a code on a document found before."""
+    d = read_table(spark, sf, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return learning.learned_rows(d.withColumnRenamed("doc_id", "page"), SEEDS, r"([A-Z]{2}[A-Z0-9]{10})").select("kind", "name")
+
+
+LEARNED_SEARCH_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+c AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '([A-Z]{{2}}[A-Z0-9]{{10}})', 1))[1:3]) AS term FROM d),
+r(term) AS (
+  SELECT unnest({SEEDS}) UNION SELECT c.term FROM r JOIN d ON contains(d.low, r.term) JOIN c ON c.doc_id = d.doc_id
+)
+SELECT 'term' AS kind, term AS name FROM r
+UNION ALL SELECT DISTINCT 'page', CAST(doc_id AS VARCHAR) FROM d JOIN r ON contains(d.low, r.term)
+"""
+
+
 def _orders(spark, sf):
     o = read_table(spark, sf, "orders")
     start = (F.col("o_orderkey") % 60 + 1).alias("page_start")
@@ -185,6 +205,7 @@ SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b, kind) AS chunk, a
 
 QUERIES = {
     "learned_terms": (learned_terms, LEARNED_SQL),
+    "learned_search": (learned_search, LEARNED_SEARCH_SQL),
     "learned_terms_whole": (learned_terms_whole, LEARNED_WHOLE_SQL),
     "gleaned_tables": (gleaned_tables, GLEANED_SQL),
     "gleaned_names": (gleaned_names, NAMES_SQL),
