@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,59 @@ def first_and_last(n_pages: Column, first: int = 5, last: int = 15) -> Column:
     return F.array_sort(F.array_distinct(F.concat(front, back)))
 
 
+
+
+def nested_sections(headings: DataFrame, last_page: str = "last_page") -> DataFrame:
+    """Headings (doc, ord, level, title, page, last_page) as nested sections of any depth.
+
+    A section ends on the page before the next heading of its level or above (the next level that isn't greater), but not
+    before its own; without one on the document's last page.  ``parent`` is the ``ord`` of the nearest earlier heading
+    of a lesser level, null at the top; ``depth`` counts from 1.  A null level is the top.  ``ord`` is distinct in a document.
+
+    Both are nearest smaller values, found with a stack in one pass over the sorted headings: memory follows the depth,
+    not the headings.
+    """
+    ship_code(headings.sparkSession)
+    kind = {c: headings.schema[c].dataType.simpleString() for c in ("doc", "ord", "title", "page")}
+    slim = headings.select("doc", "ord", F.coalesce(F.col("level").cast("long"), F.lit(1)).alias("level"), "title", "page", F.col(last_page).alias("last"))
+    dealt = slim.repartition("doc").sortWithinPartitions(F.asc_nulls_first("doc"), "ord")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, any_ = None, False
+        stack: list[tuple] = []  # open sections: level, ord, title, page, parent, depth, last page
+        out: list[tuple] = []
+        names = ["doc", "ord", "level", "title", "page", "page_end", "parent", "depth"]
+
+        def close(before) -> None:
+            level, ord_, title, page, parent, depth, last = stack.pop()
+            end = last if before is None else max(page, before - 1) if page is not None else None
+            out.append((now, ord_, level, title, page, end, parent, depth))
+
+        def told(schema: pa.Schema) -> pa.RecordBatch:
+            kinds = [schema.field(c).type for c in ("doc", "ord")] + [pa.int64(), *(schema.field(c).type for c in ("title", "page", "page", "ord")), pa.int64()]
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        schema = None
+        for batch in frames:
+            schema = batch.schema
+            for doc, ord_, level, title, page, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not any_ or doc != now:
+                    while stack:
+                        close(None)
+                    now, any_ = doc, True
+                while stack and stack[-1][0] >= level:
+                    close(page)
+                parent = stack[-1][1] if stack else None
+                stack.append((level, ord_, title, page, parent, len(stack) + 1, last))
+            if len(out) >= 1000:
+                yield told(schema)
+        while stack:
+            close(None)
+        if out:
+            yield told(schema)
+
+    return dealt.mapInArrow(
+        run, f"doc {kind['doc']}, ord {kind['ord']}, level long, title {kind['title']}, page {kind['page']}, page_end {kind['page']}, parent {kind['ord']}, depth long"
+    )

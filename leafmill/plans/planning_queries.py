@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import planning, structure
+from leafmill.operators import enrichment, planning, structure
 from leafmill.session import read_table
 
 
@@ -228,7 +228,53 @@ t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY field ORDER BY pag
 SELECT field, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM t GROUP BY field
 """
 
+def _brand_tables(spark, sf):
+    """Parts of a brand as a fund's classes (with an end to every other name) and as its table of codes."""
+    p = read_table(spark, sf, "part")
+    classes = p.select(
+        F.col("p_brand").alias("fund"), F.col("p_partkey").alias("ord"),
+        F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("name"),
+        F.when(F.col("p_size") > 40, F.col("p_type")).otherwise("NOT_FOUND").alias("isin"),
+    )
+    words = F.split("p_name", " ")
+    row = F.array(F.array_join(F.reverse(words), " "), F.col("p_type"), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("XX"), F.col("p_partkey").cast("string"))).otherwise(""))
+    tables = p.where("p_size <= 25").groupBy(F.col("p_brand").alias("fund")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("t"))
+    odd = F.length("fund") % 2 == 1
+    columns = F.when(odd, F.array(*map(F.lit, ("share class ", "Type", "ISIN")))).otherwise(F.array(*map(F.lit, ("Classes", "Type", "ISIN Code"))))
+    hint = F.when(odd, F.lit(None).cast("string")).otherwise("Fund Name")
+    return classes, tables.select("fund", hint.alias("hint"), columns.alias("columns"), F.transform("t", lambda x: x["r"]).alias("rows"))
+
+
+def class_codes_from_tables(spark, sf):
+    classes, tables = _brand_tables(spark, sf)
+    return enrichment.fill_from_tables(classes, tables, "isin", enrichment.CODE_COLUMNS)
+
+
+def broadcast_rows_alike(spark, sf):
+    """Customers' balances as rows of consolidated tables that name nations behind an umbrella."""
+    n, c = read_table(spark, sf, "nation"), read_table(spark, sf, "customer")
+    classes = n.select(F.concat(F.lit("Fund "), F.reverse("n_name"), "n_name").alias("fund"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"))
+    classes = classes.select("fund", "ord", F.concat(F.lit("Class "), (F.col("ord") % 3).cast("string")).alias("class"), F.lit("NOT_FOUND").alias("fee"))
+    named = F.concat(F.lit("UMBRELLA - fund-"), F.reverse("n_name"), "n_name")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        named.alias("fund"), F.concat(F.lit("Class "), (F.col("c_custkey") % 4).cast("string")).alias("class"), F.col("c_custkey").alias("ord"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("NOT_FOUND").alias("fee"),
+    )
+    return enrichment.apply_rows_alike(classes, rows, ["fee"], 1.0)
+
+
+ALIKE_ROWS_SQL = """
+WITH f AS (SELECT n_nationkey AS k, 'Fund ' || reverse(n_name) || n_name AS fund FROM nation),
+c AS (SELECT k, fund, unnest([0, 1, 2, 3])::INTEGER AS ord FROM f),
+r AS (SELECT c_nationkey AS k, c_custkey % 4 AS class, arg_max(c_mktsegment, c_custkey) AS fee FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2)
+SELECT fund, ord, 'Class ' || (ord % 3) AS class, CASE WHEN ord < 3 AND r.fee IS NOT NULL THEN r.fee ELSE 'NOT_FOUND' END AS fee
+FROM c LEFT JOIN r ON r.k = c.k AND r.class = ord % 3
+"""
+
+
 QUERIES = {
+    "class_codes_from_tables": (class_codes_from_tables, None),
+    "broadcast_rows_alike": (broadcast_rows_alike, ALIKE_ROWS_SQL),
     "mention_ranges": (mention_ranges, RANGES_SQL),
     "toc_children": (toc_children, CHILDREN_SQL),
     "page_range_sources": (page_range_sources, SOURCES_SQL),

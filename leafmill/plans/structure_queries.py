@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
+from leafmill.functions.json_repair import repaired_json
 from leafmill.operators import knowledge, structure
 from leafmill.session import read_table
 
@@ -334,7 +335,50 @@ SELECT field, document, page, CAST(source AS INTEGER) AS source FROM u WHERE fie
 QUALIFY row_number() OVER (PARTITION BY field, document ORDER BY source, page) = 1
 """
 
+def nested_sections(spark, sf):
+    """Orders of a customer as headings, their priority as level, and the customer's last order as last page."""
+    o = read_table(spark, sf, "orders")
+    last = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_page"))
+    heads = o.join(last, "o_custkey").select(
+        F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("level"),
+        F.col("o_orderstatus").alias("title"), F.col("o_orderkey").alias("page"), "last_page",
+    )
+    return structure.nested_sections(heads)
+
+
+NESTED_SECTIONS_SQL = """
+WITH RECURSIVE h AS (SELECT o_custkey AS doc, o_orderkey AS ord, CAST(left(o_orderpriority, 1) AS BIGINT) AS level, o_orderstatus AS title,
+  max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders),
+p AS (
+  SELECT h.doc, h.ord, h.level, h.title, h.last, (SELECT min(x.ord) FROM h x WHERE x.doc = h.doc AND x.ord > h.ord AND x.level <= h.level) AS nxt,
+    (SELECT max(x.ord) FROM h x WHERE x.doc = h.doc AND x.ord < h.ord AND x.level < h.level) AS parent
+  FROM h
+), d AS (
+  SELECT doc, ord, 1::BIGINT AS depth FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.doc, p.ord, depth + 1 FROM d JOIN p ON p.doc = d.doc AND p.parent = d.ord
+)
+SELECT p.doc, p.ord, level, title, p.ord AS page, CASE WHEN nxt IS NULL THEN last ELSE greatest(p.ord, nxt - 1) END AS page_end, parent, depth FROM p JOIN d USING (doc, ord)
+"""
+
+
+def json_repair_props(spark, sf):
+    """Events' properties as answers cut short inside a fence, made whole again."""
+    e = read_table(spark, sf, "events")
+    cut = F.substring(F.col("props"), F.lit(1), (F.col("event_id") % 12).cast("int"))
+    told = F.concat(F.lit("Here it is:\n```json\n"), cut)
+    fixed = e.select("event_id", repaired_json(told).alias("json"))
+    return fixed.select("event_id", "json", F.get_json_object("json", "$.k").cast("int").alias("k"))
+
+
+JSON_REPAIR_SQL = """
+WITH c AS (SELECT event_id, regexp_extract(substr(props, 1, CAST(event_id % 12 AS INTEGER)), '[0-9]+') AS digits, event_id % 12 AS n FROM events)
+SELECT event_id, CASE WHEN n = 0 THEN NULL WHEN digits = '' THEN '{}' ELSE '{"k": ' || digits || '}' END AS json, TRY_CAST(digits AS INTEGER) AS k FROM c
+"""
+
+
 QUERIES = {
+    "nested_sections": (nested_sections, NESTED_SECTIONS_SQL),
+    "json_repair_props": (json_repair_props, JSON_REPAIR_SQL),
     "chunk_fixed_adaptive": (chunk_fixed_adaptive, CHUNK_SQL),
     "chunk_overlap": (chunk_overlap, OVERLAP_SQL),
     "first_contiguous_block": (first_contiguous_block, BLOCK_SQL),

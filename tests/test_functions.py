@@ -159,6 +159,19 @@ def test_tables_link_the_funds_known_so_far(spark, width):
     assert {r["doc"] for r in got} <= {"d"}
 
 
+def test_nested_sections(spark):
+    rows = [("d", 1, 1, "A", 1), ("d", 2, 2, "A.1", 2), ("d", 3, 4, "A.1.x", 2), ("d", 4, 3, "A.1.y", 5), ("d", 5, 2, "A.2", 5), ("d", 6, 1, "B", 9), (None, 1, None, "N", 3), ("e", 1, 3, "deep", 4)]
+    frame = spark.createDataFrame([(*r, 20, "x") for r in rows], "doc string, ord int, level int, title string, page int, last_page int, depth string").repartition(3)
+    got = {(r["doc"], r["title"]): (r["page"], r["page_end"], r["parent"], r["depth"]) for r in structure.nested_sections(frame).collect()}
+    assert got == {
+        ("d", "A"): (1, 8, None, 1), ("d", "A.1"): (2, 4, 1, 2), ("d", "A.1.x"): (2, 4, 2, 3), ("d", "A.1.y"): (5, 5, 2, 3), ("d", "A.2"): (5, 8, 1, 2),
+        ("d", "B"): (9, 20, None, 1), (None, "N"): (3, 20, None, 1), ("e", "deep"): (4, 20, None, 1),
+    }
+    assert structure.nested_sections(frame.limit(0)).count() == 0
+    chain = spark.range(3000).select(F.lit(1).alias("doc"), "id", F.col("id").alias("ord"), F.col("id").alias("level"), F.lit("t").alias("title"), F.col("id").alias("page"), F.lit(3000).alias("last_page"))
+    assert structure.nested_sections(chain).agg(F.max("depth")).first()[0] == 3000
+
+
 def test_fragment_is_escaped(spark):
     got = column(spark, ["<a&'\">"], lambda c: assembly.fragment(c, F.lit(0.5), c))[0]
     assert got == '<span class="medium" title="&lt;a&amp;&#x27;&quot;&gt;">&lt;a&amp;&#x27;&quot;&gt;</span>'
