@@ -58,6 +58,11 @@ def recipes(funds: DataFrame, fields: list[str], table_fields: list[str]) -> Dat
     return each.select("fund", "field", F.when(by_table, "table_lookup").otherwise("text_extraction").alias("source"))
 
 
+# How references write pages (one sign between two numbers: "10 to 20" is page 10), appendices and sections.
+PAGES = r"pages?\s*(\d+)(?:\s*[-–to]\s*(\d+))?"
+APPENDIX, SECTION = r"(?:appendix|annex|schedule|exhibit)\s+([a-z0-9]+)", r"(?:section|part|chapter)\s+(\d+(?:\.\d+)*)"
+
+
 def resolve_references(references: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc, ref, page_start, page_end, how) of references (doc, ref, text).
 
@@ -65,13 +70,13 @@ def resolve_references(references: DataFrame, sections: DataFrame) -> DataFrame:
     two common words.  Sections (doc, ord, name, page_start, page_end) meet the references of their own document.
     """
     low = F.lower("text")
-    pages = r"pages?\s*(\d+)(?:\s*[-–to]+\s*(\d+))?"
+    pages = PAGES
     start = F.nullif(F.regexp_extract(low, pages, 1), F.lit("")).cast("long")
     end = F.coalesce(F.nullif(F.regexp_extract(low, pages, 2), F.lit("")).cast("long"), start)
     refs = references.select(
         "doc", "ref", low.alias("low"), start.alias("p1"), F.greatest(start, end).alias("p2"),
-        F.nullif(F.regexp_extract(low, r"(?:appendix|annex|schedule|exhibit)\s+([a-z0-9]+)", 1), F.lit("")).alias("appendix"),
-        F.nullif(F.regexp_extract(low, r"(?:section|part|chapter)\s+(\d+(?:\.\d+)*)", 1), F.lit("")).alias("number"),
+        F.nullif(F.regexp_extract(low, APPENDIX, 1), F.lit("")).alias("appendix"),
+        F.nullif(F.regexp_extract(low, SECTION, 1), F.lit("")).alias("number"),
     )
     words = lambda c: F.array_except(F.array_distinct(F.split(c, r"[^a-z0-9]+")), F.array(*map(F.lit, [*STOPS, ""])))
     name = F.lower("name")

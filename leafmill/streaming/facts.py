@@ -11,60 +11,18 @@ The session needs the RocksDB provider for state stores (``spark.sql.streaming.s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from leafmill.functions.dictionaries import RELIABILITY
+from leafmill.functions.facts import REASONS, Fact, Known, fold
 from leafmill.session import ship_code
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FACT = "ord long, at long, value string, confidence double, page long, source string"
 _KNOWN = "value string, confidence double, page long, source string, by_confidence long, by_source long, by_page long, by_default long"
-_REASONS = ("by_confidence", "by_source", "by_page", "by_default")
-_UNKNOWN = 0.3
-
-
-class Fact(NamedTuple):
-    ord: int
-    at: int
-    value: str | None
-    confidence: float
-    page: int
-    source: str | None
-
-
-class Known(NamedTuple):
-    value: str | None
-    confidence: float
-    page: int
-    source: str | None
-    by_confidence: int = 0
-    by_source: int = 0
-    by_page: int = 0
-    by_default: int = 0
-
-
-def fold(known: Known | None, fact: Fact) -> tuple[Known, str]:
-    """The fact known after another has come, and why: first, same, or the rule that settled a conflict."""
-    if known is None:
-        return Known(fact.value, fact.confidence, fact.page, fact.source), "first"
-    gap = fact.confidence - known.confidence
-    rank = RELIABILITY.get(fact.source, _UNKNOWN) - RELIABILITY.get(known.source, _UNKNOWN)
-    if fact.value == known.value:
-        why, take = "same", gap > 0
-    elif abs(gap) > 0.3:
-        why, take = "by_confidence", gap > 0
-    elif abs(rank) > 0.15:
-        why, take = "by_source", rank > 0
-    else:
-        why, take = "by_page" if fact.page > known.page + 10 else "by_default", True
-    if take:
-        known = known._replace(value=fact.value, confidence=max(known.confidence, fact.confidence), page=fact.page)
-    return (known if why == "same" else known._replace(**{why: getattr(known, why) + 1})), why
 
 
 class _Folder(StatefulProcessor):
@@ -100,7 +58,7 @@ class _Folder(StatefulProcessor):
             out.append((*key, f.ord, why, f.value, known.value, known.confidence, known.page, *known[4:]))
         if ripe:
             self._known.update(tuple(known))
-        columns = ["key", "field", "ord", "outcome", "told", "value", "confidence", "page", *_REASONS]
+        columns = ["key", "field", "ord", "outcome", "told", "value", "confidence", "page", *REASONS]
         return iter([pd.DataFrame(out, columns=columns)] if out else ())
 
     def close(self) -> None:
@@ -122,7 +80,7 @@ def folded_facts(facts: DataFrame, at: str = "at", late: str = "1 hour") -> Data
     )
     shape = (
         f"key {kinds['key'].dataType.simpleString()}, field {kinds['field'].dataType.simpleString()}, ord long, outcome string, told string, "
-        "value string, confidence double, page long, " + ", ".join(f"{c} long" for c in _REASONS)
+        "value string, confidence double, page long, " + ", ".join(f"{c} long" for c in REASONS)
     )
     return slim.groupBy("key", "field").transformWithStateInPandas(
         statefulProcessor=_Folder(), outputStructType=shape, outputMode="Append", timeMode="EventTime"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import resolve
 from leafmill.plans.graph_queries import _facts
-from leafmill.streaming.facts import PROVIDER, Fact, fold, folded_facts
+from leafmill.functions.facts import Fact, fold
+from leafmill.streaming.facts import PROVIDER, folded_facts
 from leafmill.streaming.store import bucket_of, entity_rows, first_rows, merge_batch, sink, stored
 from leafmill.streaming.upsert import entity_updates, windowed
 
