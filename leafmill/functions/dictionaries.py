@@ -69,3 +69,48 @@ DATES = [
     r"\d{1,2}/\d{1,2}",
 ]
 TIME = r"(\d{1,2}[:.]\d{2})\s*(?:a\.?m\.?|p\.?m\.?|CET|GMT|UTC|hours)?"
+# Words for documents outside the one at hand and what each stands for, in the order in which they count.
+EXTERNAL_DOCUMENTS = [
+    ("kiid", "KIID"), ("kid", "KIID"), ("key investor information", "KIID"), ("key investor document", "KIID"),
+    ("key information document", "KIID"), ("priips", "KIID"),
+    ("annual report", "Annual Report"), ("semi-annual report", "Annual Report"), ("semi annual report", "Annual Report"),
+    ("audited accounts", "Annual Report"),
+    ("factsheet", "Factsheet"), ("fund factsheet", "Factsheet"), ("fact sheet", "Factsheet"), ("monthly report", "Factsheet"),
+    ("supplement", "Supplement"), ("addendum", "Supplement"), ("prospectus", "Prospectus"), ("master prospectus", "Prospectus"),
+    ("base prospectus", "Prospectus"), ("term sheet", "TermSheet"), ("terms and conditions", "TermSheet"),
+    ("sfdr", "SFDR"), ("art. 6", "SFDR"), ("art. 8", "SFDR"), ("art. 9", "SFDR"), ("article 6", "SFDR"), ("article 8", "SFDR"),
+    ("article 9", "SFDR"), ("sustainability disclosure", "SFDR"), ("pre-contractual disclosure", "SFDR"),
+    ("website", "Website"), ("www.", "Website"), ("http", "Website"), ("investor portal", "Website"), ("client portal", "Website"),
+    ("fund centre", "Website"), ("fund center", "Website"),
+    ("upon request", "Upon Request"), ("on request", "Upon Request"), ("not disclosed", "Not Disclosed"),
+    ("not available", "Not Disclosed"), ("contact the administrator", "Upon Request"),
+    ("contact the management company", "Upon Request"),
+]
+# Phrases that refer a reader elsewhere.
+REFERRAL_PHRASES = [
+    "see", "refer to", "refer", "available in", "available at", "available on", "found in", "consult", "published in",
+    "disclosed in", "contained in", "detailed in", "set out in", "specified in", "listed in", "shown in", "please contact",
+    "contact", "upon request", "on request", "not included", "not disclosed", "not available", "not shown", "please see",
+    "please refer", "kindly refer", "readers should refer", "appendix", "annex", "schedule", "exhibit", "full details",
+    "further information", "more information", "additional information", "available from", "provided by", "obtainable from",
+    "can be obtained", "separately disclosed", "published separately", "disclosed separately", "investors should consult",
+    "shareholders should refer",
+]
+# Words by which a sentence speaks of a field.
+FIELD_WORDS = {
+    "isin": ["isin", "isin code", "isin codes", "identifier", "identifiers"],
+    "performance": ["performance", "past performance", "historical performance", "returns", "track record"],
+    "ongoing_charges": ["ongoing charge", "ongoing charges", "ter", "total expense ratio", "ocf", "ongoing cost"],
+    "management_fee": ["management fee", "management fees", "annual management charge", "amc"],
+    "entry_fee": ["entry fee", "entry charge", "subscription fee", "initial charge"],
+    "exit_fee": ["exit fee", "exit charge", "redemption fee", "redemption charge"],
+    "risk_profile": ["risk profile", "risk indicator", "risk level", "srri", "risk rating", "risk category"],
+    "distribution_policy": ["distribution", "dividend", "income distribution"],
+    "benchmark": ["benchmark", "index", "reference index", "comparator", "performance comparator"],
+    "nav": ["nav", "net asset value", "nav per share", "unit price", "share price"],
+    "minimum_investment": ["minimum investment", "minimum subscription", "minimum initial", "investment minimum"],
+    "fund_size": ["fund size", "aum", "assets under management", "total assets", "net assets"],
+    "inception_date": ["inception", "launch date", "commencement date", "fund launch"],
+    "dealing_frequency": ["dealing", "valuation day", "dealing day", "subscription day", "redemption day"],
+    "volatility": ["volatility", "standard deviation", "sharpe ratio", "risk metrics"],
+}

@@ -51,19 +51,32 @@ def search_patterns(pages: DataFrame, terms: list[str], most: int | None) -> Dat
 
 
 def referred_fields(
-    pages: DataFrame, documents: list[tuple[str, str]], phrases: list[str], fields: dict[str, list[str]],
+    pages: DataFrame, documents: list[tuple[str, str]], phrases: list[str], fields: dict[str, list[str]], by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(field, page, pos, document, quote): the first sentence that names a document, a referral and the field."""
-    told = pages.select("page", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
+    """(field, page, pos, document, quote): the first sentence that names a document, a referral and the field.
+
+    With ``by`` each group of these columns has first sentences of its own, and they are returned too.
+    """
+    told = pages.select(*by, "page", F.posexplode(t.sentences(F.col("text"))).alias("pos", "sentence"))
     low = F.lower("sentence")
     told = told.withColumn("document", t.first_of(low, documents)).where(F.col("document").isNotNull())
     told = told.where(t.any_of(low, phrases))
     named = F.array(*(F.when(t.any_of(low, words), F.lit(name)) for name, words in fields.items()))
     told = told.withColumn("field", F.explode(F.array_compact(named)))
-    first = Window.partitionBy("field").orderBy("page", "pos")
+    first = Window.partitionBy(*by, "field").orderBy("page", "pos")
     told = told.withColumn("n", F.row_number().over(first)).where("n = 1")
     cut = F.when(F.length("sentence") > 100, F.concat(F.left("sentence", F.lit(100)), F.lit("..."))).otherwise(F.col("sentence"))
-    return told.select("field", "page", "pos", "document", cut.alias("quote"))
+    return told.select(*by, "field", "page", "pos", "document", cut.alias("quote"))
+
+
+def referral_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc, page, n_pages) where referrals are looked for: the first 15, and of more than 25 the last 10."""
+    return pages.where((F.col("page") <= 15) | (F.col("n_pages") > 25) & (F.col("page") > F.col("n_pages") - 10))
+
+
+def external_fields(pages: DataFrame) -> DataFrame:
+    """(doc, field, page, pos, document, quote): for each document the fields that its pages refer elsewhere for."""
+    return referred_fields(referral_pages(pages), d.EXTERNAL_DOCUMENTS, d.REFERRAL_PHRASES, d.FIELD_WORDS, ("doc",))
 
 
 def codes(pages: DataFrame, pattern: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import dictionaries as d
@@ -303,7 +304,43 @@ SELECT doc_id, '<span class="' || CASE WHEN sure >= 0.8 THEN 'high' WHEN sure >=
 FROM d
 """
 
+_FIELD_WORDS = [w for words in d.FIELD_WORDS.values() for w in words]
+_DOCUMENT_WORDS = [w for w, _ in d.EXTERNAL_DOCUMENTS]
+
+
+def external_field_scan(spark, sf):
+    """Orders as pages of their customer, each with a sentence that speaks of a field, a referral and a document."""
+    o = read_table(spark, sf, "orders")
+    one = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("No word of it here. The "), one(_FIELD_WORDS, k), F.lit(" of the fund: "), one(d.REFERRAL_PHRASES, k + c), F.lit(" our "), one([*_DOCUMENT_WORDS, "own words"], c), F.lit("! "), one(_FIELD_WORDS, c), F.lit(" alone"))
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pages = o.select(c.alias("doc"), F.row_number().over(order).alias("page"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n_pages"), text.alias("text"))
+    return search.external_fields(pages)
+
+
+EXTERNAL_SQL = f"""
+WITH o AS (
+  SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page, count(*) OVER (PARTITION BY o_custkey) AS n,
+    'No word of it here. The ' || {_FIELD_WORDS}[o_orderkey % {len(_FIELD_WORDS)} + 1] || ' of the fund: ' || {d.REFERRAL_PHRASES}[(o_orderkey + o_custkey) % {len(d.REFERRAL_PHRASES)} + 1]
+      || ' our ' || {[*_DOCUMENT_WORDS, "own words"]}[o_custkey % {len(_DOCUMENT_WORDS) + 1} + 1] || '! ' || {_FIELD_WORDS}[o_custkey % {len(_FIELD_WORDS)} + 1] || ' alone' AS text
+  FROM orders
+), l AS (
+  SELECT doc, page, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) > 10) AS l
+  FROM o WHERE page <= 15 OR n > 25 AND page > n - 10
+), s AS (SELECT doc, page, CAST(i - 1 AS INTEGER) AS pos, l[i] AS sentence, lower(l[i]) AS low FROM (SELECT doc, page, l, unnest(generate_series(1, len(l))) AS i FROM l)),
+f AS (
+  SELECT *, {_case(d.EXTERNAL_DOCUMENTS, "low")} AS document,
+    unnest(list_filter([{", ".join(f"CASE WHEN {_like(words, 'low')} THEN '{name}' END" for name, words in d.FIELD_WORDS.items())}], lambda x: x IS NOT NULL)) AS field
+  FROM s WHERE {_like(d.REFERRAL_PHRASES, "low")}
+)
+SELECT doc, field, page, pos, document, CASE WHEN length(sentence) > 100 THEN sentence[1:100] || '...' ELSE sentence END AS quote
+FROM f WHERE document IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, field ORDER BY page, pos) = 1
+"""
+
+
 QUERIES = {
+    "external_field_scan": (external_field_scan, EXTERNAL_SQL),
     "search_term_topk": (search_term_topk, SEARCH_TERM_SQL),
     "search_patterns_dedupe": (search_patterns_dedupe, SEARCH_PATTERNS_SQL),
     "sentence_triple_proximity": (sentence_triple_proximity, SENTENCES_SQL),
