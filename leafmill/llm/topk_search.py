@@ -32,6 +32,8 @@ from leafmill.session import in_job, materialize, read_table, ship_code
 
 #: Candidates of a block and queries of a set: each candidate is sent to every set and each query to every block.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Bytes of vectors, of 8 for each component, that are told to every task for a first floor.
+FLOOR_BYTES = 32_000_000
 #: By how much a list's next depth exceeds the one before, and the share of a block after which a walk scores the rest.
 STRIDE, ENOUGH = 1.2, 0.6
 
@@ -188,38 +190,52 @@ def search(
 def _nearest(slim: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): the best of each block for each query."""
     slim = materialize(slim, "whole")
-    counts = slim.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
+    counts = slim.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("dims")).first()
     n_blocks, n_sets = (max(1, -(-x // size)) for x, size in ((counts["n"], BLOCK_ROWS), (counts["q"], QUERY_ROWS)))
     mine = lambda own: F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
     every = lambda other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
     queries = slim.where("q").withColumn("floor", F.lit(None).cast("long"))
     if n_blocks > 1:
-        queries = slim.where("q").join(_floors(slim, mine(n_blocks) == 0, n_sets, k), "id", "left")
+        queries = slim.where("q").join(_floors(slim, mine(n_blocks) == 0, counts["dims"], n_sets, k), "id", "left")
     schema = "query_id long, id long, score long"
     ask = queries.select(every(n_blocks).alias("block"), mine(n_sets).alias("set"), F.lit(True).alias("query"), "id", "v", "floor")
     told = slim.select(mine(n_blocks).alias("block"), every(n_sets).alias("set"), F.lit(False).alias("query"), "id", "v", F.lit(None).cast("long").alias("floor"))
     return told.unionByName(ask).groupBy("block", "set").applyInPandas(lambda frame: _search_all(frame, k), schema)
 
 
-def _floors(slim: DataFrame, in_first: Column, n_sets: int, k: int) -> DataFrame:
-    """(id, floor) of the queries that find k others in the first block: the k-th score there."""
-    # About BLOCK_ROWS rows, whatever the table's size.
-    first = slim.where(in_first).orderBy("id").limit(2 * BLOCK_ROWS).toArrow()
-    shared = slim.sparkSession.sparkContext.broadcast((first["id"].to_numpy(), first["v"].to_pylist()))
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    """The vectors of an Arrow column as numpy views."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _floors(slim: DataFrame, in_first: Column, dims: int, n_sets: int, k: int) -> DataFrame:
+    """(id, floor) of the queries that find k others in the first block: the k-th score there.
+
+    Of the block as many rows are told to every task as FLOOR_BYTES hold, however wide they are; any rows give a floor.
+    """
+    rows = max(k + 1, min(2 * BLOCK_ROWS, FLOOR_BYTES // (8 * max(dims, 1))))
+    first = slim.where(in_first).orderBy("id").limit(rows).select("id", "v").toArrow().combine_chunks()
+    lists = first["v"].combine_chunks() if len(first) else pa.array([], pa.list_(pa.int64()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    shared = slim.sparkSession.sparkContext.broadcast((first["id"].to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy()))
     held: dict[int, Block] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
+        ids, ends, values = shared.value
+        vectors = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         for batch in batches:
             own = batch.column("id").to_numpy()
-            asked = batch.column("v").to_pylist()
-            dims = max(map(len, [*vectors, *asked]), default=0)
-            table = _matrix([*vectors, *asked], dims)
-            if dims not in held:
-                held[dims] = Block(ids, table[: len(ids)])
-            block, out = held[dims], []
-            for i, vector in zip(own.tolist(), table[len(ids) :], strict=True):
-                best = block.search(i, vector.astype(block.vectors.dtype), k)
+            asked = _rows(batch.column("v"))
+            width = max(map(len, [*vectors, *asked]), default=0)
+            if width not in held:
+                held[width] = Block(ids, _matrix(vectors, width))
+            block, out = held[width], []
+            for i, vector in zip(own.tolist(), _matrix(asked, width), strict=True):
+                # As doubles only where every product sum with the block is exact in them.
+                most = np.abs(vector).max(initial=0) * np.abs(block.vectors).max(initial=0) * max(width, 1)
+                exact = block.vectors.dtype == np.int64 or most < 2**53
+                best = block.search(i, vector.astype(block.vectors.dtype), k) if exact else []
                 out.append(int(best[-1][0]) if len(best) == k else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.int64())], names=["id", "floor"])
 
