@@ -36,6 +36,8 @@ KINDS = (
 SOUGHT = {"hex": r"[0-9a-f]{24,}"}
 RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{32,}"
 MAX_OWNERS, MAX_REPOSITORIES = 2, 100
+#: Values broadcast at most, of some 100 bytes each.
+MOST_SPREAD = 50_000
 #: Matches whose lengths are added up in one array; it keeps the work of a text linear in its matches.
 RUN = 256
 
@@ -139,6 +141,27 @@ def _apart(spans: DataFrame) -> DataFrame:
     return told.where(fixed | free).drop("open", "next")
 
 
+def _row(*columns: Column) -> Column:
+    """128 bits that tell a row's text and places apart from others."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+
+
+def _judged(each: DataFrame, spread: DataFrame) -> DataFrame:
+    """Rows (value, ...) with owners and repositories of their values.
+
+    At most MOST_SPREAD values stand in more than that part of all repositories' entries: these are broadcast.  None of
+    the rest is a hot key of the join.
+    """
+    spread = materialize(spread, "spread")
+    bound = (spread.agg(F.sum("repositories")).first()[0] or 0) // MOST_SPREAD
+    wide = spread.where(F.col("repositories") > bound)
+    often = each.join(F.broadcast(wide), "value")
+    if not bound:
+        return often
+    rest = each.join(F.broadcast(wide.select("value")), "value", "left_anti")
+    return often.unionByName(rest.join(spread.where(F.col("repositories") <= bound), "value"))
+
+
 def scan(
     docs: DataFrame, text: str = "text", id_: str = "doc_id", owner: str = "source", repository: str = "doc_id",
     max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
@@ -151,7 +174,7 @@ def scan(
     base = F.array_sort(F.concat(*(_kind(whole, k) for k in range(len(KINDS)))))
     found = docs.select(
         F.col(id_).alias("id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"),
-        F.xxhash64(F.col(id_), F.col(owner), F.col(repository), whole).alias("row"), base.alias("base"), _random(whole).alias("random"),
+        _row(F.col(id_), F.col(owner), F.col(repository), whole).alias("row"), base.alias("base"), _random(whole).alias("random"),
     )
     found = materialize(found, "candidates")
     names = ("row", "owner", "repository")
@@ -164,7 +187,7 @@ def scan(
         .groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
         .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    told = each.select("row", "value", "span").distinct().join(spread, "value")
+    told = _judged(each.select("row", "value", "span").distinct(), spread)
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     told = told.withColumn("live", live).where(live | (F.col("span.place") < len(KINDS)))
     told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("span.*", "live"))).alias("spans"))
@@ -184,7 +207,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text", id_: str
     found = scan(docs, text, id_, owner, id_).withColumn("live", F.filter("spans", lambda s: s["live"]))
     found = found.where("size(live) > 0").select("row", "live").dropDuplicates(["row"])
     whole = F.coalesce(F.col(text), F.lit(""))
-    packed = docs.select(F.struct(*(F.col(c) for c in columns)).alias("doc"), F.xxhash64(F.col(id_), F.col(owner), F.col(id_), whole).alias("row"))
+    packed = docs.select(F.struct(*(F.col(c) for c in columns)).alias("doc"), _row(F.col(id_), F.col(owner), F.col(id_), whole).alias("row"))
     joined = packed.join(found, "row", "left")
     body = F.col(f"doc.{text}")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

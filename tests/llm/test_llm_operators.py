@@ -7,6 +7,7 @@ whose names clash with those the operators make.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -615,3 +616,30 @@ def test_hashes_of_words():
     sets = list(shingles.shingles(pa.array(["A b", "a  b\n", "b a", None, "a b c", "x" * 3_000_000 + " y"]), 2))
     assert sets[0].tolist() == sets[1].tolist() != sets[2].tolist()
     assert [len(s) for s in sets] == [1, 1, 1, 0, 2, 1]
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_a_value_in_most_rows_is_judged_like_others(spark, monkeypatch, most):
+    monkeypatch.setattr(secret_scan, "MOST_SPREAD", most)
+    rows = [(k, f"token = hot{k % 3 == 0}Value123 and secret: own{k}value", f"s{k % 5}") for k in range(300)] + [(None, None, None), (7, "token = hotTrueValue123", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.scan(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        for s in r["spans"]:
+            assert s["live"] == s["value"].startswith("own")
+    assert sum(len(r["spans"]) for r in found) == 601
+
+
+def test_wide_vectors_bound_what_is_told_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk_search, "FLOOR_BYTES", 8 * 2048 * 20)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (150, 2048))
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(150, [1e9] * 2048), (151, [0.5]), (152, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.search(frame, F.col("vec_id") % 50 == 0, 3).collect()
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=False)), i) for i, w in enumerate(whole) if i != q)[:3]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in scored]
