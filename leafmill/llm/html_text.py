@@ -82,6 +82,7 @@ LAYOUT_WORDS = frozenset(
     "more my new news outer page panel part post posts primary right row secondary section shell side site slot small social sticky "
     "sub tab text the thread title top unit user users view wrap wrapper your zone".split()
 )
+KNOWN_NAMES = STRONG_NAMES | WEAK_NAMES | LAYOUT_WORDS
 #: Names of an aside that belongs to the article.
 QUOTES = frozenset("callout footnote footnotes note notes pullquote quote".split())
 #: Words with which a name speaks of the layout around such a part: ``has-sidebar`` isn't a sidebar.
@@ -162,7 +163,7 @@ def _weight(tag: str, had: dict[str, str], main: bool) -> float:
         strong = words & STRONG_NAMES or any(x.startswith(STRONG_BEGINNINGS) for x in words)
         weak = words & WEAK_NAMES - (FORMS if main else frozenset())
         if strong:
-            named = {x for x in words if not (x in STRONG_NAMES | WEAK_NAMES | LAYOUT_WORDS or x.startswith(STRONG_BEGINNINGS) or x.isdigit())}
+            named = any(not (x.startswith(STRONG_BEGINNINGS) or x.isdigit()) for x in words - KNOWN_NAMES)
             weight = min(weight, WEAK if named else STRONG)
         elif weak:
             weight = min(weight, WEAK)
