@@ -205,3 +205,33 @@ def unsearched(known: DataFrame, asked: DataFrame, most: int = 15) -> DataFrame:
     """(field, pages): the first known pages of each field that no question has searched yet."""
     left = known.join(asked, ["field", "page"], "left_anti")
     return left.groupBy("field").agg(F.slice(F.array_sort(F.collect_set("page")), 1, most).alias("pages"))
+
+
+def umbrella_pages(planned: Column, noted: Column, n_pages: Column, most: int = 30, intro: int = 5, end: int = 15) -> Column:
+    """The pages of a document that speak of the whole: planned ones if they are credible, else noted ones, else front and back.
+
+    A plan is credible with 1 to ``most`` pages, fewer than nine tenths of the document, whose first and last as listed span no
+    more than eight tenths of it.  More than ``most`` noted pages are cut to the first ``intro`` and the last others.
+    Null lists count as empty.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+    plan, notes = F.coalesce(planned.cast("array<bigint>"), none), F.array_sort(F.array_distinct(F.coalesce(noted.cast("array<bigint>"), none)))
+    n = F.size(plan)
+    span = F.element_at(plan, -1) - F.element_at(plan, 1) + 1
+    credible = (n > 0) & (n <= most) & (n < n_pages * 0.9)
+    cut = F.concat(F.slice(notes, 1, intro), F.slice(notes, -(most - intro), most - intro))
+    front = F.when(n_pages > 0, F.sequence(F.lit(1).cast("long"), F.least(F.lit(intro), n_pages).cast("long"))).otherwise(none)
+    start = F.greatest(n_pages - end + 1, F.lit(intro + 1))
+    back = F.when(start <= n_pages, F.sequence(start.cast("long"), n_pages.cast("long"))).otherwise(none)
+    found = F.when(F.size(notes) > most, cut).when(F.size(notes) > 0, notes).otherwise(F.array_sort(F.concat(front, back)))
+    return F.when(credible, F.when(span <= n_pages * 0.8, F.array_sort(plan)).otherwise(found)).otherwise(found)
+
+
+def normal_plan(tasks: DataFrame, names: DataFrame) -> DataFrame:
+    """Tasks (doc, ord, fund, ...) under canonical fund names (doc, name, canonical), of equal ones the first; names that
+    have none stay."""
+    told = tasks.join(names.groupBy("doc", F.col("name").alias("fund")).agg(F.min("canonical").alias("canonical")), ["doc", "fund"], "left")
+    told = told.withColumn("fund", F.coalesce("canonical", "fund")).drop("canonical")
+    rest = F.struct(*(c for c in tasks.columns if c not in ("doc", "fund")))
+    first = told.groupBy("doc", "fund").agg(F.min_by(rest, "ord").alias("x"))
+    return first.select("doc", "fund", "x.*").select(*tasks.columns)

@@ -272,7 +272,52 @@ FROM c LEFT JOIN r ON r.k = c.k AND r.class = ord % 3
 """
 
 
+def umbrella_page_guard(spark, sf):
+    """Orders' days as planned pages of a customer and quarters of them as noted ones, in documents of 20 to 300 pages."""
+    o = read_table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    held = o.groupBy(F.col("o_custkey").alias("doc")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("o_custkey") % 3 > 0, k % 40 + 1))).alias("planned"), F.collect_list(F.when(F.col("o_custkey") % 4 > 0, k % 90 + 1)).alias("noted")
+    )
+    pages = planning.umbrella_pages(F.col("planned"), F.col("noted"), F.col("doc") % 281 + 20, 8, 3, 5)
+    return held.select("doc", F.array_join(pages, ",").alias("pages"))
+
+
+UMBRELLA_SQL = """
+WITH o AS (
+  SELECT o_custkey AS doc, coalesce(list_sort(list(o_orderkey % 40 + 1) FILTER (o_custkey % 3 > 0)), []) AS plan,
+    coalesce(list_sort(list(DISTINCT o_orderkey % 90 + 1) FILTER (o_custkey % 4 > 0)), []) AS notes, o_custkey % 281 + 20 AS n
+  FROM orders GROUP BY 1
+)
+SELECT doc, array_to_string(CASE
+  WHEN len(plan) BETWEEN 1 AND 8 AND len(plan) < n * 0.9 AND plan[-1] - plan[1] + 1 <= n * 0.8 THEN plan
+  WHEN len(notes) > 8 THEN list_concat(notes[1:3], notes[-5:]) WHEN len(notes) > 0 THEN notes
+  ELSE list_concat(range(1, least(3, n) + 1), range(greatest(n - 5 + 1, 4), n + 1)) END, ',') AS pages
+FROM o
+"""
+
+
+def plan_names(spark, sf):
+    """Suppliers as tasks of a plan for each nation, under the name of the first supplier of their balance's hundred."""
+    s = read_table(spark, sf, "supplier")
+    group = F.floor(F.col("s_acctbal") / 1000)
+    first = s.groupBy(F.col("s_nationkey").alias("doc"), group.alias("g")).agg(F.min("s_name").alias("canonical"))
+    names = s.where(F.col("s_suppkey") % 5 > 0).select(F.col("s_nationkey").alias("doc"), group.alias("g"), F.col("s_name").alias("name")).join(first, ["doc", "g"])
+    tasks = s.select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("fund"), F.col("s_acctbal").alias("pages"))
+    return planning.normal_plan(tasks, names.select("doc", "name", "canonical"))
+
+
+PLAN_NAMES_SQL = """
+WITH f AS (SELECT s_nationkey AS doc, floor(s_acctbal / 1000) AS g, min(s_name) AS canonical FROM supplier GROUP BY 1, 2)
+SELECT s_nationkey AS doc, s_suppkey AS ord, CASE WHEN s_suppkey % 5 > 0 THEN canonical ELSE s_name END AS fund, s_acctbal AS pages
+FROM supplier JOIN f ON doc = s_nationkey AND g = floor(s_acctbal / 1000)
+QUALIFY row_number() OVER (PARTITION BY s_nationkey, CASE WHEN s_suppkey % 5 > 0 THEN canonical ELSE s_name END ORDER BY s_suppkey) = 1
+"""
+
+
 QUERIES = {
+    "umbrella_page_guard": (umbrella_page_guard, UMBRELLA_SQL),
+    "plan_names": (plan_names, PLAN_NAMES_SQL),
     "class_codes_from_tables": (class_codes_from_tables, None),
     "broadcast_rows_alike": (broadcast_rows_alike, ALIKE_ROWS_SQL),
     "mention_ranges": (mention_ranges, RANGES_SQL),

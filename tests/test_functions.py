@@ -13,7 +13,7 @@ from leafmill.operators import constraints
 from leafmill.functions import text as t
 from leafmill.functions.similarity import common_subsequence, indel_ratio, matcher_ratio, token_sort_ratio
 from leafmill.functions.values import extracted, is_actionable, is_not_found, raw_value
-from leafmill.operators import assembly, graph, passes, resolve, structure
+from leafmill.operators import assembly, graph, passes, planning, resolve, structure
 
 
 def column(spark, values, make, kind="string"):
@@ -172,6 +172,19 @@ def test_nested_sections(spark):
     assert structure.nested_sections(chain).agg(F.max("depth")).first()[0] == 3000
 
 
+@pytest.mark.parametrize(
+    ("planned", "noted", "n", "want"),
+    [
+        ([3, 1, 9], [50], 100, [1, 3, 9]), (list(range(1, 32)), [4, 2, 4], 200, [2, 4]), (list(range(1, 10)), None, 10, list(range(1, 11))),
+        ([1, 90], [], 100, [*range(1, 6), *range(86, 101)]), (None, list(range(40, 0, -1)), 99, [*range(1, 6), *range(16, 41)]), ([], [], 7, list(range(1, 8))),
+        (list(range(1, 31)), [5], 261, list(range(1, 31))), (None, None, 0, []), ([1, 80], [5], 100, [1, 80]), ([1, 81], [5], 100, [5]),
+    ],
+)
+def test_umbrella_pages(spark, planned, noted, n, want):
+    row = spark.createDataFrame([(planned, noted, n)], "p array<int>, q array<int>, n int")
+    assert row.select(planning.umbrella_pages(F.col("p"), F.col("q"), F.col("n"))).first()[0] == want
+
+
 def test_fragment_is_escaped(spark):
     got = column(spark, ["<a&'\">"], lambda c: assembly.fragment(c, F.lit(0.5), c))[0]
     assert got == '<span class="medium" title="&lt;a&amp;&#x27;&quot;&gt;">&lt;a&amp;&#x27;&quot;&gt;</span>'
