@@ -189,7 +189,7 @@ def orphan_anti_join(spark, sf):
     return lost.unionByName(empty)
 
 
-def _edges(spark, sf):
+def _supplied(spark, sf):
     l = read_table(spark, sf, "lineitem")
     ends = l.select(F.col("l_partkey").alias("subject"), F.concat(F.lit("supplied_"), "l_returnflag").alias("type"), F.col("l_suppkey").alias("object"))
     return ends.groupBy("subject", "type", "object").agg(F.count(F.lit(1)).alias("n"))
@@ -199,7 +199,7 @@ def relation_patterns(spark, sf):
     """The relations of parts and suppliers that each of the eight patterns over the first relation's ends finds."""
 
     def work():
-        store = triples.write(_edges(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        store = triples.write(_supplied(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions")))
         first = store.query().agg(F.min(F.struct("subject", "type", "object")).alias("x")).first()["x"]
         out = None
         for k in range(8):
