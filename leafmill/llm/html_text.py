@@ -5,7 +5,7 @@ block tags with their classes and ids.  For every path of the page the text leng
 are added up; the ratios text per block and punctuation per block are smoothed along the order in which paths first
 occur, bent to shares of 1 (a paragraph of 2,000 characters is hardly more prose than one of 1,000) and fused by
 multiplication, text twice.  Paths whose fused ratio reaches BAR of the page's best are content; those of parts that say
-they are something else must be prose by their own ratio too (PROSE), so that a tiny article isn't beaten by a footer.
+they are something else must be prose by their own ratio too (PROSE, STRONG_PROSE), so that no footer beats a tiny article.
 
 What an element says of itself is a prior, bounded on both sides, that the fused ratio is multiplied by: a marked article
 or main part MARKED, a menu, header, form or pager WEAK, as its text tells it from an article anyway, and a part that may
@@ -108,8 +108,9 @@ _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 NEIGHBOUR, BAR = 0.1, 0.22
 #: Text and punctuation a block at which their ratios are half of what they can be.
 HALF_TEXT, HALF_MARKS = 240.0, 3.0
-#: What a part that says it isn't the article must reach without its prior: some 200 characters and a few marks a block.
-PROSE = 0.1
+#: What a part that says it isn't the article must reach without its prior: some 110 characters and a few marks a block,
+#: or 250 where its name is a strong one.
+PROSE, STRONG_PROSE = 0.06, 0.2
 #: What the ratios of paths are multiplied by, and the least product of several of these.
 MARKED, WEAK, STRONG, LEAST = 2.0, 0.5, 0.125, 0.0625
 #: The share of the content's text that the article's element holds, and elements that are a part of a text only.
@@ -355,7 +356,7 @@ def content(page: str) -> str:
         return ""
     fused = ratios(read.blocks)
     bar = BAR * max(fused.values())
-    chosen = [fused[x.path] >= bar and fused[x.path] >= PROSE * min(x.weight, 1.0) * (x.weight < 1) for x in read.blocks]
+    chosen = [fused[x.path] >= (bar if x.part == 0 else max(bar, x.weight * (PROSE if x.weight >= WEAK else STRONG_PROSE))) for x in read.blocks]
     inside = _inside_article(read, chosen)
     total, good = Counter(), Counter()
     for x, c in zip(read.blocks, chosen, strict=True):
