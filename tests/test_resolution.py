@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -188,6 +189,36 @@ def test_few_candidates_and_none_missed(spark, sf):
     assert ends == {(a, b) for a in forms for b in forms if a.endswith(b) or b.endswith(a)}
 
 
+@pytest.mark.parametrize(("tile", "groups"), [(1024, 1), (16, 1), (16, 3)])
+def test_tiles_miss_no_pair(spark, monkeypatch, tile, groups):
+    """Names a few edits apart, in one tile and in many: all that either ratio finds, and hardly more."""
+    monkeypatch.setattr(name_join, "_TILE", tile)
+    rng = random.Random(7)
+    names = {"", "a", "aa", "🙂 fund", "\U0001d400 fund", "x" * 250, "x" * 251, "ab" * 130}
+    while len(names) < 400:
+        name = "".join(rng.choices("aeinorst ", k=rng.randint(1, 30)))
+        for _ in range(4):
+            names.add(name)
+            at = rng.randint(0, len(name))
+            name = name[:at] + rng.choice(["", "e", "zü"]) + name[at + rng.randint(0, 2) :]
+    names = sorted(names)
+    told = spark.createDataFrame([(k % groups, n) for k, n in enumerate(names)] + [(0, None)], "doc int, name string")
+    for least in (0.6, 0.85):
+        found = [(r["a"], r["b"]) for r in name_join.alike_candidates(told, told, least).collect()]
+        pairs = [(a, b) for j, a in enumerate(names) for k, b in enumerate(names) if j % groups == k % groups]
+        like = {(a, b) for a, b in pairs if indel_ratio(a, b) >= 100 * least or SequenceMatcher(None, a, b).ratio() >= least}
+        assert like <= set(found) and len(found) == len(set(found))
+        if least == 0.85:
+            assert len(found) < 1.2 * len(like)
+
+
+def test_names_meet_in_tiles(spark, sf):
+    """Names are compared tile by tile, not in a join on letters that every other name holds too."""
+    names = spark.createDataFrame([(0, normal(t)) for t in set(titles_of(spark, sf).values())], "doc int, name string")
+    plan = name_join.alike_candidates(names, names, 0.85)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_intersect" not in plan
+
+
 def test_fuzzy_rows(spark, sf, parts):
     sort = lambda x: " ".join(sorted(x.split()))
     want = set()
