@@ -16,7 +16,10 @@ DOCUMENTS = [("license", "License"), ("public", "Public"), ("the", "Body"), ("de
 PHRASES = ["under", "with", "that", "los", "des"]
 FIELDS = {"terms": ["licensed"], "time": ["was", "when"], "origin": ["from"], "place": ["in the", "en el"]}
 TERMS = ["the", "license", "ing of", "que"]
-ISIN = r"\b([A-Z]{2}[A-Z0-9]{10})\b"
+# A word of its own: letters and digits of any script beside it make it a part of another one.  Java's and RE2's boundaries differ
+# in what they take for a word, so the bounds are written out; RE2 looks neither back nor ahead and takes whole words.
+ISIN = r"(?:^|[^\p{L}\p{N}_])([A-Z]{2}[A-Z0-9]{10})(?![\p{L}\p{N}_])"
+ISIN_WORDS = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2}[A-Z0-9]{10}'))"
 
 
 def _pages(spark, sf):
@@ -80,7 +83,7 @@ def regex_isin_extract(spark, sf):
 
 
 ISIN_SQL = f"""
-WITH m AS (SELECT doc_id AS page, regexp_extract_all(text, '{ISIN}', 1) AS l FROM documents)
+WITH m AS (SELECT doc_id AS page, {ISIN_WORDS} AS l FROM documents)
 SELECT page, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS code FROM m
 """
 

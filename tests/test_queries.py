@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -54,6 +55,23 @@ def test_entry_counts_every_page_with_a_term(spark, sf):
     assert sum(r["n_total"] for r in e.entry(spark).collect()) == sum(any(x in t for x in terms) for t in texts)
 
 
+@pytest.mark.parametrize("name", ["regex_isin_extract", "provenance_whole", "provenance_slice"])
+def test_codes_are_words_of_any_script(spark, tmp_path, name):
+    texts = [
+        "the ÉENAITREOIAUX", "the ABCDEFGHIJ12é", "the \U0001d400ABCDEFGHIJ12", "the \u0660ABCDEFGHIJ12", "the _ABCDEFGHIJ12", "the E\u0301ABCDEFGHIJ12",
+        "the ABCDEFGHIJ12 ABCDEFGHIJ13,ABCDEFGHIJ14—ABCDEFGHIJ15🙂ABCDEFGHIJ16", "ABCDEFGHIJ12", "the\nABCDEFGHIJ12\n", "que ABCDEFGHIJKLM", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    frame = QUERIES[name](spark, str(tmp_path))
+    got = sorted(map(tuple, frame.collect()))
+    assert got == sorted(con.sql(f"SELECT {', '.join(frame.columns)} FROM ({SQL[name]})").fetchall())
+    if name == "regex_isin_extract":
+        want = [(k, m) for k, t in enumerate(texts) for m in re.findall(r"\b([A-Z]{2}[A-Z0-9]{10})\b", t or "")]
+        assert [(page, code) for page, _, code in got] == want
+
+
 def test_every_code_teaches(spark, tmp_path):
     text = "ABC123456789 then DEF123456789 and ABC000000000"
     spark.createDataFrame([(1, text), (2, "DEF999999999"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
