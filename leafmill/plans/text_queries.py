@@ -267,12 +267,12 @@ def _provenance(spark, sf, most):
     return provenance(told, "term")
 
 
-SLICE_SQL = """
+SLICE_SQL = f"""
 WITH p(term_ord, term) AS (VALUES (0, 'the'), (1, 'license'), (2, 'ing of'), (3, 'que')),
 h AS (SELECT doc_id AS page, term_ord, term FROM documents JOIN p ON contains(lower(text), term)),
 a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY term_ord ORDER BY page) <= 100),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY page ORDER BY term_ord) = 1),
-v AS (SELECT term, nullif(regexp_extract(text, '\\b([A-Z]{2}[A-Z0-9]{10})\\b', 1), '') AS code FROM b JOIN documents ON doc_id = page)
+v AS (SELECT term, {ISIN_WORDS}[1] AS code FROM b JOIN documents ON doc_id = page)
 SELECT term, count(*) AS n_total, count(code) AS n_high, CAST(0 AS BIGINT) AS n_low, count_if(code IS NULL) AS n_not_found,
   CAST(0 AS BIGINT) AS n_not_in_document, count_if(code IS NULL AND term = 'que') AS n_not_applicable,
   CAST(0 AS BIGINT) AS n_in_external_doc, CAST(0 AS BIGINT) AS n_inherited,
@@ -280,10 +280,10 @@ SELECT term, count(*) AS n_total, count(code) AS n_high, CAST(0 AS BIGINT) AS n_
 FROM v GROUP BY term
 """
 
-WHOLE_SQL = """
+WHOLE_SQL = f"""
 WITH p(term_ord, term) AS (VALUES (0, 'the'), (1, 'license'), (2, 'ing of'), (3, 'que')),
 b AS (SELECT doc_id AS page, text, arg_min(term, term_ord) AS term FROM documents JOIN p ON contains(lower(text), term) GROUP BY 1, 2),
-v AS (SELECT term, nullif(regexp_extract(text, '\\b([A-Z]{2}[A-Z0-9]{10})\\b', 1), '') AS code FROM b)
+v AS (SELECT term, {ISIN_WORDS}[1] AS code FROM b)
 SELECT term, count(*) AS n_total, count(code) AS n_high, CAST(0 AS BIGINT) AS n_low, count_if(code IS NULL) AS n_not_found,
   CAST(0 AS BIGINT) AS n_not_in_document, count_if(code IS NULL AND term = 'que') AS n_not_applicable,
   CAST(0 AS BIGINT) AS n_in_external_doc, CAST(0 AS BIGINT) AS n_inherited,
