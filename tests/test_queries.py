@@ -84,3 +84,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reconciled_orders_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """More rows make more parts, so a task's memory doesn't grow with the tables."""
+    from leafmill import session
+    from leafmill.plans import graph_queries
+
+    held = []
+
+    def recorded(df, name):
+        held.append(df.rdd.getNumPartitions())
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(graph_queries, "materialize", recorded, raising=False)
+    for size in (session.ROWS_A_PART, 250):
+        monkeypatch.setattr(session, "ROWS_A_PART", size)
+        graph_queries.reconciliation_issues(spark, sf)
+    rows = sum(session.read_table(spark, sf, t).count() for t in ("orders", "lineitem", "customer"))
+    assert held == [spark.sparkContext.defaultParallelism, -(-rows // 250)]
