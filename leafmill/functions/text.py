@@ -13,6 +13,8 @@ from leafmill.functions import dictionaries as d
 PERCENT_SIGN, PERCENT_WORD = r"(\d+(?:\.\d+)?)\s*%", r"(\d+(?:\.\d+)?)\s*percent"
 CURRENCY_FIRST, AMOUNT_FIRST = r"(EUR|USD|GBP|CHF|\$|€|£)\s*([\d,]+(?:\.\d+)?)", r"([\d,]+(?:\.\d+)?)\s*(EUR|USD|GBP|CHF)"
 DAYS = r"(\d+)\s*(?:day|days)"
+#: What every text has that can be read as a whole number: one run of digits, no letters.
+DIGITS = r"^[^0-9A-Za-z]*[0-9]+[^0-9A-Za-z]*$"
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -62,6 +64,11 @@ def clean_cell(cell: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
 
 
+def whole_number(text: Column) -> Column:
+    """The text as a long, null where it is none.  A cast that fails costs an exception, so texts of another shape aren't cast."""
+    return F.when(F.rlike(text, F.lit(DIGITS)), text.try_cast("long"))
+
+
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import dictionaries as d
+from leafmill.functions.text import whole_number
 from leafmill.functions.values import in_external_document
 from leafmill.operators import constraints, knowledge, planning, references, resolve, search
 from leafmill.session import read_table
@@ -151,16 +152,16 @@ def table_align(spark, sf):
     """A customer's orders as tables of one document: every third has a misspelt, a foreign and a missing column."""
     l, o = read_table(spark, sf, "lineitem"), read_table(spark, sf, "orders")
     s = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    q, f = F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag")
-    even = F.col("l_orderkey") % 3 != 0
-    rows = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.when(even, s(q, f, "a")).otherwise(s(f, q, "b")).alias("r")))).alias("a"))
-    header = F.when(F.col("l_orderkey") % 3 != 0, s("Quantity", "Flag", "Note")).otherwise(s("Flag", "Quanttity", "Remark"))
-    raw = rows.select(F.col("l_orderkey").alias("page"), F.concat(F.array(header), F.transform("a", lambda x: x["r"])).alias("raw"))
+    # Rows of strings are made once line items are put together: narrow ones are sorted and shuffled.
+    rows = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))).alias("a"))
+    q, f = lambda x: x["l_quantity"].cast("int").cast("string"), lambda x: x["l_returnflag"]
+    plain = F.concat(F.array(s("Quantity", "Flag", "Note")), F.transform("a", lambda x: s(q(x), f(x), "a")))
+    other = F.concat(F.array(s("Flag", "Quanttity", "Remark")), F.transform("a", lambda x: s(f(x), q(x), "b")))
+    raw = rows.select(F.col("l_orderkey").alias("page"), F.when(F.col("l_orderkey") % 3 != 0, plain).otherwise(other).alias("raw"))
     raw = raw.join(o.select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("doc")), "page").withColumn("ord", F.lit(0))
-    found = tables.scan(raw)
-    out = tables.stitched(found, found)
+    out = tables.stitched(tables.scan(raw))
     each = out.select("doc", F.posexplode("rows").alias("row", "r")).select("doc", "row", F.explode("r").alias("x"))
-    return each.groupBy("doc", F.col("x.name").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.cell").try_cast("long")).alias("total"))
+    return each.groupBy("doc", F.col("x.name").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.sum(whole_number(F.col("x.cell"))).alias("total"))
 
 
 ALIGN_SQL = """

@@ -7,6 +7,8 @@ files, feeds these operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,32 +18,37 @@ from leafmill.functions.text import clean_cell
 from leafmill.session import materialize, ship_code
 
 
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)``, where the value is found once, however often and in whatever functions ``make`` reads it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def scan(raw_tables: DataFrame) -> DataFrame:
     """(doc, page, ord, n_columns, n_rows, columns, rows) of all tables that hold rows.
 
     Empty header cells go before cells are paired by place; rows shorter than the header or blank go.  The header is
-    cleaned once, in a projection of its own, and each row then reads it as a column.
+    cleaned once, and each row then reads it.
     """
     clean = lambda r: F.transform(r, clean_cell)
-    keys = ("doc", "page", "ord")
-    head = raw_tables.where(F.size("raw") >= 2).select(
-        *keys, "raw", F.filter(clean(F.get("raw", F.lit(0))), lambda x: x != "").alias("columns")
-    )
-    # A generator keeps the optimizer from putting the header's expression into every use of it.
-    head = head.select(*keys, "raw", F.explode(F.array("columns")).alias("columns")).where(F.size("columns") > 0)
-    cut = F.transform(F.slice("raw", 2, F.size("raw")), lambda r: clean(F.slice(r, 1, F.size("columns"))))
-    held = head.select(*keys, "columns", F.explode(F.array(cut)).alias("cut"))
-    whole = F.filter("cut", lambda r: (F.size(r) == F.size("columns")) & F.exists(r, lambda x: x != ""))
-    held = held.select(*keys, "columns", F.explode(F.array(whole)).alias("whole")).where(F.size("whole") > 0)
-    pairs = F.transform("whole", lambda r: F.arrays_zip(F.col("columns").alias("name"), r.alias("cell")))
-    return held.select(
-        *keys, F.size("columns").cast("long").alias("n_columns"), F.size("whole").cast("long").alias("n_rows"), "columns", pairs.alias("rows")
+
+    def held(columns: Column) -> Column:
+        cut = F.transform(F.slice("raw", 2, F.size("raw")), lambda r: clean(F.slice(r, 1, F.size(columns))))
+        whole = F.filter(cut, lambda r: (F.size(r) == F.size(columns)) & F.exists(r, lambda x: x != ""))
+        pairs = F.transform(whole, lambda r: F.arrays_zip(columns.alias("name"), r.alias("cell")))
+        return F.when(F.size(columns) > 0, F.struct(columns.alias("columns"), pairs.alias("rows")))
+
+    head = F.filter(clean(F.get("raw", F.lit(0))), lambda x: x != "")
+    # A generator keeps the optimizer from putting the whole expression into every use of its parts.
+    found = raw_tables.where(F.size("raw") >= 2).select("doc", "page", "ord", F.explode(F.array(_once(head, held))).alias("t"))
+    found = found.where(F.size("t.rows") > 0).select("doc", "page", "ord", "t.columns", "t.rows")
+    return found.select(
+        "doc", "page", "ord", F.size("columns").cast("long").alias("n_columns"), F.size("rows").cast("long").alias("n_rows"), "columns", "rows"
     )
 
 
 def last_cells(row: Column) -> Column:
     """The (name, cell) pairs of a row; of equal names the last one."""
-    later = lambda i: F.slice(F.transform(row, lambda p: p["name"]), i + 2, F.size(row))
+    later = lambda i: F.slice(row["name"], i + 2, F.size(row))
     return F.filter(row, lambda x, i: ~F.array_contains(later(i), x["name"]))
 
 
@@ -57,7 +64,8 @@ def column_map(tables: DataFrame, least: float = 80.0) -> DataFrame:
     """(doc, mapped): the columns of each document's first table, by the column names of its other tables.
 
     An equal name maps to itself, another to the first column most like it, from ``least`` of 100 on.  Only tables with
-    other columns than the first take part, with each of their names once.
+    other columns than the first take part, with each of their names once; two names are compared once, in however many
+    documents they meet.
     """
     ship_code(tables.sparkSession)
     first = tables.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
@@ -66,33 +74,49 @@ def column_map(tables: DataFrame, least: float = 80.0) -> DataFrame:
     equal = F.array_contains("canonical", F.col("column"))
     pairs = names.select("doc", "column", equal.alias("equal"), F.posexplode("canonical").alias("place", "name"))
     pairs = pairs.where(~F.col("equal") | (F.col("column") == F.col("name")))
-    alike = F.when(F.col("equal"), 100.0).otherwise(ratio(F.col("column"), F.col("name")))
-    best = pairs.withColumn("alike", alike).where(F.col("alike") >= least).groupBy("doc", "column").agg(
-        F.max_by("name", F.struct("alike", -F.col("place"))).alias("name")
-    )
+    asked = pairs.where(~F.col("equal")).select("column", "name").distinct()
+    near = asked.withColumn("near", ratio(F.col("column"), F.col("name")))  # a filter here would move before distinct
+    alike = F.when(F.col("equal"), 100.0).otherwise(F.col("near"))
+    best = pairs.join(near, ["column", "name"], "left").withColumn("alike", alike).where(F.col("alike") >= least)
+    best = best.groupBy("doc", "column").agg(F.max_by("name", F.struct("alike", -F.col("place"))).alias("name"))
     return best.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("column", "name"))).alias("mapped"))
 
 
-def stitched(tables: DataFrame, pages: DataFrame, least: float = 80.0) -> DataFrame:
-    """Tables of the listed pages (doc, page) as one a document: (doc, columns, rows, n_rows).
+def stitched(tables: DataFrame, pages: DataFrame | None = None, least: float = 80.0) -> DataFrame:
+    """Tables of the listed pages (doc, page), or of all pages, as one a document: (doc, columns, rows, n_rows).
 
     Columns are those of the first table.  Rows of tables with the same columns stay; of others, cells go under the
     column that theirs maps to (:func:`column_map`), the last of those that meet, and cells and rows without one go.
+    Rows hold a cell a column, in the order of columns, as :func:`scan` makes them; so the places of the cells that stay
+    are found once a table.
     """
-    some = tables.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-    some = materialize(some.select("doc", "page", "ord", "columns", "rows"), "tables")  # read four times, parsed once
+    some = tables if pages is None else tables.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
+    bare = some.select("doc", "page", "ord", "columns", F.transform("rows", lambda r: r["cell"]).alias("cells"))
+    some = materialize(bare, "tables")  # read four times, parsed once
     first = some.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
     told = some.join(first, "doc").join(column_map(some, least), "doc", "left")
-    mapped = lambda x: F.struct(F.try_element_at("mapped", x["name"]).alias("name"), x["cell"].alias("cell"))
-    named = lambda r: F.filter(F.transform(r, mapped), lambda x: x["name"].isNotNull())
-    other = F.filter(F.transform("rows", lambda r: last_cells(named(r))), lambda r: F.size(r) > 0)
-    none = F.filter("rows", lambda r: F.lit(False))
-    rows = F.when(F.col("columns") == F.col("canonical"), F.col("rows")).otherwise(F.when(F.col("mapped").isNull(), none).otherwise(other))
-    held = told.withColumn("rows", rows).groupBy("doc").agg(
-        F.first("canonical").alias("columns"), F.array_sort(F.collect_list(F.struct("page", "ord", "rows"))).alias("t"),
-        F.sum(F.size("rows")).alias("n_rows"),
+    same = F.col("columns") == F.col("canonical")
+
+    def last(names: Column) -> Column:
+        """Names with their places, the last place of equal ones."""
+        places = F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("place")))
+        again = lambda x: F.array_contains(F.filter(F.slice(names, x["place"] + 2, F.size(names)), F.isnotnull), x["name"])
+        return F.filter(places, lambda x: x["name"].isNotNull() & ~again(x))
+
+    def moved(kept: Column) -> Column:
+        cells = F.transform("cells", lambda r: F.transform(kept["place"], lambda i: F.get(r, i)))
+        return F.when(F.size(kept) > 0, F.struct(kept["name"].alias("names"), cells.alias("cells")))
+
+    names = F.transform("columns", lambda c: F.try_element_at("mapped", c))
+    other = F.when(F.col("mapped").isNotNull(), _once(_once(names, last), moved))
+    held = told.withColumn("t", F.when(same, F.struct(F.col("columns").alias("names"), "cells")).otherwise(other))
+    held = held.groupBy("doc").agg(
+        F.first("canonical").alias("columns"), F.sort_array(F.collect_list(F.struct("page", "ord", "t.names", "t.cells"))).alias("t")
     )
-    return held.select("doc", "columns", F.flatten(F.transform("t", lambda x: x["rows"])).alias("rows"), "n_rows")
+    pairs = lambda x: F.transform(x["cells"], lambda r: F.arrays_zip(x["names"].alias("name"), r.alias("cell")))
+    held = held.select("doc", "columns", F.filter("t", lambda x: x["cells"].isNotNull()).alias("t"))
+    n_rows = F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.size(x["cells"]))
+    return held.select("doc", "columns", F.flatten(F.transform("t", pairs)).alias("rows"), n_rows.alias("n_rows"))
 
 
 def found_columns(tables: DataFrame, least: float = 80.0) -> DataFrame:

@@ -197,3 +197,9 @@ def test_section_chunks_cover_every_page_once():
         (121, 129, "gap"), (130, 140, "complete"), (141, 150, "gap"),
     ]
     assert list(passes.section_chunks([], 65)) == [(1, 30, "naive"), (31, 60, "naive"), (61, 65, "naive")]
+
+
+def test_whole_numbers_are_those_that_a_cast_reads(spark):
+    odd = ["5", " 7 ", "+3", "-12", "\t8\n", "", " ", "+", "-", "--1", "1 2", "1-", "12.5", "1.", ".5", "1e3", "N", "a1", "0x1", "1_0", "٣", "９", "é1", "1,000"]
+    odd += ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "007", "5 ", " 5", "5\x00", "\x7f5", "$5", "5L", "Infinity", None]
+    assert column(spark, odd, t.whole_number) == column(spark, odd, lambda c: c.try_cast("long"))
