@@ -24,25 +24,30 @@ def _once(value: Column, make: Callable[[Column], Column]) -> Column:
 
 
 def scan(raw_tables: DataFrame) -> DataFrame:
-    """(doc, page, ord, n_columns, n_rows, columns, rows) of all tables that hold rows.
+    """(doc, page, ord, n_columns, n_rows, columns, rows, cells) of all tables that hold rows.
 
     Empty header cells go before cells are paired by place; rows shorter than the header or blank go.  The header is
-    cleaned once, and each row then reads it.
+    cleaned once, and each row then reads it.  ``cells`` are rows without the names of their columns.
     """
     clean = lambda r: F.transform(r, clean_cell)
 
-    def held(columns: Column) -> Column:
-        cut = F.transform(F.slice("raw", 2, F.size("raw")), lambda r: clean(F.slice(r, 1, F.size(columns))))
-        whole = F.filter(cut, lambda r: (F.size(r) == F.size(columns)) & F.exists(r, lambda x: x != ""))
-        pairs = F.transform(whole, lambda r: F.arrays_zip(columns.alias("name"), r.alias("cell")))
-        return F.when(F.size(columns) > 0, F.struct(columns.alias("columns"), pairs.alias("rows")))
+    def held(raw: Column) -> Column:
+        return _once(F.filter(F.get(raw, F.lit(0)), lambda x: x != ""), lambda columns: whole(raw, columns))
 
-    head = F.filter(clean(F.get("raw", F.lit(0))), lambda x: x != "")
+    def whole(raw: Column, columns: Column) -> Column:
+        cut = F.transform(F.slice(raw, 2, F.size(raw)), lambda r: F.slice(r, 1, F.size(columns)))
+        full = F.filter(cut, lambda r: (F.size(r) == F.size(columns)) & F.exists(r, lambda x: x != ""))
+        return F.when(F.size(columns) > 0, F.struct(columns.alias("columns"), full.alias("cells")))
+
+    # A table without white space and nulls is clean as it is: one search tells, instead of one a cell.
+    neat = ~F.rlike(F.array_join(F.flatten("raw"), "", " "), F.lit(r"\s"))
+    raw = F.when(neat, F.col("raw")).otherwise(F.transform("raw", clean))
     # A generator keeps the optimizer from putting the whole expression into every use of its parts.
-    found = raw_tables.where(F.size("raw") >= 2).select("doc", "page", "ord", F.explode(F.array(_once(head, held))).alias("t"))
-    found = found.where(F.size("t.rows") > 0).select("doc", "page", "ord", "t.columns", "t.rows")
+    found = raw_tables.where(F.size("raw") >= 2).select("doc", "page", "ord", F.explode(F.array(_once(raw, held))).alias("t"))
+    found = found.where(F.size("t.cells") > 0).select("doc", "page", "ord", "t.columns", "t.cells")
+    pairs = F.transform("cells", lambda r: F.arrays_zip(F.col("columns").alias("name"), r.alias("cell")))
     return found.select(
-        "doc", "page", "ord", F.size("columns").cast("long").alias("n_columns"), F.size("rows").cast("long").alias("n_rows"), "columns", "rows"
+        "doc", "page", "ord", F.size("columns").cast("long").alias("n_columns"), F.size("cells").cast("long").alias("n_rows"), "columns", pairs.alias("rows"), "cells"
     )
 
 
@@ -91,8 +96,8 @@ def stitched(tables: DataFrame, pages: DataFrame | None = None, least: float = 8
     are found once a table.
     """
     some = tables if pages is None else tables.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-    bare = some.select("doc", "page", "ord", "columns", F.transform("rows", lambda r: r["cell"]).alias("cells"))
-    some = materialize(bare, "tables")  # read four times, parsed once
+    cells = F.col("cells") if "cells" in tables.columns else F.transform("rows", lambda r: r["cell"])
+    some = materialize(some.select("doc", "page", "ord", "columns", cells.alias("cells")), "tables")  # read four times, parsed once
     first = some.groupBy("doc").agg(F.min_by("columns", F.struct("page", "ord")).alias("canonical"))
     told = some.join(first, "doc").join(column_map(some, least), "doc", "left")
     same = F.col("columns") == F.col("canonical")
