@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.session import materialize
+from leafmill.session import drop, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     both = materialize(both, "links")
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"))
-    labels = materialize(labels, "labels")
+    held = labels = materialize(labels, "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other")
         least = around.groupBy("node").agg(F.min("seen").alias("seen"))
@@ -31,6 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", "before", F.least("component", "further").alias("component")
         )
         stepped = materialize(stepped, "labels")
-        labels = stepped.select("node", "component")
+        drop(held)
+        held, labels = stepped, stepped.select("node", "component")
         if stepped.where(F.col("before") != F.col("component")).isEmpty():
+            drop(both)
             return labels

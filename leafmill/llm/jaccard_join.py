@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of word shingles by grouped prefixes.
 
-1. *Order.*  Shingles that are frequent in some window of texts (the partition step of frequent-item mining: a shingle
-   in a given share of all texts reaches that share in at least one window) come last, by rising count; all others
-   come first, by hash.  Any common order is exact; this one keeps shared passages out of the prefixes.
+1. *Order.*  Shingles that some two dozen texts hold come last, by rising count: those found in SEEN of the texts that are
+   counted, one in SHARE.  All others come first, by hash.  Any common order is exact; this one keeps shared passages
+   and, however large the corpus is, what texts share by chance out of the prefixes.
 2. *Groups.*  Texts with one shingle set become one node.  Two sets of similarity t share SHARED shingles (or as many
    as they must share at all) among the first n - ceil(t * n) + SHARED of each.  Nodes with the same prefix and size
    become one group.
@@ -25,22 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
 from leafmill.llm.shingles import fingerprint, least_overlap, shingles
-from leafmill.session import in_job, materialize, read_table, ship_code
+from leafmill.session import drop, in_job, materialize, read_table, ship_code, tidy
 
-#: Texts and shingles that a window of the counting step holds, and how often a shingle must occur in one.
-WINDOW_TEXTS, WINDOW_SHINGLES, WINDOW_COUNT = 8_192, 4_000_000, 4
+#: One of so many texts is counted to put frequent shingles last, those found in SEEN of them; it changes the work only.
+SHARE, SEEN = 8, 3
+#: Shingles that a task of the counting step holds.
+WINDOW_SHINGLES = 4_000_000
 #: The most frequent shingles whose order is told to every task (12 bytes each); it changes the work only.
 FREQUENT = 500_000
 #: Prefix shingles that a pair must share: more make prefixes longer and chance meetings rarer.
 SHARED = 4
 #: Groups that meet in one list without a detour.
 LIST = 48
-#: Size of the bitmap that spares texts without candidates (8 MB); it changes the work only.
+#: Size of the bitmaps that mark frequent shingles and spare texts without candidates (8 MB); it changes the work only.
 BITS = 2**26
 #: Pairs with one node that a task verifies in a row.
 SALT_PAIRS = 2_000
@@ -54,15 +56,12 @@ def _texts(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
 
 
-def _frequent(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) of the frequent shingles and their places by rising count."""
+def _frequent(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (ascending) of the most frequent shingles, their places by rising count, and a bitmap of all found often."""
 
     def tell(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= WINDOW_COUNT
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -70,18 +69,36 @@ def _frequent(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             for found in shingles(batch.column("text"), width):
                 held.append(found)
                 size += len(found)
-                if len(held) >= WINDOW_TEXTS or size >= WINDOW_SHINGLES:
+                if size >= WINDOW_SHINGLES:
                     yield tell(held)
                     held, size = [], 0
         if held:
             yield tell(held)
 
-    counted = slim.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    some = slim.select("text").where(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(SHARE)) == 0)
+    often = some.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    often = materialize(often, "often")
+    with tidy(slim.sparkSession):
+        counts = often.groupBy("n").agg(F.count(F.lit(1)).alias("c")).toArrow()
+        n, c = (counts.column(k).to_numpy() for k in ("n", "c"))
+        down = np.argsort(-n)
+        told = n[down][np.cumsum(c[down]) <= FREQUENT]
+        rows = often.where(F.col("n") >= int(told[-1]) if len(told) else F.lit(False)).toArrow()
+        marks = _bits(F.expr(f"shingle & {BITS - 1}"), often)
+    drop(often)
     found = rows.column("shingle").to_numpy().view(np.uint64)
-    place = np.arange(len(found), 0, -1, dtype=np.int32)
+    place = np.empty(len(found), dtype=np.int32)
+    place[np.lexsort((found, rows.column("n").to_numpy()))] = np.arange(1, len(found) + 1, dtype=np.int32)
     order = np.argsort(found)
-    return found[order], place[order]
+    return found[order], place[order], marks
+
+
+def _last(found: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Shingles that were found often: those without a place by hash, then the most frequent by place."""
+    if not len(common):
+        return found
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.argsort(np.where(common[at] == found, place[at], 0), kind="stable")]
 
 
 def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
@@ -90,21 +107,16 @@ def _prefixes(slim: DataFrame, width: int, percent: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema if f.name != "text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, place = frequent.value
+        common, place, marks = frequent.value
         for batch in batches:
             sizes, nodes, checks, prefixes = [], [], [], []
             for found in shingles(batch.column("text"), width):
                 n = len(found)
                 length = min(n, n - least_overlap(n, percent) + SHARED)
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    often = common[at] == found
-                    rest = found[~often]
-                    if len(rest) < length:
-                        rest = np.concatenate([rest, found[often][np.argsort(place[at[often]], kind="stable")]])
-                    prefix = rest[:length]
-                else:
-                    prefix = found[:length]
+                often = _marked(marks, (found & np.uint64(BITS - 1)).view(np.int64))
+                prefix = found[~often][:length]
+                if len(prefix) < length:
+                    prefix = np.concatenate([prefix, _last(found[often], common, place)])[:length]
                 node, check = fingerprint(found)
                 sizes.append(n)
                 nodes.append(node)
@@ -207,29 +219,33 @@ def _and_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids: BITS / 64 words at most, however many ids there are."""
-    place = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    words = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) & 63 as int))").alias("bit"))
+def _bits(place: Column, rows: DataFrame) -> np.ndarray:
+    """A bitmap of places below BITS: BITS / 64 words at most, however many rows there are."""
+    words = rows.select(place.alias("place")).selectExpr("shiftright(place, 6) word", "shiftleft(1L, cast(place & 63 as int)) bit")
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, dtype=np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 
+def _marked(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+
 def _sets(slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, found) of nodes, made anew from the texts of one row each; nodes has node and id.
 
     A bitmap of ids lets the scan pass over most other texts; the join with the nodes is exact.
     """
-    wanted = slim.sparkSession.sparkContext.broadcast(_bits(nodes.select("id")))
-    some = slim.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("place"), "text")
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("place")
+    with tidy(slim.sparkSession):
+        wanted = slim.sparkSession.sparkContext.broadcast(_bits(place, nodes))
+    some = slim.select(place, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            mask = (bits[place >> 6] >> (place & 63)) & 1 == 1
+            mask = _marked(bits, batch.column("place").to_numpy())
             made = [(fingerprint(x)[0], x.tobytes()) for x in shingles(batch.column("text").filter(pa.array(mask)), width) if len(x)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())],
@@ -300,11 +316,13 @@ def _dealt(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The prefixes of all texts, and (node, id, component) of the nodes: ``component`` is a node that links reach."""
-    texts = materialize(_prefixes(slim, width, percent), "prefixes")
-    filled = texts.where("n > 0").withColumn("group", F.xxhash64("n", "prefix"))
+    whole = materialize(_prefixes(slim, width, percent), "prefixes")
+    filled = whole.where("n > 0").withColumn("group", F.xxhash64("n", "prefix"))
     nodes = filled.groupBy("node", "check", "n").agg(F.min("id").alias("id"), F.first("group").alias("group"))
     nodes = materialize(nodes, "nodes")
     groups = materialize(filled.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+    texts = materialize(whole.drop("check", "prefix"), "texts")
+    drop(whole)
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "token")).select(
         "token", "group", "n", F.col("place").cast("long").alias("place")
     )
@@ -312,14 +330,18 @@ def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     large = met.where("star = 2").select(
         F.col("b").alias("token"), F.col("a").alias("group"), F.col("na").alias("n"), F.col("nb").alias("place")
     )
+    large = materialize(large, "large")
     enough = f"least({SHARED}, ceil({percent} * (na + nb) / {100 + percent}))"
     counted = met.where("star < 2").groupBy("a", "b").agg(
         F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"),
         F.sum(F.expr("if(star = 0, met, 0)")).alias("near"),
     )
     counted = materialize(counted, "counted")
+    drop(met)
     group_pairs = counted.where(f"met >= {enough}").select("a", "b")
-    in_large = large.select("group").distinct()
+    in_large = materialize(large.select("group").distinct(), "in-large")
+    prefix = materialize(groups.select("group", "prefix").join(in_large.hint("merge"), "group", "left_semi"), "prefix")
+    drop(groups)
     weak = counted.where(f"met < {enough} and near > 0").select("a", "b", "na", "nb")
     weak = weak.join(in_large.select(F.col("group").alias("a")), "a", "left_semi")
     weak = weak.join(in_large.select(F.col("group").alias("b")), "b", "left_semi").select("a", "b", "na", "nb")
@@ -353,7 +375,6 @@ def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     open_ = lists.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
     open_ = open_.select("token").join(most, "token", "left")
     lists = lists.join(open_, "token").withColumn("in_major", F.expr("low = high and low <=> major"))
-    prefix = groups.select("group", "prefix")
     lists = materialize(lists.drop("major").join(prefix, "group"), "lists")
     x, y = _dealt(lists, percent)
     # A pair of different parts has an end outside the list's largest part; it is told at its first common shingle.
@@ -375,9 +396,11 @@ def _classes(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     again = again.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     again = materialize(again.join(done, ["a", "b"], "left_anti"), "again")
+    drop(large, counted, prefix, lists, paired)
     if not again.isEmpty():
         fresh = _verify(again, sets, percent)
         joined = components(links.unionByName(fresh))
+    drop(sets)
 
     labelled = nodes.select("node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return texts, labelled

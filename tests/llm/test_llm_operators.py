@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,6 +307,15 @@ def test_similar_on_empty_table(spark, empty, odd):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7, 9]
 
 
+def test_shingles_that_tasks_see_twice_each_stay_out_of_prefixes(spark):
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(100)) + " " + common) for k in range(96)]
+    slim = spark.createDataFrame(spark.sparkContext.parallelize(rows, 48), "id long, text string")
+    prefixes = jaccard_join._prefixes(slim, 3, 80).select("prefix").collect()
+    passage = {int(x) for x in next(shingles.shingles(pa.array([common]), 3)).view(np.int64)}
+    assert len(prefixes) == 96 and not any(passage & set(r["prefix"]) for r in prefixes)
+
+
 def test_one_of_each_class_stays_whatever_its_ids(spark):
     x, y, z, u = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyzu")
     rows = [

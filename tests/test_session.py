@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
@@ -58,3 +59,38 @@ def test_the_session_keeps_its_settings(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     session.materialize(spark.range(1), "one")
     assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
+def _shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x for folder in folders for x in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    before = _shuffle_files(spark)
+    for k in range(3):
+        session.materialize(spark.range(10_000).repartition(5, "id").groupBy("id").count(), f"dealt{k}")
+    for _ in range(50):  # Spark removes them in the background
+        if _shuffle_files(spark) <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError(_shuffle_files(spark) - before)
+
+
+def test_threads_put_the_setting_back(spark):
+    before = spark.conf.get(session._TIDY, None)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: session.materialize(spark.range(k + 1), f"tidy{k}"), range(8)))
+    assert spark.conf.get(session._TIDY, None) == before and not session._tidying
+
+
+def test_a_dropped_table_is_gone_before_its_job_ends(spark):
+    before = _tables(spark)
+
+    def work():
+        step = session.materialize(spark.range(3), "step")
+        session.drop(step)
+        assert _tables(spark) == before
+        return spark.range(2)
+
+    assert session.in_job("result", work).count() == 2
