@@ -451,12 +451,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
     kept = in_job("kept", lambda: _representatives(slim, width, percent))
     alone = F.col(id_).isNull() & ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [text, *(c for c in docs.columns if c != text)]
+    # Rows are dealt once: the join and the choice of a row need them by the same columns, an id that may be null in a struct.
     packed = docs.select(
-        F.col(id_).alias("id"), *(k.alias(c) for c, k in key.items()), F.when(alone, F.monotonically_increasing_id()).alias("alone"),
-        F.struct(*columns).alias("row"),
+        F.struct(F.col(id_).alias("id")).alias("who"), *(k.alias(c) for c, k in key.items()),
+        F.when(alone, F.monotonically_increasing_id()).alias("alone"), F.struct(*columns).alias("row"),
     )
-    same = F.col("id").eqNullSafe(F.col("kept")) & (F.col("one") == F.col("kept_one")) & (F.col("two") == F.col("kept_two"))
-    packed = packed.join(kept, same, "left_semi").groupBy("id", "one", "two", "alone").agg(F.min("row").alias("row"))
+    kept = kept.select(F.struct(F.col("kept").alias("id")).alias("who"), F.col("kept_one").alias("one"), F.col("kept_two").alias("two"))
+    packed = packed.join(kept, ["who", "one", "two"], "left_semi").groupBy("who", "one", "two", "alone").agg(F.min("row").alias("row"))
     return packed.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
 
 

@@ -316,6 +316,18 @@ def test_shingles_that_tasks_see_twice_each_stay_out_of_prefixes(spark):
     assert len(prefixes) == 96 and not any(passage & set(r["prefix"]) for r in prefixes)
 
 
+def test_one_of_each_deals_its_rows_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.one_of_each(table(spark, [(k, f"{'a b c d e f '}{k % 7}", "s") for k in range(50)]), 3, 90)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the rows, and what is kept
+        assert kept.count() == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_of_each_class_stays_whatever_its_ids(spark):
     x, y, z, u = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyzu")
     rows = [
