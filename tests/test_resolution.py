@@ -219,6 +219,30 @@ def test_names_meet_in_tiles(spark, sf):
     assert "MapInArrow" in plan and "array_intersect" not in plan
 
 
+def test_two_tiles_of_one_table_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(name_join, "_TILE", 8)
+    monkeypatch.setattr(name_join, "_GRID", 3)
+    told = [f"name {'abcdefgh'[k % 8] * 9} {k:03}" for k in range(104)]
+    frame = spark.createDataFrame([(d, n) for d in (0, 1) for n in told] + [(2, "name one"), (2, "name two")], "doc int, name string")
+    got = [tuple(r) for r in name_join.alike_candidates(frame, frame, 0.85).collect()]
+    assert len(got) == len(set(got)) and {(d, b, a) for d, a, b in got} == set(got)
+    alike = {(a, b) for a in told for b in told if SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert len(alike) > 1000 and all({(d, *p) for p in alike} <= set(got) for d in (0, 1))
+
+    def firsts(least):
+        def run(batches):
+            for batch in batches:
+                ids = [[int.from_bytes(x.as_py()[:8], "little") for x in batch.column(c)] for c in ("xs", "ys")]
+                yield name_join.pa.RecordBatch.from_arrays([name_join.pa.array(c) for c in ids], names=["xi", "yi"])
+
+        return run
+
+    monkeypatch.setattr(name_join, "_near", firsts)
+    signed = name_join._signed(frame)
+    met = [frozenset(r) for r in name_join._near_ids(signed, signed, 0.85).collect()]
+    assert len(met) == len(set(met)) > 100
+
+
 def test_fuzzy_rows(spark, sf, parts):
     sort = lambda x: " ".join(sorted(x.split()))
     want = set()
